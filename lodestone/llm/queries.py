@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, quality
+from lodestone.llm import capfilter, chat, quality, simhash
 from lodestone.runtime import table
 
 
@@ -71,5 +71,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op3_quality_rules": op3_quality_rules}
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.98),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+r AS (WITH RECURSIVE reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.y FROM reach r JOIN l ON l.x = r.b) SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, r.c = e.vec_id AS kept
+FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""
+
+QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op3_quality_rules": op3_quality_rules, "op4_simhash": op4_simhash, "op9_cap_filters": op9_cap_filters}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_cap_filters": OP9_SQL}
