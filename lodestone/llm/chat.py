@@ -67,21 +67,23 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     known = ids.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     at = ids.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")) & (F.col("p") != F.col("node")), "left")
     # up: the 2^k-th ancestor; total: scores from this node up to below it; steps: messages that total covers
-    jump = materialize(at.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump")
-    jumps, biggest = [jump], max(1, ids.count())
-    while (1 << (len(jumps) - 1)) <= biggest and not jump.filter("up is not null").isEmpty():
-        above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        jump = jump.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")
+    begun = materialize(at.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump")
+    done, jumps = begun.filter("up is null"), [begun.filter("up is not null")]
+    rounds = max(1, begun.count()).bit_length()
+    while len(jumps) <= rounds and not jumps[-1].isEmpty():  # only nodes deeper than 2^k take part in round k
+        above = done.unionByName(jumps[-1]).toDF("t", "n", "up2", "more", "further")
+        further = jumps[-1].join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")
         )
-        jump = materialize(jump, "jump")
-        jumps.append(jump)
-    parents = jumps[0].filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
-    leaves = jump.filter("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
+        further = materialize(further, "jump")
+        done = done.unionByName(further.filter("up is null"))
+        jumps.append(further.filter("up is not null"))
+    parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
+    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node")))
     path = ranked.filter(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("path_score"), F.col("steps").alias("depth"), "node")
-    for k in reversed(range(len(jumps) - 1)):  # each message of a path is reached by exactly one sum of powers of two
-        step = jumps[k].filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for k in reversed(range(len(jumps))):  # each message of a path is reached by exactly one sum of powers of two
+        step = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = path.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
             "tree", "leaf", "rank", "path_score", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node")
         )
