@@ -221,7 +221,7 @@ def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bo
     return run
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 8.0, damp: float = 0.5, spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 15.0, damp: float = 0.5, spans: bool = True) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each row. score: the share of the letters in spans of lang_pred. spans: the
     labelled word ranges, 0-based, end exclusive. penalty: log-odds that a change of language has to overcome. damp: weight
     of the n-grams, which overlap and so count a letter several times."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import capfilter, chat, quality, simhash
+from lodestone.llm import capfilter, chat, langid, pieces, quality, simhash, tokenfile
 from lodestone.runtime import table
 
 
@@ -89,5 +90,30 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, r.c = e.vec_i
 FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 """
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op3_quality_rules": op3_quality_rules, "op4_simhash": op4_simhash, "op9_cap_filters": op9_cap_filters}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tokenizer = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    dictionary = tokenfile.train_dictionary(docs, tokenizer, end=2)
+    return tokenfile.read_index(tokenfile.write_blocks(docs, tokenizer, 2, dictionary), dictionary)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_with_check(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    found = langid.identify(docs, langid.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op9_cap_filters": op9_cap_filters,
+    "op10_language_id": op10_language_id,
+}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_cap_filters": OP9_SQL}
