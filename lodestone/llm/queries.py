@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import capfilter, chat, langid, pieces, quality, simhash, tokenfile
+from lodestone.llm import capfilter, chat, kneser, langid, pieces, quality, simhash, tokenfile
 from lodestone.runtime import table
 
 
@@ -76,6 +76,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
+    model = kneser.train(docs.filter(~held_out))
+    scored = kneser.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -113,6 +121,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_cap_filters": op9_cap_filters,
     "op10_language_id": op10_language_id,
 }
