@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import capfilter, chat, kneser, langid, pieces, quality, simhash, tokenfile
+from lodestone.llm import capfilter, chat, kneser, langid, mixing, pieces, quality, simhash, tokenfile
 from lodestone.runtime import table
 
 
@@ -76,6 +76,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
@@ -121,6 +126,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_source_mix": op7_source_mix,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_cap_filters": op9_cap_filters,
     "op10_language_id": op10_language_id,
