@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import quality
+from lodestone.llm import langid, mixing, pieces, quality, simhash
 from lodestone.runtime import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SHARE = 0.4  # of the letters, in the main language
+#: Trained models and hashes can't be written in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
@@ -17,7 +20,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letters, or no language with LEAST_SHARE of the letters."""
+    found = langid.identify(docs, langid.train(docs), spans=False, keep=("text", "lang", "source", "n_chars"))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once; rows without an id go."""
+    kept = simhash.simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source")))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated as the mix of sources takes them."""
+    return mixing.repeat_documents(docs, mixing.mix(docs)).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's piece ids, decoded again to see that nothing is lost."""
+    return pieces.encode_with_check(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language ID", language_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", pieces_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            docs = materialize(docs, name.split()[0].lower())
     return docs

@@ -170,7 +170,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 _LOADED: dict[str, Vocabulary] = {}  # of the model that this worker used last
 
 
-def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bool, part: int = 1000):
+def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bool, keep: tuple[str, ...], part: int = 1000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         if token not in _LOADED:
@@ -212,20 +212,21 @@ def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bo
                     cuts = np.flatnonzero(np.diff(mine)) + 1
                     if n:
                         runs[k] = [{"lang": model.langs[mine[s]], "start": int(s), "end": int(e)} for s, e in zip([0, *cuts], [*cuts, n], strict=True)]
-        columns, names = [b.column(0), pa.array(list(langs), type=pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"]
+        columns, names = [*b.columns[:1], pa.array(list(langs), type=pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"]
         if spans:
             columns.append(pa.array(runs, type=pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
             names.append("spans")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays([*columns, *(b.column(k) for k in keep)], names=[*names, *keep])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 15.0, damp: float = 0.5, spans: bool = True) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of each row. score: the share of the letters in spans of lang_pred. spans: the
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 15.0, damp: float = 0.5, spans: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, spans, *keep) of each row. score: the share of the letters in spans of lang_pred. spans: the
     labelled word ranges, 0-based, end exclusive. penalty: log-odds that a change of language has to overcome. damp: weight
     of the n-grams, which overlap and so count a letter several times."""
     spark = docs.sparkSession
-    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * spans
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), uuid.uuid4().hex, penalty, damp, spans), schema)
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {kinds[doc_id]}, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * spans + "".join(f", `{k}` {kinds[k]}" for k in keep)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *keep)
+    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), uuid.uuid4().hex, penalty, damp, spans, keep), schema)

@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import capfilter, chat, kneser, langid, mixing, pieces, quality, simhash, tokenfile
+from lodestone.llm import capfilter, chat, editcount, kneser, langid, mixing, pieces, quality, simhash, tokenfile
 from lodestone.runtime import table
 
 
+def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", editcount.derived_edits(F.col("doc_id"), F.col("text")).alias("edits"))
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    done = editcount.apply_edits(editcount.build_trees(docs, ranks, pattern, keep=("edits",)), ranks, pattern)
+    return done.select("doc_id", "n_tokens_before", "n_tokens", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -121,6 +128,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_edit_token_counts": op1_edit_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
