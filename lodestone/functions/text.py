@@ -1,0 +1,279 @@
+"""Scalar text functions as Column expressions: folding, tokens, numbers, claims, slots."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterable, Sequence
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lodestone.functions import lists
+
+#: Word edges that hold for all scripts; Java's \b and \w know ASCII only.
+LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+TOKEN = r"([\p{L}\p{N}_]+)"
+CITATION = r"(?i)\[?EC_\d{3}\]?"
+LIST_NUMBER = r"(?:^|\n)\s*(?:-\s*)?\d+[.)]\s+"
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def edged(phrase: str) -> str:
+    """A Java pattern of the phrase as whole words."""
+    return f"{LEFT}{re.escape(phrase)}{RIGHT}"
+
+
+# --- folding -----------------------------------------------------------------
+
+
+def _vowel_map() -> dict[str, str]:
+    """Vietnamese vowels with their marks, from the rule base x quality x tone; and đ."""
+    qualities = {"a": ("", "̆", "̂"), "e": ("", "̂"), "i": ("",), "o": ("", "̂", "̛"), "u": ("", "̛"), "y": ("",)}
+    tones = ("", "̀", "́", "̉", "̃", "̣")
+    found = {unicodedata.normalize("NFC", v + q + t): v for v, qs in qualities.items() for q in qs for t in tones}
+    return {k: v for k, v in found.items() if k != v} | {"đ": "d"}
+
+
+def _latin_map() -> dict[str, str]:
+    """Every lower-case Latin or Greek letter with marks, to its base letter."""
+    out = {}
+    for code in [*range(0xC0, 0x250), *range(0x386, 0x3D0), *range(0x1E00, 0x2000)]:
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c and c == c.lower():
+            out[c] = base
+    return out | {"đ": "d"}
+
+
+VOWELS, LATIN = _vowel_map(), _latin_map()
+MARKS = "".join(chr(x) for x in range(0x300, 0x370))
+
+
+def fold_vowels(c: Column) -> Column:
+    """Lower case, Vietnamese letters to their base letters."""
+    return F.translate(F.lower(c), "".join(VOWELS), "".join(VOWELS.values()))
+
+
+def fold_marks(c: Column) -> Column:
+    """Lower case, all Latin letters to their base letters, combining marks dropped."""
+    return F.translate(F.lower(c), "".join(LATIN) + MARKS, "".join(LATIN.values()))
+
+
+def fold_words(c: Column) -> Column:
+    """As fold_marks(), but đ stays: the fold of title mentions."""
+    kept = {k: v for k, v in LATIN.items() if k != "đ"}
+    return F.translate(F.lower(c), "".join(kept) + MARKS, "".join(kept.values()))
+
+
+def expand_abbreviations(c: Column, pairs: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
+    """Ordered whole-word replacements, whatever the case."""
+    return reduce(lambda acc, p: F.regexp_replace(acc, f"(?iu){edged(p[0])}", p[1]), pairs, F.trim(c))
+
+
+def canonical(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+# --- tokens ------------------------------------------------------------------
+
+
+def tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(1))
+
+
+def _without(words: Column, stop: Iterable[str]) -> Column:
+    held = F.array(*[F.lit(x) for x in stop]) if stop else F.array().cast("array<string>")
+    return F.filter(words, lambda w: ~F.array_contains(held, w))
+
+
+def subject_tokens(c: Column, stop: Sequence[str] = lists.SUBJECT_STOP, abbreviations: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
+    """The set of tokens that aren't stop words, with their folded forms."""
+    base = F.filter(_without(tokens(expand_abbreviations(F.coalesce(c, F.lit("")), abbreviations)), stop), lambda w: F.length(w) > 1)
+    return F.array_union(base, F.transform(base, fold_vowels))
+
+
+def meaningful_tokens(c: Column, stop: Sequence[str] = lists.CLAIM_STOP) -> Column:
+    """Tokens in order, without citations, list numbers and stop words."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), CITATION, " "), LIST_NUMBER, " ")
+    return _without(tokens(bare), stop)
+
+
+def distinctive_tokens(c: Column, generic: Sequence[str] = lists.GENERIC_WORDS, abbreviations: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
+    folded = fold_vowels(expand_abbreviations(F.coalesce(c, F.lit("")), abbreviations))
+    return F.array_distinct(F.filter(_without(tokens(folded), generic), lambda w: F.length(w) > 1))
+
+
+def pairs_of(words: Column) -> Column:
+    """Adjacent pairs as joined strings."""
+    n = F.size(words)
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+
+def numbers(c: Column) -> Column:
+    """Distinct numbers as digits without separators and leading zeros; citations, list numbers and step numbers don't count."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), CITATION, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, LIST_NUMBER, " "), rf"(?iu){LEFT}bước\s+\d+{RIGHT}", " ")
+    found = F.regexp_extract_all(bare, F.lit(rf"{LEFT}(\d+(?:[.,]\d+)*)(?!\d)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "[.,]", ""), r"^0+(?=\d)", "")))
+
+
+def numbers_known(rewritten: Column, allowed: Column) -> Column:
+    """Whether all digit runs of a rewritten question occur in what it was made of."""
+    return F.forall(F.regexp_extract_all(F.coalesce(rewritten, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: F.contains(F.coalesce(allowed, F.lit("")), x))
+
+
+# --- claims ------------------------------------------------------------------
+
+
+def claims(c: Column, kept: Sequence[str] = lists.CLAIM_ABBREVIATIONS) -> Column:
+    """array<string> of an answer's claims: split at line breaks and after sentence ends; kept abbreviations and digit
+    groups don't end a sentence; a bare list number goes with the claim after it (at the end it is dropped)."""
+    dot = chr(0xE000)  # private characters stand for what must not end a sentence
+    guard = {a: chr(0xE001 + i) for i, a in enumerate(kept)}
+    text = reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), guard.items(), F.coalesce(c, F.lit("")))
+    text = F.regexp_replace(text, rf"(\d)\.(\d{{3}}){RIGHT}", f"$1{dot}$2")
+
+    def restore(x: Column) -> Column:
+        whole = reduce(lambda acc, p: F.replace(acc, F.lit(p[1]), F.lit(p[0])), guard.items(), F.replace(x, F.lit(dot), F.lit(".")))
+        return F.regexp_replace(whole, r"^\s+|\s+$", "")
+
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), restore), lambda x: x != "")
+
+    def add(acc: Column, x: Column) -> Column:
+        whole = F.when(acc["mark"] == "", x).otherwise(F.concat(acc["mark"], F.lit(" "), x))
+        bare = x.rlike(r"^(?:-\s*)?\d{1,2}[.)]$")
+        return F.struct(F.when(bare, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"), F.when(bare, x).otherwise(F.lit("")).alias("mark"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("mark"))
+    return F.aggregate(parts, start, add, lambda acc: acc["out"])
+
+
+def list_items(c: Column, stop: Sequence[str] = lists.CLAIM_STOP) -> Column:
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\n+|;|(?<=[.!?])\s+|(?:^|\s)\d{1,2}[.)]\s+"), lambda x: F.regexp_replace(x, r"^[ \-+*\t]+|[ \-+*\t]+$", ""))
+    return F.filter(parts, lambda x: F.size(meaningful_tokens(x, stop)) >= 2)
+
+
+def is_header(c: Column, stop: Sequence[str] = lists.CLAIM_STOP) -> Column:
+    """Whether a line only introduces others."""
+    bare = F.trim(F.regexp_replace(c, r"\[?EC_\d{3}\]?", ""))
+    return (bare.endswith(":") & (F.size(meaningful_tokens(bare, stop)) <= 8)) | bare.rlike(r"(?iu)^về\s+.+,\s*thông tin chi tiết như sau:?\s*$")
+
+
+def is_boilerplate(c: Column, pattern: str = lists.BOILERPLATE) -> Column:
+    return c.rlike(pattern)
+
+
+def answer_lines(c: Column, stop: Sequence[str] = lists.CLAIM_STOP, kept: Sequence[str] = lists.CLAIM_ABBREVIATIONS) -> Column:
+    return F.filter(claims(c, kept), lambda x: ~is_boilerplate(x) & ~is_header(x, stop) & (F.size(meaningful_tokens(x, stop)) > 0))
+
+
+def is_useless(c: Column, fallback: str = "", least: int = 15) -> Column:
+    bare = F.trim(F.coalesce(c, F.lit("")))
+    return (bare == "") | (F.lower(bare) == fallback.strip().lower()) | bare.rlike(r"(?i)^\s*\[?EC_\d{3}\]?\s*[.!]?\s*$") | (F.length(F.trim(F.regexp_replace(bare, CITATION, ""))) < least)
+
+
+# --- questions ---------------------------------------------------------------
+
+
+def _three_forms(c: Column, abbreviations: Sequence[tuple[str, str]]) -> Column:
+    expanded = expand_abbreviations(c, abbreviations)
+    return F.concat_ws(" | ", c, expanded, fold_vowels(expanded))
+
+
+def requested_fields(c: Column, patterns: Sequence[tuple[str, str]] = lists.FIELD_PATTERNS, intent: Column | None = None, abbreviations: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
+    """The keys whose pattern occurs in the question (raw, expanded or folded), in the configured order."""
+    asked = F.coalesce(c, F.lit("")) if intent is None else F.concat_ws(" ", F.coalesce(c, F.lit("")), intent)
+    forms = _three_forms(asked, abbreviations)
+    return F.array_compact(F.array(*[F.when(forms.rlike(f"(?iu){p}"), F.lit(k)) for k, p in patterns])) if patterns else F.array().cast("array<string>")
+
+
+def is_negated(phrase: Column, text: Column, negations: Sequence[str] = lists.NEGATIONS, verbs: Sequence[str] = lists.NEGATED_VERBS) -> Column:
+    """Whether text denies phrase. A phrase that begins with a negation is never denied."""
+    own = F.lower(F.trim(F.coalesce(phrase, F.lit(""))))
+    said = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    begins = reduce(lambda a, b: a | b, [own.startswith(n) for n in negations[:2]], F.lit(False))
+    quoted = F.concat(F.lit("\\Q"), F.replace(own, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    head = f"({'|'.join(negations)})\\s+({'|'.join(v + chr(92) + 's+' for v in verbs)})?"
+    return (own != "") & (said != "") & ~begins & F.coalesce(F.rlike(said, F.concat(F.lit(head), quoted)), F.lit(False))
+
+
+def is_vague(
+    c: Column,
+    keywords: Sequence[str] = (),
+    particles: Sequence[str] = lists.PARTICLES,
+    greetings: Sequence[str] = lists.GREETINGS,
+    openings: Sequence[str] = lists.VAGUE_OPENINGS,
+    pattern: str = lists.VAGUE_PATTERN,
+    fields: Sequence[tuple[str, str]] = lists.FIELD_PATTERNS,
+) -> Column:
+    """Whether a question names no subject: a greeting, a general opening, or at most four words without a field."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(low, f"(?iu){LEFT}({'|'.join(particles)}){RIGHT}", "")), r"\s+", " ")) if particles else low
+    named = reduce(lambda a, k: a | F.contains(low, F.lit(k.lower())) | F.contains(fold_vowels(low), fold_vowels(F.lit(k))), keywords, F.lit(False))
+    opened = reduce(lambda a, p: a | bare.startswith(p) | low.startswith(p), openings, F.lit(False))
+    short = (F.size(F.filter(F.split(bare, r"\s+"), lambda x: x != "")) <= 4) & (F.size(requested_fields(c, fields)) == 0)
+    return (low == "") | (~named & (low.isin(*greetings) | bare.isin(*greetings) | opened | bare.rlike(pattern) | short))
+
+
+def search_text(query: Column, slots: Sequence[tuple[str, Column]], abbreviations: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
+    """The normalised question followed by ' | label: value' for each slot that is set, in the order given."""
+    parts = [F.when(blank_to_null(v).isNotNull(), F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in slots]
+    return F.concat_ws(" | ", expand_abbreviations(query, abbreviations), *parts)
+
+
+def flatten_message(items: Column) -> Column:
+    """array<struct<text, content>> to one text: each item's text, else its content."""
+    return F.array_join(F.filter(F.transform(items, lambda x: F.coalesce(x["text"], x["content"])), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+
+
+# --- slots -------------------------------------------------------------------
+
+
+def first_rule(folded: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The label of the first rule one of whose keywords occurs."""
+    hit = lambda words: reduce(lambda a, w: a | F.contains(folded, F.lit(w)), words, F.lit(False))
+    return F.coalesce(*[F.when(hit(words), F.lit(label)) for label, words in rules], F.lit(None).cast("string"))
+
+
+def all_rules(folded: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    hit = lambda words: reduce(lambda a, w: a | F.contains(folded, F.lit(w)), words, F.lit(False))
+    return F.array_compact(F.array(*[F.when(hit(words), F.lit(label)) for label, words in rules]))
+
+
+def first_match(c: Column, patterns: Sequence[str], group: int = 0) -> Column:
+    found = [F.nullif(F.trim(F.regexp_extract(c, f"(?iu){p}", group)), F.lit("")) for p in patterns]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
+def slots(c: Column, rules: lists.SlotRules = lists.SLOT_RULES) -> Column:
+    """The eight slots that a message fills; null where it says nothing."""
+    clean = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    folded = fold_marks(clean)
+    only_papers = reduce(lambda a, w: a | F.contains(folded, F.lit(w)), rules.paper_words, F.lit(False)) & ~reduce(lambda a, w: a | F.contains(folded, F.lit(w)), rules.action_words, F.lit(False))
+    said = first_match(clean, rules.procedure_patterns, 1)
+    said = F.when(F.length(said) <= 80, F.concat(F.upper(F.substring(said, 1, 1)), F.substr(said, F.lit(2))))
+    papers = all_rules(folded, rules.documents)
+    return F.struct(
+        first_rule(folded, rules.intents).alias("intent"),
+        F.when(~only_papers, F.coalesce(first_rule(folded, rules.procedures), said)).alias("procedure_name"),
+        first_rule(folded, rules.locations).alias("location"),
+        first_rule(folded, rules.methods).alias("method"),
+        papers.alias("documents"),
+        first_match(clean, rules.fees).alias("fee"),
+        first_match(clean, rules.times).alias("processing_time"),
+        first_rule(folded, rules.applicants).alias("applicant_type"),
+    )
+
+
+@F.pandas_udf(StringType())
+def fold_unicode(s: pd.Series) -> pd.Series:
+    """The fold for any script: lower case, đ to d, decomposed, marks dropped, composed."""
+    marks = re.compile("[" + "".join(chr(x) for x in range(0x250, 0x10000) if unicodedata.category(chr(x)) == "Mn") + MARKS + "]")
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", marks.sub("", unicodedata.normalize("NFD", t.lower().replace("đ", "d")))))
