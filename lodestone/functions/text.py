@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodestone.functions import lists
+from lodestone.functions.words import let
 
 #: Word edges that hold for all scripts; Java's \b and \w know ASCII only.
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -110,10 +111,18 @@ def distinctive_tokens(c: Column, generic: Sequence[str] = lists.GENERIC_WORDS,
     return F.array_distinct(F.filter(_without(tokens(folded), generic), lambda w: F.length(w) > 1))
 
 
+def runs_of(words: Column, n: int) -> Column:
+    """The runs of n adjacent words, joined by spaces."""
+
+    def of(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return let(words, of)
+
+
 def pairs_of(words: Column) -> Column:
-    """Adjacent pairs as joined strings."""
-    n = F.size(words)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return runs_of(words, 2)
 
 
 def numbers(c: Column) -> Column:

@@ -78,7 +78,7 @@ def resolve_category(candidates: Sequence[Column], default: str = "chung") -> Co
 
 
 def parse_aliases(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def enrich_content(content: Column, raw_text: Column, title: Column, others: Sequence[str]) -> Column:

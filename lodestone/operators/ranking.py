@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import lists
-from lodestone.functions.text import LEFT, RIGHT, distinctive_tokens, expand_abbreviations, fold_vowels, fold_words, is_negated, subject_tokens, tokens
+from lodestone.functions.text import LEFT, RIGHT, distinctive_tokens, expand_abbreviations, fold_vowels, fold_words, is_negated, runs_of, subject_tokens, tokens
 
 # --- bonuses -----------------------------------------------------------------
 
@@ -110,14 +110,15 @@ def scope(top: DataFrame, blocked: Sequence[str] = lists.BLOCKED_TOPICS, least:
 
     topic = F.coalesce(*[F.when(is_blocked(t), F.lit(t)) for t in blocked], F.lit(None).cast("string"))
     score = F.coalesce("vector_score", F.lit(0.0))
+    says = lambda ok, why: F.struct(F.lit(ok).alias("ok"), (F.lit(why) if isinstance(why, str) else why).alias("why"))
     verdict = (
-        F.when(topic.isNotNull(), F.struct(F.lit(False).alias("ok"), F.concat(F.lit("matched_oos_topic:"), topic).alias("why")))
-        .when((F.size(own) == 0) & ~F.col("entity"), F.struct(F.lit(False), F.lit("vague_no_distinctive_subject")))
-        .when(F.col("entity"), F.struct(F.lit(True), F.lit("entity_aligned")))
-        .when((shared >= 2) & (ratio >= 0.5) & (score >= least), F.struct(F.lit(True), F.lit("title_aligned")))
-        .when((score > 0) & (score < least), F.struct(F.lit(False), F.lit("low_semantic_score")))
-        .when((shared >= 1) & (ratio >= 0.5) & (score >= least), F.struct(F.lit(True), F.lit("title_partial_aligned")))
-        .otherwise(F.struct(F.lit(False), F.lit("no_entity_or_title_alignment")))
+        F.when(topic.isNotNull(), says(False, F.concat(F.lit("matched_oos_topic:"), topic)))
+        .when((F.size(own) == 0) & ~F.col("entity"), says(False, "vague_no_distinctive_subject"))
+        .when(F.col("entity"), says(True, "entity_aligned"))
+        .when((shared >= 2) & (ratio >= 0.5) & (score >= least), says(True, "title_aligned"))
+        .when((score > 0) & (score < least), says(False, "low_semantic_score"))
+        .when((shared >= 1) & (ratio >= 0.5) & (score >= least), says(True, "title_partial_aligned"))
+        .otherwise(says(False, "no_entity_or_title_alignment"))
     )
     return top.withColumn("_v", verdict).withColumns({"in_scope": F.col("_v.ok"), "scope_reason": F.col("_v.why")}).drop("_v")
 
@@ -199,10 +200,7 @@ def ngram_bonus(query: Column, content: Column, most: float = 0.35) -> Column:
     w = F.filter(tokens(query), lambda x: F.length(x) > 1)
     text = F.lower(F.coalesce(content, F.lit("")))
 
-    def runs(n: int, worth: float) -> Column:
-        parts = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
-        return F.size(F.filter(parts, lambda x: F.contains(text, x))) * worth
-
+    runs = lambda n, worth: F.size(F.filter(runs_of(w, n), lambda x: F.contains(text, x))) * worth
     return F.when(F.size(w) < 2, 0.0).otherwise(F.least(runs(2, 0.04) + runs(3, 0.06), F.lit(most)))
 
 

@@ -30,7 +30,8 @@ def _field(chunks: DataFrame, name: str) -> Column:
 def postings(chunks: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(chunk_id, term, tf): the weighted term frequencies of chunks(chunk_id, title, aliases, category, text). A chunk's
     tokens are summed before the shuffle."""
-    parts = [F.transform(_both(_field(chunks, f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in weights.items()]
+    weighed = lambda f, w: F.transform(_both(_field(chunks, f)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+    parts = [weighed(f, w) for f, w in weights.items()]
     rows = chunks.select("chunk_id", F.explode(F.flatten(F.array(*parts))).alias("x"))
     return rows.groupBy("chunk_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
@@ -151,3 +152,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "chunk_no")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def containing(passages: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks that hold a whole passage of passages(query_id, query). The passage's rarest inner
+    token (one that can't be part of a longer word) finds the candidates; the text decides."""
+    inner = F.slice(tokens(F.col("query")), F.lit(2), F.greatest(F.size(tokens(F.col("query"))) - 2, F.lit(0)))
+    words = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("term")).join(term_statistics(index), "term")
+    rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter("_n = 1").select("query_id", "term")
+    found = rarest.join(index.select("term", "chunk_id"), "term").join(passages, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    return found.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id")

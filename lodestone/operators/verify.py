@@ -29,7 +29,7 @@ def number_conflict(claim_numbers: Column, evidence_numbers: Column) -> Column:
 def negation_conflict(claim: Column, evidence: Column, requires: Sequence[str] = lists.REQUIRES, denies: Sequence[str] = lists.DENIES, free: Sequence[str] = lists.FREE, free_evidence: Sequence[str] = lists.FREE_EVIDENCE) -> Column:
     """Whether the claim requires what the evidence denies, or calls free what has a price of 1000 or more there."""
     c, e = F.lower(F.trim(claim)), F.lower(evidence)
-    wanted = F.filter(F.transform(F.regexp_extract_all(c, F.lit(rf"(?:{'|'.join(requires)})\s+(.{{4,60}}?)(?:[,;.!\n]|$)"), F.lit(1)), F.trim), lambda p: F.length(p) >= 4)
+    wanted = F.filter(F.transform(F.regexp_extract_all(c, F.lit(rf"(?:{'|'.join(requires)})\s+(.{{4,60}}?)(?:[,;.!\n]|$)"), F.lit(1)), lambda x: F.trim(x)), lambda p: F.length(p) >= 4)
     both = lambda text, p, d: F.contains(text, F.concat(F.lit(d), p)) | F.contains(text, F.concat(F.lit(d), F.substring(p, 1, 20)))
     denied = F.exists(wanted, lambda p: reduce(lambda a, d: a | (~both(c, p, d) & both(e, p, d)), denies, F.lit(False)))
     any_of = lambda text, words: reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))

@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import ingest, retrieve, texts
+
+GROUPS = (ingest, texts, retrieve)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in GROUPS for k, f in g.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for g in GROUPS for k, s in g.ORACLES.items()}

@@ -126,8 +126,8 @@ NO_DOCUMENT = ("NONE", "NULL", "OUT_OF_SCOPE", "CLARIFY", "CLARIFY/NONE", "")
 
 def parse_expected(single: Column, several: Column | None = None) -> Column:
     """array<string> of expected documents from a list, or a text with commas; null where it says none."""
-    listed = F.filter(F.transform(several, F.trim), lambda x: x != "") if several is not None else F.lit(None).cast("array<string>")
-    split = F.filter(F.transform(F.split(single, ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(several, lambda x: F.trim(x)), lambda x: x != "") if several is not None else F.lit(None).cast("array<string>")
+    split = F.filter(F.transform(F.split(single, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(listed) > 0, listed).when(~F.upper(F.trim(F.coalesce(single, F.lit("")))).isin(*NO_DOCUMENT), split)
 
 
