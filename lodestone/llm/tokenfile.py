@@ -16,6 +16,7 @@ are one frame.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,29 +38,50 @@ _APART = "\x01"
 
 
 class WordEncoder:
-    """Ids of texts as little-endian bytes of the given width."""
+    """Ids of texts as little-endian bytes of the given width.
 
-    def __init__(self, path: str, limit: int = 350_000) -> None:
+    Most words are a run of Latin letters and ASCII punctuation after it. The tokenizer lowers the case and parts letters
+    from punctuation, so such a word's ids are those of its lower-case letters and of its punctuation, and far fewer
+    different parts than words have to be encoded. All other words are encoded as they are.
+    """
+
+    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+
+    def __init__(self, path: str, limit: int = 700_000, part_limit: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.limit = limit
+        self.limit, self.part_limit = limit, part_limit
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         apart = self.tokenizer.encode(_APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes new words, many in one call: a control character between spaces, one token of its own, parts them."""
-        plain = [w for w in words if self.apart is not None and b"\x01" not in w and b"<|" not in w]
-        for begin in range(0, len(plain), 2000):
-            some = plain[begin : begin + 2000]
-            ids = np.array(self.tokenizer.encode(f" {_APART} ".encode().join(some).decode(), add_special_tokens=False).ids)
+        split: dict[bytes, tuple[str, str]] = {}
+        for w in words:
+            t = w.decode()
+            m = self.plain.fullmatch(t)
+            low = m[1].lower() if m else ""
+            split[w] = (low, m[2]) if m and len(low) == len(m[1]) else (t, "")
+        if len(self.parts) > self.part_limit:
+            self.parts = {"": b""}
+        self.learn_parts({p for pair in split.values() for p in pair if p not in self.parts})
+        parts = self.parts
+        self.known.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})
+
+    def learn_parts(self, parts: set[str]) -> None:
+        """Encodes new parts, many in one call: a control character between spaces, one token of its own, divides them."""
+        joined = [p for p in parts if self.apart is not None and _APART not in p and "<|" not in p]
+        for begin in range(0, len(joined), 2000):
+            some = joined[begin : begin + 2000]
+            ids = np.array(self.tokenizer.encode(f" {_APART} ".join(some), add_special_tokens=False).ids)
             data, ends = ids.astype(f"<u{self.width}").tobytes(), [*np.flatnonzero(ids == self.apart).tolist(), len(ids)]
             at = 0
-            for word, end in zip(some, ends, strict=True):
-                self.known[word] = data[at * self.width : end * self.width]
+            for part, end in zip(some, ends, strict=True):
+                self.parts[part] = data[at * self.width : end * self.width]
                 at = end + 1
-        for word in words.difference(plain):
-            self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).astype(f"<u{self.width}").tobytes()
+        for part in parts.difference(joined):
+            self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids).astype(f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         found = [t.split() if t else [] for t in texts]
