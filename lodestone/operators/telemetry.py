@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def seconds_of(c: str | Column) -> Column:
+    """Seconds as a number, of timestamps with or without a zone."""
+    return (F.col(c) if isinstance(c, str) else c).cast("timestamp").cast("double")
+
+
 def latency(c: str | Column, prefix: str = "", percentiles: Sequence[int] = (50, 90, 95, 99)) -> list[Column]:
     """Aggregates n, mean, min, percentiles (linear between neighbours) and max; nulls don't count."""
     x = F.col(c) if isinstance(c, str) else c
@@ -27,7 +32,7 @@ def resource_phases(samples: DataFrame, memory: Sequence[str] = ("api_mb", "llm_
     """For each phase: samples, first, last, peak and mean memory, CPU, threads, GPU peaks, least free memory; and the
     slopes in MB a minute, for which the first `skip` of the samples are left out."""
     order = Window.partitionBy(phase).orderBy(at)
-    rows = samples.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(phase)), "_m": (F.col(at).cast("double") - F.min(F.col(at).cast("double")).over(Window.partitionBy(phase))) / 60.0})
+    rows = samples.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(phase)), "_m": (seconds_of(at) - F.min(seconds_of(at)).over(Window.partitionBy(phase))) / 60.0})
     late = F.col("_i") > F.floor(F.col("_n") * skip)
     aggregates = [F.count("*").alias("samples")]
     for m in memory:
@@ -50,7 +55,7 @@ def stage_breakdown(rows: DataFrame, stage: str = "stage", seconds: str = "secon
 def load_levels(requests: DataFrame, level: str = "level") -> DataFrame:
     """requests(level, ok, timed_out, ttft, total, started, ended) by level of concurrency."""
     ok = F.col("ok")
-    wall = F.max("ended").cast("double") - F.min("started").cast("double")
+    wall = seconds_of(F.max("ended")) - seconds_of(F.min("started"))
     return requests.groupBy(level).agg(
         F.count("*").alias("n"), rate(F.count_if(ok), F.count("*")).alias("success"), F.count_if("timed_out").alias("timeouts"), F.percentile(F.when(ok, F.col("ttft")), F.lit(0.95)).alias("ttft_p95"),
         F.percentile(F.when(ok, F.col("total")), F.lit(0.5)).alias("total_p50"), F.percentile(F.when(ok, F.col("total")), F.lit(0.95)).alias("total_p95"), F.try_divide(F.count_if(ok).cast("double"), wall).alias("ok_per_s"),
@@ -69,7 +74,7 @@ def error_kinds(requests: DataFrame, error: str = "error", size: int = 40, most:
 
 def drift(requests: DataFrame, at: str = "ts", seconds: str = "total", ok: str = "ok", by: Sequence[str] = ()) -> DataFrame:
     """p95 of the last third of the run over p95 of the first, of good requests; and the error rate."""
-    t = F.col(at).cast("double")
+    t = seconds_of(at)
     spans = requests.groupBy(*by).agg(F.min(t).alias("_b"), F.max(t).alias("_e"))
     rows = requests.join(spans, list(by)) if by else requests.crossJoin(F.broadcast(spans))
     third = (t - F.col("_b")) / F.greatest((F.col("_e") - F.col("_b")) / 3, F.lit(1e-9))
@@ -91,7 +96,7 @@ def request_rollup(events: DataFrame, key: str = "request_id", at: str = "ts") -
     field = lambda name: F.get_json_object("data", f"$.{name}")
     text = F.coalesce(field("answer"), field("text"), field("content"))
     parts = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("event") == kind, F.struct("seq", text.alias("t"))))), lambda x: x["t"]), "" if kind == "chunk" else "\n")
-    t = F.col(at).cast("double")
+    t = seconds_of(at)
     content = F.col("event").isin("chunk", "section", "done") & (F.coalesce(text, F.lit("")) != "")
     ids = F.regexp_extract_all(F.coalesce("data", F.lit("")), F.lit(r'"document_id"\s*:\s*"([^"]+)"'), F.lit(1))
     one = events.groupBy(key).agg(

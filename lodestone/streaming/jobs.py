@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from lodestone.operators.telemetry import seconds_of
+
 
 def admit(times: Sequence[float], limit: int, window: float, held: Sequence[float] = ()) -> tuple[list[bool], list[float]]:
     """Which hits pass: those with under `limit` admitted hits in the window before them. Rejected hits don't count. Also
@@ -33,15 +35,15 @@ def admission_batch(hits: DataFrame, limit: int = 60, window: float = 60.0, key:
 
     Only clients that ever have more than `limit` hits within a window can be rejected, so only their rows are grouped;
     all others pass by a window count."""
-    t = F.col(at).cast("double")
-    busy = F.count("*").over(Window.partitionBy(key).orderBy(t).rangeBetween(-window, 0))
-    counted = hits.withColumns({"_t": t, "_busy": busy})
+    micros, span = F.unix_micros(F.col(at).cast("timestamp")), int(window * 1e6)
+    busy = F.count("*").over(Window.partitionBy(key).orderBy("_t").rangeBetween(-span, 0))
+    counted = hits.withColumn("_t", micros).withColumn("_busy", busy)
     hot = counted.groupBy(key).agg((F.max("_busy") > limit).alias("_hot"))
     marked = counted.join(hot, key).drop("_busy")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", tie])
-        return pdf.assign(allowed=admit(pdf["_t"].tolist(), limit, window)[0])[[tie, "allowed"]]
+        return pdf.assign(allowed=admit(pdf["_t"].tolist(), limit, span)[0])[[tie, "allowed"]]
 
     kind = dict(hits.dtypes)[tie]
     if limit <= 0:
@@ -61,13 +63,13 @@ def admission_stream(hits: DataFrame, limit: int = 60, window: float = 60.0, key
             return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["t", tie])
-        allowed, held = admit(rows["t"].tolist(), limit, window, held)
+        allowed, held = admit(rows["t"].tolist(), limit, int(window * 1e6), held)
         state.update((held,))
         state.setTimeoutDuration(int(window * 1000))
         yield pd.DataFrame({key: client[0], tie: rows[tie], "allowed": allowed})
 
-    timed = hits.select(key, tie, F.col(at).cast("double").alias("t"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = hits.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame, int], Any], checkpoint: str) -> StreamingQuery:
@@ -100,7 +102,7 @@ def rollup_stream(events: DataFrame, late: str = "10 minutes", span: str = "10 m
     """Requests of a stream of events by time span: done, ttft, chunks. In append mode a span is emitted when the watermark
     has passed it."""
     content = F.col("event").isin("chunk", "section", "done")
-    t = F.col(at).cast("double")
+    t = seconds_of(at)
     return (
         events.withWatermark(at, late)
         .groupBy(F.window(at, span), key)
