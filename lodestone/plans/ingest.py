@@ -84,14 +84,20 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact(titled(spark, sf_dir))[1]
 
 
-def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings and, as rows 1000000 on, a nearby copy of every fifth."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
-    return dedup.near_pairs(e).select("i", "j", F.round("sim", 4).alias("sim"))
+    near = F.transform("embedding", lambda x, i: (x * (1.0 + 0.2 * (i % 3 - 1))).cast("float"))
+    return e.unionByName(e.filter(F.col("row_index") % 5 == 0).select((F.col("row_index") + 1_000_000).alias("row_index"), near.alias("embedding")))
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_pairs(_vectors(spark, sf_dir)).select("i", "j", F.round("sim", 4).alias("sim"))
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), F.col("vec_id").cast("string").alias("document_id"), F.repeat(F.lit("x"), (F.pmod("vec_id", F.lit(7)) + 1).cast("int")).alias("content"), "embedding")
-    return dedup.near(e)[1]
+    size = (F.pmod("row_index", F.lit(7)) + 1).cast("int")
+    return dedup.near(_vectors(spark, sf_dir).withColumns({"document_id": F.col("row_index").cast("string"), "content": F.repeat(F.lit("x"), size)}))[1]
 
 
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +150,11 @@ QUERIES = {
     "upsert_index": upsert_index, "page_text": page_text, "source_changes": source_changes, "labelled_cases": labelled_cases, "stage_log": stage_log,
 }
 
+# at sf0.01 every near vector has one partner, so each pair decides itself
+_PAIRS = """WITH e AS (SELECT vec_id AS r, embedding FROM embeddings),
+    v AS (SELECT r, CAST(embedding AS DOUBLE[]) AS x FROM e UNION ALL
+      SELECT r + 1000000, CAST(list_transform(embedding, lambda y, i: CAST(y * (1.0 + 0.2 * ((i - 1) % 3 - 1)) AS FLOAT)) AS DOUBLE[]) FROM e WHERE r % 5 = 0),
+    p AS (SELECT a.r AS i, b.r AS j, round(list_cosine_similarity(a.x, b.x), 4) AS sim FROM v a JOIN v b ON a.r < b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.95)"""
 _UUID = """lower(concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], (['8','9','a','b'])[((strpos('0123456789abcdef', h[17]) - 1) & 3) + 1] || h[18:20], h[21:32]))"""
 
 ORACLES = {
@@ -175,8 +186,9 @@ ORACLES = {
         UNION ALL SELECT p_partkey || '_fee', 'fee', 'fee', 'Tên: ' || p_name || chr(10) || 'Fee:' || chr(10) || p_brand FROM part WHERE p_size > 25
         UNION ALL SELECT p_partkey || '_general', 'general', 'general', p_name || ' ' || p_type FROM part""",
     "exact_dedup": f"SELECT row_index, document_id, 'content' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY row_index) AS n FROM {_T}) WHERE n > 1",
-    "near_pairs": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-        SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 4) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
+    "near_pairs": f"{_PAIRS} SELECT i, j, sim FROM p",
+    "near_dedup": f"""{_PAIRS}, d AS (SELECT *, i % 7 AS a, j % 7 AS b FROM p)
+        SELECT CASE WHEN a < b THEN i ELSE j END AS removed, CASE WHEN a < b THEN j ELSE i END AS kept, sim FROM d""",
     "index_rows": f"SELECT document_id, {_UUID} AS point_id, sha256(content) AS hash FROM (SELECT *, sha1(unhex('{index_store.DNS_NAMESPACE}') || encode(document_id || '_doc_1')) AS h FROM {_T})",
     "upsert_index": f"""SELECT {_UUID} AS point_id, chunk_id, md5(CASE WHEN row_index % 3 = 0 THEN 'new ' || content ELSE content END) AS text_md5
         FROM (SELECT *, document_id || '_doc_1' AS chunk_id, sha1(unhex('{index_store.DNS_NAMESPACE}') || encode(document_id || '_doc_1')) AS h FROM {_T} WHERE row_index % 2 = 0 OR row_index % 3 = 0)""",

@@ -22,8 +22,10 @@ def read_json(spark: SparkSession, path: str, schema: StructType, source_type: s
     full = StructType([*schema.fields, StructField(BROKEN, StringType())])
     df = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
     df = df.withColumn("source_path", F.col("_metadata.file_path"))
+    # Spark reads the text of broken records only together with another column
+    read = F.length(F.coalesce(F.col(schema.names[0]).cast("string"), F.lit(""))) >= 0
     kind = F.coalesce(blank_to_null(F.col("source_type")), F.lit(source_type)) if "source_type" in schema.names else F.lit(source_type)
-    return df.filter(F.col(BROKEN).isNull()).drop(BROKEN).withColumn("source_type", kind), df.filter(F.col(BROKEN).isNotNull()).select("source_path", F.col(BROKEN).alias("raw_text"))
+    return df.filter(F.col(BROKEN).isNull()).drop(BROKEN).withColumn("source_type", kind), df.filter(F.col(BROKEN).isNotNull() & read).select("source_path", F.col(BROKEN).alias("raw_text"))
 
 
 def read_csv(spark: SparkSession, path: str, source_type: str = "tabular") -> DataFrame:
@@ -80,7 +82,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_files(files: DataFrame, known: Sequence[str] = ("json", "csv", "pdf", "docx", "xlsx", "txt"), most: int = 20 << 20) -> DataFrame:
-    """files(path, content, length) with ok and reason."""
+    """files(path, content, length) with ok and reason. (Spark's file listing leaves out files without a byte.)"""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     text = F.try_validate_utf8("content")
     parsed = F.try_parse_json(F.when(kind == "json", text))
