@@ -52,10 +52,10 @@ def admission_batch(hits: DataFrame, limit: int = 60, window: float = 60.0, key:
     return hits.join(some, tie, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
-def admission_stream(hits: DataFrame, limit: int = 60, window: float = 60.0, key: str = "client", at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """As admission_batch() on a stream; the state of a client is its admitted times, and goes when it has been idle for
-    the window."""
-    kinds = dict(hits.dtypes)
+def admission_stream(hits: DataFrame, limit: int = 60, window: float = 60.0, key: str = "client", at: str = "ts", tie: str = "event_id", late: str = "10 minutes") -> DataFrame:
+    """As admission_batch() on a stream; the state of a client is its admitted times, and goes when the watermark (the
+    newest time less `late`) has passed its last hit by the window."""
+    kinds, span = dict(hits.dtypes), int(window * 1e6)
 
     def step(client: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,13 +63,14 @@ def admission_stream(hits: DataFrame, limit: int = 60, window: float = 60.0, key
             return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["t", tie])
-        allowed, held = admit(rows["t"].tolist(), limit, int(window * 1e6), held)
+        allowed, held = admit(rows["t"].tolist(), limit, span, held)
         state.update((held,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int(rows["t"].iloc[-1] + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: client[0], tie: rows[tie], "allowed": allowed})
 
-    timed = hits.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    stamped = hits.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    timed = stamped.select(key, tie, "_at", F.unix_micros("_at").alias("t"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame, int], Any], checkpoint: str) -> StreamingQuery:

@@ -13,9 +13,8 @@ def _stream(spark, df, path):
 
 
 def _drain(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(dir="/tmp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(dir="/tmp")).start()
+    assert q.awaitTermination(60)
     return df.sparkSession.table(name)
 
 
