@@ -43,7 +43,7 @@ _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 class Words:
     """Word hashes, remembered in a bounded table of the worker."""
 
-    def __init__(self, limit: int = 600_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -137,7 +137,7 @@ def _deal(order: int, shards: int, grams: np.ndarray, counts: np.ndarray) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
 
 
-def _count(order: int, shards: int, most: int = 4_000_000):
+def _count(order: int, shards: int, most: int = 3_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -148,10 +148,11 @@ def _count(order: int, shards: int, most: int = 4_000_000):
                 size += len(tokens)
                 if size >= most:
                     grams = np.concatenate(held, axis=1)
-                    yield from _deal(order, shards, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
                     held, size = [], 0
+                    yield from _deal(order, shards, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
         if held:
             grams = np.concatenate(held, axis=1)
+            held = []
             yield from _deal(order, shards, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
 
     return run
