@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold_marks, tokens
+from lodestone.runtime import materialize
 
 # What a token weighs in each field.
 WEIGHTS = {"title": 3.5, "aliases": 2.5, "category": 1.5, "text": 1.0}
@@ -68,17 +69,24 @@ def bm25(index: DataFrame, queries: DataFrame, chunks: DataFrame, k1: float = 1.
     return asked.join(used.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
-def phrase_bonus(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
-    """candidates(query_id, chunk_id, score) with the bonus of chunks that hold the whole question, raw or folded. A chunk
-    that holds a question as whole words shares its terms and so is a candidate already; only a question that occurs
-    inside longer words alone would not be."""
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("q"), fold_marks(F.trim("query")).alias("qf"))
-    c = chunks.select("chunk_id", F.lower(_field(chunks, "title")).alias("t"), F.lower(_field(chunks, "text")).alias("x"))
-    c = c.withColumns({"tf": fold_marks(F.col("t")), "xf": fold_marks(F.col("x"))})
-    in_title = F.contains("t", F.col("q")) | F.contains("tf", F.col("qf"))
-    in_text = F.contains("x", F.col("q")) | F.contains("xf", F.col("qf"))
-    worth = F.when(in_title, title).otherwise(0.0) + F.when(in_text, text).otherwise(0.0)
-    return candidates.join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", (F.col("score") + worth).alias("score"))
+def phrase_bonus(candidates: DataFrame, index: DataFrame, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
+    """candidates(query_id, chunk_id, score) with the bonus of chunks that hold the whole question, folded (a raw match is
+    a folded one too).
+
+    Texts are joined only where the question's rarest inner token, which can't be part of a longer word of the match, is
+    in the chunk; for questions without inner tokens, to all their candidates. A chunk that holds a question as whole
+    words shares its terms and so is a candidate already; only one that holds it inside longer words alone would not be.
+    """
+    q = queries.select("query_id", fold_marks(F.trim(F.coalesce("query", F.lit("")))).alias("qf")).withColumn("inner", F.slice(tokens(F.col("qf")), F.lit(2), F.greatest(F.size(tokens(F.col("qf"))) - 2, F.lit(0))))
+    words = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(term_statistics(index), "term")
+    rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter("_n = 1").select("query_id", "term")
+    likely = rarest.join(index.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    short = candidates.select("query_id", "chunk_id").join(q.filter(F.size("inner") == 0).select("query_id"), "query_id", "left_semi")
+    c = chunks.select("chunk_id", fold_marks(_field(chunks, "title")).alias("tf"), fold_marks(_field(chunks, "text")).alias("xf"))
+    held = likely.unionByName(short).join(q.filter("qf <> ''").select("query_id", "qf"), "query_id").join(c, "chunk_id")
+    worth = F.when(F.contains("tf", F.col("qf")), title).otherwise(0.0) + F.when(F.contains("xf", F.col("qf")), text).otherwise(0.0)
+    bonus = held.select("query_id", "chunk_id", worth.alias("bonus")).filter("bonus > 0")
+    return candidates.join(bonus, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = 15, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -90,7 +98,8 @@ def top_k(scored: DataFrame, k: int = 15, score: str = "score", tie: str = "chun
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 15, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(query_id, chunk_id, score, raw_score, rank): BM25 with the phrase bonus."""
-    return top_k(phrase_bonus(bm25(postings(chunks, weights), queries, chunks), queries, chunks), k)
+    index = materialize(postings(chunks, weights), "postings")
+    return top_k(phrase_bonus(bm25(index, queries, chunks), index, queries, chunks), k)
 
 
 def alias_catalog(records: DataFrame) -> DataFrame:
