@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,47 +47,62 @@ class WordEncoder:
     """
 
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+    marks = string.punctuation.encode()
 
-    def __init__(self, path: str, limit: int = 700_000, part_limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000, part_limit: int = 1_500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.format = "H" if self.width == 2 else "I"
         self.limit, self.part_limit = limit, part_limit
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[bytes, bytes] = {b"": b""}
         apart = self.tokenizer.encode(_APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
+        # whether the model alone gives a lower-case word's ids, as normaliser and splitter leave it as it is
+        self.direct = all(self.tokenizer.encode(x, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(x.lower())] for x in ("a", "The", "reading", "Zqxvjkw"))
 
     def learn(self, words: set[bytes]) -> None:
-        split: dict[bytes, tuple[str, str]] = {}
+        split: dict[bytes, tuple[bytes, bytes]] = {}
         for w in words:
-            t = w.decode()
-            m = self.plain.fullmatch(t)
+            core = w.rstrip(self.marks)
+            if core.isalpha():
+                split[w] = (core.lower(), w[len(core) :])
+                continue
+            m = self.plain.fullmatch(w.decode())
             low = m[1].lower() if m else ""
-            split[w] = (low, m[2]) if m and len(low) == len(m[1]) else (t, "")
+            split[w] = (low.encode(), m[2].encode()) if m and len(low) == len(m[1]) else (w, b"")
         if len(self.parts) > self.part_limit:
-            self.parts = {"": b""}
-        self.learn_parts({p for pair in split.values() for p in pair if p not in self.parts})
+            self.parts = {b"": b""}
+        self.learn_parts({p for pair in split.values() for p in pair}.difference(self.parts))
         parts = self.parts
         self.known.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})
 
-    def learn_parts(self, parts: set[str]) -> None:
-        """Encodes new parts, many in one call: a control character between spaces, one token of its own, divides them."""
-        joined = [p for p in parts if self.apart is not None and _APART not in p and "<|" not in p]
+    def learn_parts(self, parts: set[bytes]) -> None:
+        """Encodes new parts: lower-case ASCII words by the model alone; others many in one call, where a control character
+        between spaces, one token of its own, divides them; and those that hold such a string one by one."""
+        joined, form, tokenize = [], self.format, self.model.tokenize
+        for p in parts:
+            if self.direct and p.isalpha() and p.islower():
+                ids = [t.id for t in tokenize(p.decode())]
+                self.parts[p] = struct.pack(f"<{len(ids)}{form}", *ids)
+            elif self.apart is not None and b"\x01" not in p and b"<|" not in p:
+                joined.append(p)
+            else:
+                self.parts[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).astype(f"<u{self.width}").tobytes()
         for begin in range(0, len(joined), 2000):
             some = joined[begin : begin + 2000]
-            ids = np.array(self.tokenizer.encode(f" {_APART} ".join(some), add_special_tokens=False).ids)
+            ids = np.array(self.tokenizer.encode(f" {_APART} ".encode().join(some).decode(), add_special_tokens=False).ids)
             data, ends = ids.astype(f"<u{self.width}").tobytes(), [*np.flatnonzero(ids == self.apart).tolist(), len(ids)]
             at = 0
             for part, end in zip(some, ends, strict=True):
                 self.parts[part] = data[at * self.width : end * self.width]
                 at = end + 1
-        for part in parts.difference(joined):
-            self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids).astype(f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         found = [t.split() if t else [] for t in texts]
         known = self.known
-        new = {w for ws in found for w in ws if w not in known}
+        new = set().union(*found).difference(known)
         if len(known) + len(new) > self.limit:
             known.clear()
             new = set().union(*found)
