@@ -70,8 +70,10 @@ def record_chunks(records: DataFrame, extra: Sequence[str], longest: int = 2500,
     """One chunk for each record: title line, 'column: value' lines (else the content), alias line; split if very long."""
     lines = record_text(extra) if extra else F.lit("")
     body = F.when(lines != "", lines).otherwise(F.coalesce(blank_to_null(F.col("content")), F.lit(""))) if "content" in records.columns else lines
-    other = F.concat(F.lit("Tên gọi khác: "), F.array_join("aliases", ", ")) if "aliases" in records.columns else F.lit(None).cast("string")
-    whole = F.concat_ws("\n", F.concat(F.lit(f"{label}: "), F.col("title")), F.nullif(body, F.lit("")), F.when(F.size("aliases") > 0, other) if "aliases" in records.columns else None) if "aliases" in records.columns else F.concat_ws("\n", F.concat(F.lit(f"{label}: "), F.col("title")), F.nullif(body, F.lit("")))
+    lines_of = [F.concat(F.lit(f"{label}: "), F.col("title")), F.nullif(body, F.lit(""))]
+    if "aliases" in records.columns:
+        lines_of.append(F.when(F.size("aliases") > 0, F.concat(F.lit("Tên gọi khác: "), F.array_join("aliases", ", "))))
+    whole = F.concat_ws("\n", *lines_of)
     short, long = records.withColumn("_w", whole).filter(F.length("_w") <= longest), records.withColumn("_w", whole).filter(F.length("_w") > longest)
     parts = short.withColumn("_parts", F.array("_w")).unionByName(long.withColumn("_parts", split_long(F.col("_w"), longest, overlap))).drop("_w")
     return _number(parts, "_parts", F.concat("document_id", F.lit("_general")), False).withColumn("field", F.lit("general"))

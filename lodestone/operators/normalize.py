@@ -82,7 +82,7 @@ def parse_aliases(c: Column) -> Column:
 
 
 def enrich_content(content: Column, raw_text: Column, title: Column, others: Sequence[str]) -> Column:
-    lines = F.concat_ws("\n", F.concat(F.lit("Tiêu đề: "), title), record_text(others) if others else None) if others else F.concat(F.lit("Tiêu đề: "), title)
+    lines = F.concat_ws("\n", F.concat(F.lit("Tiêu đề: "), title), *([record_text(others)] if others else []))
     return F.coalesce(F.nullif(content, F.lit("")), blank_to_null(raw_text), lines)
 
 
