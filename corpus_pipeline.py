@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, pieces, quality, simhash
+from lodestone.llm import langid, mixing, neardup, pieces, quality
 from lodestone.runtime import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.4  # of the letters, in the main language
+SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle; Jaccard similarity of near duplicates
 #: Trained models and hashes can't be written in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
@@ -27,10 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once; rows without an id go."""
-    kept = simhash.simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source")))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
+    """Of each group of near duplicates (SHINGLE words, SIMILARITY or more, verified on the texts) one row stays: that with the
+    least id (no id comes last), of equal ids the least text hash."""
+    first = F.row_number().over(Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "source")))
+    return neardup.near_groups(docs, words=SHINGLE, threshold=SIMILARITY).withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
