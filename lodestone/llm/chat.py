@@ -41,12 +41,15 @@ def unescape_role(role: Column) -> Column:
 
 
 def linear_parents(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Turn tables as trees: the parent of each turn is the turn before it. Columns tree, node, parent, role, text, score."""
-    before = Window.partitionBy(conv).orderBy(turn)
-    return rows.select(
+    """Turn tables as trees: the parent of each row is the row before it. Columns tree, node, parent, role, text, score.
+
+    Rows are numbered by turn (null ones last, as in SQL), role and text, so that rows with equal or null turns all count.
+    """
+    place = F.row_number().over(Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), "role", "text")).cast("long")
+    return rows.withColumn("_place", place).select(
         F.col(conv).alias("tree"),
-        F.col(turn).alias("node"),
-        F.lag(turn).over(before).alias("parent"),
+        F.col("_place").alias("node"),
+        F.when(F.col("_place") > 1, F.col("_place") - 1).alias("parent"),
         "role",
         "text",
         F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("double").alias("score"),
