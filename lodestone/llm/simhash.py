@@ -12,8 +12,8 @@ holds a bounded number of distinct fingerprints however many documents there are
 least member of each local group leave the task.
 
 Edge cases: a null or empty text has no word and the fingerprint 0, which is linked like any other; a text with fewer
-words than a shingle is one shingle; repeated rows share a fingerprint and a component; rows with a null id get the
-component of their fingerprint's other rows (null if there are none); extra columns are dropped; empty tables give
+words than a shingle is one shingle; repeated rows share a fingerprint and a component; rows with a null id
+link others like any row and get the least id of their component (null if it holds none); extra columns are dropped; empty tables give
 empty results.
 """
 
@@ -144,7 +144,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fps = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = materialize(fingerprint_links(distinct, radius), "fingerprint-links")
-    ends = links.join(distinct.toDF("a", "least_a"), "a").join(distinct.toDF("b", "least_b"), "b")
-    found = connected_components(ends, "least_a", "least_b")
-    groups = distinct.join(found, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    found = connected_components(links)
+    rooted = materialize(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
+    groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
