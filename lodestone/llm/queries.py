@@ -112,8 +112,8 @@ FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokenizer = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
-    dictionary = tokenfile.train_dictionary(docs, tokenizer, end=2)
-    return tokenfile.read_index(tokenfile.write_blocks(docs, tokenizer, 2, dictionary), dictionary)
+    corpus = tokenfile.survey(docs, tokenizer, end=2)
+    return tokenfile.read_index(tokenfile.write_blocks(docs, tokenizer, 2, corpus), corpus)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ the SHA-256 of the shared zstandard dictionary, the offset index, the document i
 frame per document. Any document of a block is read by its offset alone. The dictionary is trained on the serialised
 ids of a bounded sample of whole documents and travels with the table's readers.
 
-Words are encoded once per worker and remembered in a bounded table: the tokenizer drops white space and never joins
-across it, so a text's ids are its words' ids one after the other.
+A tokenizer with the WORDWISE rules drops white space and never joins across it, so a text's ids are its words' ids one
+after the other; parts of words are encoded once per worker and remembered in a bounded table. With any other tokenizer
+whole texts are encoded.
 
 Edge cases: a null or empty text has only the end id; a null document id sorts first; rows with the same id follow each
 other, ordered by their text's hash; an empty table gives an empty file; extra columns are dropped; texts of any length
@@ -16,7 +17,7 @@ are one frame.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import string
 import struct
 import zlib
@@ -25,9 +26,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,79 +38,115 @@ from lodestone.runtime import materialize
 MAGIC = b"TIDB\x01"
 HEAD = struct.Struct("<5sB32sI")
 _APART = "\x01"
+#: The rules of a tokenizer file by which white space goes, letters and marks are parted from each other, and
+#: nothing is joined across them.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian bytes of the given width.
+    """Ids of texts, as arrays of the narrowest unsigned type that holds the vocabulary.
 
-    Most words are a run of Latin letters and ASCII punctuation after it. The tokenizer lowers the case and parts letters
-    from punctuation, so such a word's ids are those of its lower-case letters and of its punctuation, and far fewer
-    different parts than words have to be encoded. All other words are encoded as they are.
+    The words of a batch are told apart by Arrow, and each different one is cut into a run of Latin letters, lower-cased,
+    and the ASCII punctuation after it; other words stay whole. Only parts that the worker doesn't remember are encoded;
+    the ids of all words are then gathered by index. This holds for tokenizers with WORDWISE rules only: others encode
+    whole texts.
     """
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
-    marks = string.punctuation.encode()
+    plain = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-/:-@\\[-`{-~]*$"
+    marks = string.punctuation
 
-    def __init__(self, path: str, limit: int = 700_000, part_limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, part_limit: int = 1_500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.format = "H" if self.width == 2 else "I"
-        self.limit, self.part_limit = limit, part_limit
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.part_limit = part_limit
+        self.known: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.wordwise = {k: told.get(k) for k in WORDWISE} == WORDWISE
         apart = self.tokenizer.encode(_APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
-        # whether the model alone gives a lower-case word's ids, as normaliser and splitter leave it as it is
-        self.direct = all(self.tokenizer.encode(x, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(x.lower())] for x in ("a", "The", "reading", "Zqxvjkw"))
-
-    def learn(self, words: set[bytes]) -> None:
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            core = w.rstrip(self.marks)
-            if core.isalpha():
-                split[w] = (core.lower(), w[len(core) :])
-                continue
-            m = self.plain.fullmatch(w.decode())
-            low = m[1].lower() if m else ""
-            split[w] = (low.encode(), m[2].encode()) if m and len(low) == len(m[1]) else (w, b"")
-        if len(self.parts) > self.part_limit:
-            self.parts = {b"": b""}
-        self.learn_parts({p for pair in split.values() for p in pair}.difference(self.parts))
-        parts = self.parts
-        self.known.update({w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in split.items()})
-
-    def learn_parts(self, parts: set[bytes]) -> None:
-        """Encodes new parts: lower-case ASCII words by the model alone; others many in one call, where a control character
-        between spaces, one token of its own, divides them; and those that hold such a string one by one."""
-        joined, form, tokenize = [], self.format, self.model.tokenize
+
+    def serial(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.format}", *ids)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes new parts: lower-case ASCII letters by the model alone, as the rules leave them as they are; others many
+        in one call, where a control character between spaces, one token of its own, divides them; and those that hold such
+        a string one by one."""
+        joined, tokenize, form = [], self.model.tokenize, self.format
         for p in parts:
-            if self.direct and p.isalpha() and p.islower():
-                ids = [t.id for t in tokenize(p.decode())]
-                self.parts[p] = struct.pack(f"<{len(ids)}{form}", *ids)
-            elif self.apart is not None and b"\x01" not in p and b"<|" not in p:
+            if p.isascii() and p.isalpha() and p.islower():
+                ids = [t.id for t in tokenize(p)]
+                self.known[p] = struct.pack(f"<{len(ids)}{form}", *ids)
+            elif self.apart is not None and _APART not in p and "<|" not in p:
                 joined.append(p)
             else:
-                self.parts[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).astype(f"<u{self.width}").tobytes()
+                self.known[p] = self.serial(self.tokenizer.encode(p, add_special_tokens=False).ids)
         for begin in range(0, len(joined), 2000):
             some = joined[begin : begin + 2000]
-            ids = np.array(self.tokenizer.encode(f" {_APART} ".encode().join(some).decode(), add_special_tokens=False).ids)
-            data, ends = ids.astype(f"<u{self.width}").tobytes(), [*np.flatnonzero(ids == self.apart).tolist(), len(ids)]
+            ids = np.array(self.tokenizer.encode(f" {_APART} ".join(some), add_special_tokens=False).ids)
             at = 0
-            for part, end in zip(some, ends, strict=True):
-                self.parts[part] = data[at * self.width : end * self.width]
+            for part, end in zip(some, [*np.flatnonzero(ids == self.apart).tolist(), len(ids)], strict=True):
+                self.known[part] = ids[at:end].astype(f"<u{self.width}").tobytes()
                 at = end + 1
 
-    def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        found = [t.split() if t else [] for t in texts]
-        known = self.known
-        new = set().union(*found).difference(known)
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set().union(*found)
-        self.learn(new)
-        last = end.to_bytes(self.width, "little")
-        return [b"".join([known[w] for w in ws]) + last for ws in found]
+    def parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of each word its letters, lower-cased, and its marks; of words that aren't such, the word and nothing."""
+        plain = pc.match_substring_regex(words, self.plain)
+        end = pc.if_else(plain, pc.utf8_ltrim(words, self.latin), "")
+        core = pc.if_else(plain, pc.utf8_lower(pc.ascii_rtrim(words, self.marks)), words)
+        return core, end
+
+    latin = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and (c.isascii() or 0xC0 <= ord(c) != 0x130))
+
+    def found(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the different parts, one after the other; of each part where its ids begin and how many they are."""
+        told = parts.dictionary_encode()
+        each = told.dictionary.to_pylist()
+        if len(self.known) > self.part_limit:
+            self.known = {"": b""}
+        self.learn([p for p in each if p not in self.known])
+        ids = [self.known[p] for p in each]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+        which = told.indices.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(ids), f"<u{self.width}"), (np.cumsum(sizes) - sizes)[which], sizes[which]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and each text's number of them."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        if not self.wordwise:
+            ids = [[*self.tokenizer.encode(t, add_special_tokens=False).ids, end] for t in texts.to_pylist()]
+            return np.array([i for x in ids for i in x], dtype=f"<u{self.width}"), np.array([len(x) for x in ids], dtype=np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        (a, a_at, a_n), (b, b_at, b_n) = map(self.found, self.parts(words.dictionary))
+        pool = np.concatenate([a, b, np.array([end], dtype=f"<u{self.width}")])
+        which = words.indices.to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # two segments of the pool for each word, and one for each text's end
+        at, size = np.empty(2 * len(which) + n, dtype=np.int64), np.ones(2 * len(which) + n, dtype=np.int64)
+        ends = np.cumsum(2 * counts + 1) - 1
+        inside = np.ones(len(at), dtype=bool)
+        inside[ends] = False
+        at[ends] = len(pool) - 1
+        at[inside] = np.stack([a_at[which], len(a) + b_at[which]], axis=1).ravel()
+        size[inside] = np.stack([a_n[which], b_n[which]], axis=1).ravel()
+        until = np.cumsum(size)
+        ids = pool[np.repeat(at - until + size, size) + np.arange(until[-1] if len(until) else 0)]
+        return ids, np.diff(until[ends], prepend=0) if n else np.zeros(0, dtype=np.int64)
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -120,24 +158,55 @@ def _encoder(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
+def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+    """Runs of texts with about so many bytes, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield texts.slice(begin, end - begin)
+
+
+def _payloads(encoder: WordEncoder, texts: pa.Array, end: int) -> Iterator[bytes]:
+    """The serialised ids of each text."""
+    for some in _slices(texts):
+        ids, sizes = encoder.encode(some, end)
+        data, until = memoryview(ids.tobytes()), (np.cumsum(sizes) * encoder.width).tolist()
+        for begin, stop in zip([0, *until[:-1]], until, strict=True):
+            yield bytes(data[begin:stop])
+
+
 def serialised(docs: DataFrame, tokenizer: str, end: int, text: str = "text") -> DataFrame:
     """(payload): the serialised ids of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_encoder(tokenizer).encode(b.column(0).cast(pa.binary()).to_pylist(), end), type=pa.binary())], names=["payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(_payloads(_encoder(tokenizer), b.column(0), end), type=pa.binary())], names=["payload"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "payload binary")
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", sample: int = 400, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary from the `sample` documents with the least hashes; raw content where training can't work."""
-    few = docs.select(text, F.xxhash64(doc_id, F.char_length(text)).alias("h")).orderBy("h").limit(sample)
-    payloads = [bytes(r.payload) for r in serialised(few, tokenizer, end, text).collect()]
+class Corpus(NamedTuple):
+    """What one pass over the documents tells before they are written."""
+
+    dictionary: bytes
+    text_bytes: int
+
+
+def survey(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", sample: int = 400, longest: int = 1 << 16, size: int = 1 << 16) -> Corpus:
+    """A zstandard dictionary, and the bytes of all texts. The dictionary is trained on about `sample` whole documents of up
+    to `longest` bytes, those with the least hashes of id and text, each taken once; so it needs about sample * longest
+    bytes at most, however many documents there are. Where training can't work it is raw content."""
+    n, seen = docs.count(), Observation()
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    most = (sample << 64) // max(n, sample) - (1 << 63) - 1
+    drawn = rows.observe(seen, F.sum("bytes").alias("bytes")).filter((F.col("h") <= most) & (F.col("bytes") <= longest)).dropDuplicates(["h"])
+    payloads = sorted(bytes(r.payload) for r in serialised(drawn, tokenizer, end).collect())
+    total = seen.get["bytes"] or 0
     try:
-        return zstandard.train_dictionary(size, payloads).as_bytes()
+        return Corpus(zstandard.train_dictionary(size, payloads).as_bytes(), total)
     except (zstandard.ZstdError, ValueError):
-        return b"".join(payloads)[-size:]
+        return Corpus(b"".join(payloads)[-size:], total)
 
 
 class Codec:
@@ -187,12 +256,16 @@ class Block(NamedTuple):
         return np.frombuffer(self.codec.decompressor.decompress(self.frames[begin:end]), f"<u{self.width}")
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end: int, dictionary: bytes, doc_id: str = "doc_id", text: str = "text", block_docs: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+def write_blocks(
+    docs: DataFrame, tokenizer: str, end: int, corpus: Corpus, doc_id: str = "doc_id", text: str = "text", block_docs: int = 512, block_bytes: int = 4 << 20, part_bytes: tuple[int, int] = (16 << 20, 256 << 20)
+) -> DataFrame:
     """Writes the file and returns its table: (part, seq, n_docs, n_tokens, data), in ascending order of document id by
-    (part, seq). A block ends at block_docs documents or block_bytes of ids."""
+    (part, seq). A block ends at block_docs documents or block_bytes of ids. Partitions follow the bytes of the texts: the
+    smaller size up to 2,000 of them, then as many until they reach the larger size. Rows of one id are dealt by their
+    text's hash, so an id with very many rows takes several partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, codec, part, seq = _encoder(tokenizer), Codec(dictionary), TaskContext.get().partitionId(), 0
+        encoder, codec, part, seq = _encoder(tokenizer), Codec(corpus.dictionary), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         payloads: list[bytes] = []
         held = 0
@@ -204,29 +277,29 @@ def write_blocks(docs: DataFrame, tokenizer: str, end: int, dictionary: bytes, d
                 names=["part", "seq", "n_docs", "n_tokens", "data"],
             )
 
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                b = whole.slice(begin, 256)
-                for i, p in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).cast(pa.binary()).to_pylist(), end), strict=True):
-                    ids.append(i)
-                    payloads.append(p)
-                    held += len(p)
-                    if len(ids) >= block_docs or held >= block_bytes:
-                        yield block()
-                        ids, payloads, held, seq = [], [], 0, seq + 1
+        for b in batches:
+            for i, p in zip(b.column(0).to_pylist(), _payloads(encoder, b.column(1), end), strict=True):
+                ids.append(i)
+                payloads.append(p)
+                held += len(p)
+                if len(ids) >= block_docs or held >= block_bytes:
+                    yield block()
+                    ids, payloads, held, seq = [], [], 0, seq + 1
         if ids:
             yield block()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    least, most = part_bytes
+    parts = max(1, min(2000, -(-corpus.text_bytes // least)), -(-corpus.text_bytes // most))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return materialize(dealt.mapInArrow(run, "part int, seq int, n_docs int, n_tokens bigint, data binary"), "token-ids", "none")
 
 
-def read_index(blocks: DataFrame, dictionary: bytes) -> DataFrame:
+def read_index(blocks: DataFrame, corpus: Corpus) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from its frame; start counts the ids of all documents before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(dictionary)
+        codec = Codec(corpus.dictionary)
         for b in batches:
             for part, seq, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block.open(data, codec)

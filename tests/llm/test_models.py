@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 import sentencepiece
@@ -46,7 +47,7 @@ def test_edits_equal_a_full_count(spark):
 def test_token_files_round_trip(spark):
     path = P.path("word_bpe_49k.json")
     d = docs(spark).unionByName(docs(spark, ["twice"])).unionByName(docs(spark, ["none"]).selectExpr("cast(null as long) as doc_id", "text", "ids", "start"))
-    words = tokenfile.train_dictionary(d, path, 2)
+    words = tokenfile.survey(d, path, 2)
     blocks = tokenfile.write_blocks(d, path, 2, words, block_docs=3)
     got = tokenfile.read_index(blocks, words).orderBy("start").collect()
     whole, at = Tokenizer.from_file(path), 0
@@ -58,12 +59,24 @@ def test_token_files_round_trip(spark):
         assert r.start == at and any(r.n_tokens == len(x) and r.ids_crc32 == zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in texts[r.doc_id])
         at += r.n_tokens
     b = blocks.filter("n_docs = 3").first()
-    block = tokenfile.Block.open(b.data, tokenfile.Codec(words))
+    block = tokenfile.Block.open(b.data, tokenfile.Codec(words.dictionary))
     assert block.read(2).tolist() in texts[block.ids[2]]
     with pytest.raises(ValueError):
         tokenfile.Block.open(b.data, tokenfile.Codec(b""))
     none = d.filter("false")
-    assert tokenfile.read_index(tokenfile.write_blocks(none, path, 2, tokenfile.train_dictionary(none, path, 2)), b"").count() == 0
+    assert tokenfile.read_index(tokenfile.write_blocks(none, path, 2, tokenfile.survey(none, path, 2)), words).count() == 0
+    parted = tokenfile.read_index(tokenfile.write_blocks(d, path, 2, words, part_bytes=(1000, 1000)), words).orderBy("start").collect()
+    assert sorted((r.start, r.n_tokens) for r in parted) == sorted((r.start, r.n_tokens) for r in got)
+
+
+def test_words_have_the_ids_of_whole_texts():
+    r = random.Random(1)
+    bits = ["a", "B", "Zq", "'s", "'S", "'", "re", "1", "é", "É", "İ", "ı", "日", "\x1c", "\x85", "\x01", " ", "  ", "\n", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "K", "H\u0331", "\u0331", "\xa0", "ǅ", "-", "...", "_", "Ⱥ", "ﬁ"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    for name, wordwise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        e = tokenfile.WordEncoder(P.path(name))
+        ids, sizes = e.encode(pa.array(texts), 2)
+        assert e.wordwise == wordwise and [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
 def test_pieces_have_the_best_scores(spark):
