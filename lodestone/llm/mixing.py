@@ -1,22 +1,23 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in built-in functions throughout.
 
-Each source's documents are put in a fixed shuffled order and cut into blocks of equally many words. A slot of the
-schedule is one block: the k-th golden-ratio point, frac(k * phi), falls into one of the sources' intervals of the unit
-line, whose lengths are the sources' shares, so any stretch of the schedule holds all sources in proportion. A source's
-slots are ranked, and the r-th takes its block r modulo the number of its blocks: a second pass begins when the blocks
-are used up. Slots that the points leave out are appended, so that each source gets exactly its number of slots, and the
-last slot of a source is cut to the words that are still wanted.
+Each source's documents are put in a fixed shuffled order, by the MD5 of seed, id and text, and read as one stream of
+words that begins anew when it ends; the stream is cut into blocks of equally many words. The mix has as many slots as
+the targets have blocks. The k-th golden-ratio point, frac((k + 1) * phi), falls into one of the sources' intervals of
+the unit line, whose lengths are the sources' shares of all targets, and so decides which source has slot k; any stretch
+of the schedule holds all sources in proportion. The r-th slot of a source takes the r-th block of its stream. A slot
+ends where its source's target is reached, so no source goes beyond its target, and one falls short of it by a few
+blocks at most, as the points are spread that evenly. k is the order of the mix.
 
 Targets: `total` times the sum of all sizes, shared by weight; no target is above `most` times its source's size, and
 the excess is reshared by weight among the others until none is above.
 
 Running sums over a source's documents, and the ranks of the schedule, are taken in two steps: sums by ranges of the
 order, a window over the ranges' sums, and a window inside each range; so a source with a third of all rows is spread
-over all its ranges.
+over all its ranges, whose number follows the number of rows. Equal rows are collapsed, with their number, before that.
 
 Edge cases: a null text has size 0 and takes nothing; null is a source like others, the last; repeated rows are
 documents of their own; a null id is kept; an empty table gives an empty result; texts of any length may be cut between
-blocks; extra columns are dropped. Equal order hashes are decided by id, then size.
+blocks; extra columns are dropped. Rows with equal MD5, id and source are interchangeable.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from lodestone.functions.words import n_words
 from lodestone.runtime import materialize
 
 PHI = 0.6180339887498949
-CELLS = 1024  # of the unit line, for the join of points and intervals
 
 
 def _before(value: str, *keys: str, order: list[str]) -> Column:
@@ -54,65 +54,104 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: flo
     return s.select("source", "source_no", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("w")), F.col("limit")).cast("double").alias("target"))
 
 
-def schedule(sources: DataFrame, block_words: int) -> DataFrame:
-    """(source_no, slot, pass, block, cut): the slots of each source, ranked from 0; cut is the number of words that the
-    slot may take from the block's start. sources has source_no, source_size, target."""
-    size, target = F.col("source_size"), F.floor("target").cast("long")
-    whole, blocks = F.floor(target / F.greatest(size, F.lit(1))).cast("long"), F.ceil(size / block_words).cast("long")
-    rest = target - whole * size
-    plan = sources.filter((size > 0) & (target > 0)).select("source_no", blocks.alias("blocks"), whole.alias("whole"), rest.alias("rest"), (whole * blocks + F.ceil(rest / block_words)).cast("long").alias("slots"))
-    everything = Window.partitionBy(F.lit(0))
-    plan = plan.withColumns({"all": F.sum("slots").over(everything), "high": F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("source_no"))})
-    plan = plan.withColumns({"low": (F.col("high") - F.col("slots")) / F.col("all"), "high": F.col("high") / F.col("all")})
-    spark = sources.sparkSession
-    most = plan.agg(F.max("all")).first()[0] or 0
-    points = spark.range(most).select(F.col("id").alias("k"), ((F.col("id") + 1) * F.lit(PHI) % F.lit(1.0)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    lines = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)).cast("int"))))
-    drawn = points.join(lines.select("cell", "source_no", "low", "high"), "cell").filter("u >= low and u < high").select("source_no", "k", F.shiftright("k", 12).alias("range"))
+def block_size(words: int, slots: int = 1 << 20, least: int = 16, most: int = 4096) -> int:
+    """Words of a block, for about so many slots where the bounds allow it."""
+    return min(max(words // slots, least), most)
+
+
+def schedule(sources: DataFrame, block_words: int, phi: float = PHI) -> DataFrame:
+    """(k, source_no, slot): the source of each slot k of the mix, and the slot's rank among those of its source, from 0.
+    sources has source_no and target."""
+    plan = sources.select("source_no", F.floor("target").cast("long").alias("want")).filter("want > 0")
+    seen = plan.agg(F.coalesce(F.sum("want"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
+    cells = max(1024, 4 * seen["n"])  # of the unit line, for the join of points and intervals
+    plan = plan.withColumn("high", F.sum("want").over(Window.partitionBy(F.lit(0)).orderBy("source_no")))
+    plan = plan.select("source_no", ((F.col("high") - F.col("want")) / F.lit(float(seen["words"] or 1))).alias("low"), (F.col("high") / F.lit(float(seen["words"] or 1))).alias("high"))
+    points = sources.sparkSession.range(-(-seen["words"] // block_words)).select(F.col("id").alias("k"), ((F.col("id") + 1) * F.lit(phi) % F.lit(1.0)).alias("u"))
+    points = points.withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
+    lines = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("long"), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)).cast("long"))))
+    drawn = points.join(lines, "cell").filter("u >= low and u < high").select("k", "source_no", F.shiftright("k", 12).alias("range"))
     drawn = drawn.withColumn("inside", F.row_number().over(Window.partitionBy("source_no", "range").orderBy("k")) - 1)
     counts = drawn.groupBy("source_no", "range").agg(F.count("*").alias("n"))
     before = counts.select("source_no", "range", _before("n", "source_no", order=["range"]).alias("before"))
-    ranked = drawn.join(before, ["source_no", "range"]).select("source_no", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
-    have = counts.groupBy("source_no").agg(F.sum("n").alias("have"))
-    late = plan.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < slots")
-    late = late.select("source_no", F.explode(F.sequence("have", F.col("slots") - 1)).alias("slot"))
-    slots = ranked.unionByName(late).join(plan, "source_no").filter("slot < slots")
-    last = F.col("rest") - (F.col("slots") - F.col("whole") * F.col("blocks") - 1) * block_words
-    return slots.select(
-        "source_no",
-        "slot",
-        F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("pass"),
-        F.pmod("slot", "blocks").cast("long").alias("block"),
-        F.when((F.col("slot") == F.col("slots") - 1) & (F.col("rest") > 0), last).otherwise(F.lit(block_words)).cast("long").alias("cut"),
-    )
-
-
-def mix(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block_words: int = 4096, seed: int = 7
-) -> DataFrame:
+    return drawn.join(before, ["source_no", "range"]).select("k", "source_no", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+
+
+def place(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 7, per_range: int = 50_000
+) -> tuple[DataFrame, DataFrame]:
+    """The documents, (doc_id, source, source_no, h, size, n, start, source_size, target): n equal rows that follow each
+    other from the word `start` of their source's order; and the sources, (source, source_no, source_size, target)."""
+    told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.md5(told).alias("h"), n_words(F.col(text)).alias("size"))
+    rows = materialize(each.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("n")), "sizes")
+    rows = rows.withColumn("words", F.col("size") * F.col("n"))
+    sources = materialize(targets(rows.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most), "sources")
+    digits = next(d for d in range(1, 16) if 16**d * per_range >= rows.count())
+    rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("range", F.substring("h", 1, digits))
+    rows = rows.withColumn("inside", _before("words", "source_no", "range", order=["h", "doc_id", "size"]))
+    ranges = rows.groupBy("source_no", "range").agg(F.sum("words").alias("n_words"))
+    ranges = ranges.select("source_no", "range", _before("n_words", "source_no", order=["range"]).alias("before"))
+    placed = rows.join(ranges, ["source_no", "range"]).withColumn("start", F.col("before") + F.col("inside"))
+    return materialize(placed.select("doc_id", "source", "source_no", "h", "size", "n", "start", "source_size", "target"), "placed"), sources
+
+
+def _single(placed: DataFrame) -> DataFrame:
+    """A row for each document, with its own start and its number among equal rows."""
+    one = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return one.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("n")
+
+
+def blocks(sources: DataFrame, block_words: int, phi: float = PHI) -> DataFrame:
+    """(k, source_no, pass, begin, end): the words of its source that slot k takes, a row for each stretch of it."""
+    known = sources.filter("source_size > 0").select("source_no", F.floor("target").cast("long").alias("want"), "source_size")
+    slots = schedule(sources, block_words, phi).join(known, "source_no").withColumns({"a": F.col("slot") * block_words, "b": F.least((F.col("slot") + 1) * block_words, "want")})
+    turns = F.sequence(F.floor(F.col("a") / F.col("source_size")).cast("long"), F.floor((F.col("b") - 1) / F.col("source_size")).cast("long"))
+    slots = slots.filter("a < b").withColumn("pass", F.explode(turns)).withColumn("base", F.col("pass") * F.col("source_size"))
+    return slots.select("k", "source_no", "pass", (F.greatest("a", "base") - F.col("base")).alias("begin"), (F.least("b", F.col("base") + F.col("source_size")) - F.col("base")).alias("end"))
+
+
+def _cells(begin: str, end: str, block_words: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(begin) / block_words).cast("long"), F.floor((F.col(end) - 1) / block_words).cast("long")))
+
+
+def _words(sources: DataFrame) -> int:
+    return int(sources.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0])
+
+
+def mix(docs: DataFrame, block_words: int | None = None, phi: float = PHI, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row: taken counts the document's words in the mix."""
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    sources = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "sources")
-    numbers = sources.withColumnRenamed("source", "s")
-    rows = sized.join(numbers, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("range", F.shiftright("h", 54))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("source_no", "range").orderBy("h", "doc_id", "size")))
-    rows = rows.withColumn("inside", _before("size", "source_no", "range", order=["h", "doc_id", "pos"]))
-    ranges = rows.groupBy("source_no", "range").agg(F.sum("size").alias("n"))
-    ranges = ranges.select("source_no", "range", _before("n", "source_no", order=["range"]).alias("before"))
-    placed = rows.join(ranges, ["source_no", "range"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "h")
-    placed = materialize(placed, "placed")
-    first, end = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    parts = placed.filter("size > 0").select("source_no", "range", "pos", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(first, end)).alias("block"))
-    begin = F.col("block") * block_words
-    parts = parts.select("source_no", "range", "pos", "block", (F.greatest("start", begin) - begin).alias("a"), (F.least("end", begin + block_words) - begin).alias("b"))
-    slots = schedule(sources, block_words).select("source_no", "block", "cut")
-    used = parts.join(slots, ["source_no", "block"]).groupBy("source_no", "range", "pos").agg(F.sum(F.greatest(F.least("b", "cut") - F.col("a"), F.lit(0))).alias("taken"))
-    return placed.join(used, ["source_no", "range", "pos"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def repeat_documents(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents of the mix as rows: each as often as the mix takes its words, to the nearest whole number."""
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
-    out = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_id"))).withColumn("_times", F.floor(F.col("_share") + 0.5).cast("int"))
-    return out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_share", "_times", "_copy")
+    placed, sources = place(docs, **options)
+    block_words = block_words or block_size(_words(sources))
+    taken = materialize(blocks(sources, block_words, phi).withColumn("cell", _cells("begin", "end", block_words)), "blocks")
+    rows = _single(placed).withColumn("until", F.col("start") + F.col("size"))
+    parts = rows.filter("size > 0").withColumn("cell", _cells("start", "until", block_words))
+    own = ["doc_id", "source", "source_no", "size", "source_size", "target", "start"]
+    low, high = F.greatest("start", "begin", F.col("cell") * block_words), F.least("until", "end", (F.col("cell") + 1) * block_words)
+    joined = parts.join(taken.select("source_no", "cell", "begin", "end"), ["source_no", "cell"], "left")
+    used = joined.groupBy(*own).agg(F.sum(F.when(F.col("begin").isNotNull(), F.greatest(high - low, F.lit(0))).otherwise(0)).cast("long").alias("taken"))
+    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    return used.select(*out).unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+
+
+def mix_documents(docs: DataFrame, block_words: int | None = None, phi: float = PHI, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, part_words: int = 8_000_000, **options) -> DataFrame:
+    """The rows of docs in the order of the mix, each as often as its middle word is taken, at the place of the slot that
+    takes it; so texts stay whole. Texts without a word go."""
+    placed, sources = place(docs, doc_id, text, source, seed=seed, **options)
+    block_words = block_words or block_size(_words(sources))
+    turns = F.sequence(F.lit(0).cast("long"), F.floor(F.col("target") / F.col("source_size")).cast("long"))
+    rows = _single(placed.filter("size > 0")).withColumn("pass", F.explode(turns))
+    rows = rows.withColumn("at", F.col("pass") * F.col("source_size") + F.col("start") + F.floor(F.col("size") / 2)).filter("at < floor(target)")
+    rows = rows.withColumn("slot", F.floor(F.col("at") / block_words).cast("long"))
+    order = rows.join(schedule(sources, block_words, phi), ["source_no", "slot"]).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("copy").alias("_copy"))
+    order = order.agg(F.collect_list(F.struct("k", "at")).alias("_places"))  # a place for each pass
+    told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    number = F.row_number().over(Window.partitionBy("_key", doc_id, source).orderBy(F.lit(0))).cast("long") - 1
+    named = docs.withColumn("_key", F.md5(told)).withColumn("_no", number)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_h")) & (F.col("_no") == F.col("_copy"))
+    found = named.join(order, same).withColumn("_place", F.explode("_places"))
+    words = _words(sources)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // part_words)
+    part = F.floor(F.col("_place.k") * parts / max(1, -(-words // block_words))).cast("int")
+    return found.repartitionById(parts, part).sortWithinPartitions("_place").select(*docs.columns)

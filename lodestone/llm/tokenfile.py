@@ -65,7 +65,7 @@ class WordEncoder:
     plain = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-/:-@\\[-`{-~]*$"
     marks = string.punctuation
 
-    def __init__(self, path: str, part_limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, part_limit: int = 800_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -158,7 +158,7 @@ def _encoder(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
-def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
     """Runs of texts with about so many bytes, or one longer text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes, dtype=np.int64) // most

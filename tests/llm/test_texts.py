@@ -1,6 +1,8 @@
 """Quality rules, SimHash, language identification, chat formatting and mixing against plain versions and edge cases."""
 
+import hashlib
 import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -121,20 +123,70 @@ def test_reply_trees_pick_the_best_branch(spark):
     assert chat.format_paths(chat.best_paths(trees.filter("false"))).count() == 0
 
 
+def mixed_plainly(rows, block, phi):
+    """Slot by slot: (doc_id, size, taken) of each row, and the whole documents in the order of the mix."""
+    size = lambda t: len(WORD.findall(t or ""))
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    told = lambda r: hashlib.md5("|".join(["7", "" if r[0] is None else str(r[0]), r[1] or ""]).encode()).hexdigest()
+    of = {x: sorted((r for r in rows if r[2] == x), key=lambda r: (told(r), r[0] is not None, r[0] or 0)) for x in sources}
+    full = {x: sum(size(r[1]) for r in of[x]) for x in sources}
+    want, free = dict.fromkeys(sources, 0.0), set(sources)
+    while free:  # reshare what the sources at their limit leave
+        left = 1.5 * sum(full.values()) - sum(want[x] for x in sources if x not in free)
+        weight = {x: (3, 1, 2)[sources.index(x) % 3] for x in free}
+        over = {x for x in free if left * weight[x] / sum(weight.values()) > 2 * full[x]}
+        want |= {x: 2.0 * full[x] if x in over else left * weight[x] / sum(weight.values()) for x in free}
+        if not over:
+            break
+        free -= over
+    goal = {x: math.floor(want[x] + 1e-9) for x in sources}
+    words = {x: [i for i, r in enumerate(of[x]) for _ in range(size(r[1]))] for x in sources}
+    middle = {x: {sum(size(r[1]) for r in of[x][:i]) + size(r[1]) // 2: r for i, r in enumerate(of[x]) if size(r[1])} for x in sources}
+    used, at, order = {x: Counter() for x in sources}, dict.fromkeys(sources, 0), []
+    total = sum(goal.values())
+    for k in range(-(-total // block)):
+        u, low = (k + 1) * phi % 1.0, 0
+        for x in sources:
+            if low / total <= u < (low + goal[x]) / total:
+                for w in range(at[x], min(at[x] + block, goal[x])):
+                    used[x][words[x][w % full[x]]] += 1
+                    if w % full[x] in middle[x]:
+                        order.append(middle[x][w % full[x]])
+                at[x] += block
+            low += goal[x]
+    return Counter((r[0], size(r[1]), used[x][i]) for x in sources for i, r in enumerate(of[x])), order
+
+
+def test_mix_equals_a_plain_schedule(spark):
+    rng = np.random.RandomState(2)
+    rows = [(i, "w " * int(rng.randint(0, 400)), str(s) if (s := rng.choice(["a", "b", "c", "zz"], p=[0.6, 0.02, 0.3, 0.08])) != "zz" else None) for i in range(400)]
+    rows += [(1000, None, "a"), (1, "w w", "a"), (None, "w", "b"), (7, "x y z", "c"), (7, "x y z", "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for block, phi in ((256, mixing.PHI), (16, mixing.PHI), (256, 0.75), (256, 0.0)):
+        got = mixing.mix(d, block_words=block, phi=phi).collect()
+        counts, order = mixed_plainly(rows, block, phi)
+        assert Counter((r.doc_id, r.size, r.taken) for r in got) == counts, (block, phi)
+        whole = [(r.doc_id, r.text) for r in mixing.mix_documents(d, block_words=block, phi=phi).collect()]
+        assert whole == [(r[0], r[1]) for r in order]
+        seen.append(counts)
+    assert seen[0] != seen[2] != seen[3]
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.RandomState(2)
     rows = [(i, "w " * int(rng.randint(0, 400)), rng.choice(["a", "b", "c", None], p=[0.6, 0.02, 0.3, 0.08])) for i in range(400)] + [(1000, None, "a"), (1, "w w", "a"), (None, "w", "b")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(d, block_words=256).collect()
-    again = mixing.mix(d.repartition(3), block_words=256).collect()
+    got = mixing.mix(d).collect()
+    again = mixing.mix(d.repartition(3)).collect()
     key = lambda r: repr(tuple(r))
     assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
     by = defaultdict(list)
     for r in got:
         assert 0 <= r.taken <= 2 * r.size
         by[r.source].append(r)
-    for rs in by.values():
-        assert abs(sum(r.taken for r in rs) - rs[0].target) < 1 and rs[0].source_size == sum(r.size for r in rs)
+    for rs in by.values():  # short of the target by a few blocks of 16 words at most
+        assert -64 < sum(r.taken for r in rs) - rs[0].target <= 0 and rs[0].source_size == sum(r.size for r in rs)
     total = 1.5 * sum(r.size for r in got)
     assert abs(sum(rs[0].target for rs in by.values()) - total) < 1e-6 * total
-    assert mixing.mix(d.filter("false")).count() == 0
+    assert mixing.mix(d.filter("false")).count() == mixing.mix_documents(d.filter("false")).count() == 0
