@@ -35,8 +35,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated as the mix of sources takes them."""
-    return mixing.repeat_documents(docs, mixing.mix(docs)).select(*COLUMNS)
+    """Documents are left out or repeated as the mix of sources takes them, and stand in the order of its slots."""
+    return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
