@@ -87,7 +87,7 @@ def place(
     rows = materialize(each.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("n")), "sizes")
     rows = rows.withColumn("words", F.col("size") * F.col("n"))
     sources = materialize(targets(rows.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most), "sources")
-    digits = next(d for d in range(1, 16) if 16**d * per_range >= rows.count())
+    digits = next(d for d in range(2, 16) if 16**d * per_range >= rows.count())
     rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("range", F.substring("h", 1, digits))
     rows = rows.withColumn("inside", _before("words", "source_no", "range", order=["h", "doc_id", "size"]))
