@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def session(app: str = "lodestone", cpus: str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the bench use; on a cluster, pass your own session instead."""
@@ -31,17 +33,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary folder of this machine only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary folder of this machine only where that is unset and the master
+    is local (tests). On a cluster without that setting it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; clear() deletes it."""
+    _WRITTEN.append(path := f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and files that this driver's queries have left in the shared folder so far. Call it when their
+    results are written: a DataFrame that was returned before can't be read afterwards."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -54,9 +72,6 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by materialize(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lodestone/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, parent)
