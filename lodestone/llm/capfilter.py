@@ -7,7 +7,8 @@ follow from the number of vectors, so that a vector is on about `lists` lists an
 that are not near each other. Vectors that share a filter are compared in double precision.
 
 Lists above `block` vectors are compared block against block, so no task holds more than two blocks. A link is counted
-in the least filter that its ends share, so only sums and links to local group leaders leave a task, not pairs.
+in the least filter that its ends share, so only sums and links to local group leaders leave a task, not pairs. Inside the
+computation a different vector of a label is named by a 64-bit hash of both; two meet with a probability of n^2 / 2^65.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label, link
 with nothing; vectors of different length never link; equal vectors of a label are collapsed with their number and link
@@ -61,7 +62,7 @@ def list_decode(x: np.ndarray, size: int, sigmas: float, least: int) -> list[np.
         sums = (a[k, top_a][:, None] + b[k, top_b][None, :]).ravel()
         best = np.argsort(-sums, kind="stable")[:least]
         out[k] = top_a[best // len(top_b)] * size + top_b[best % len(top_b)]
-    return [np.sort(f).astype(np.int32) for f in out]
+    return [np.sort(f).astype(np.int64) for f in out]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def _decode(size: int, sigmas: float, least: int):
                     some = b.take(pa.array(part))
                     x = _unit(some.column("embedding").values.to_numpy(zero_copy_only=False).reshape(-1, dim))
                     lists = list_decode(x, size, sigmas, least)
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, type=pa.list_(pa.int32()))], names=[*b.schema.names, "filters"])
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, type=pa.list_(pa.int64()))], names=[*b.schema.names, "filters"])
 
     return run
 
@@ -149,7 +150,7 @@ def near_vectors(
     share = bucket / max(bucket * 8, most)  # of the vectors that pass a filter
     size = math.ceil(math.sqrt(lists / share))
     sigmas = -NormalDist().inv_cdf(share)
-    schema = f"label {dict(same.dtypes)['label']}, rep bigint, n bigint, embedding {dict(same.dtypes)['embedding']}, filters array<int>"
+    schema = f"label {dict(same.dtypes)['label']}, rep bigint, n bigint, embedding {dict(same.dtypes)['embedding']}, filters array<bigint>"
     listed = materialize(same.select("label", "rep", "n", "embedding").mapInArrow(_decode(size, sigmas, least), schema), "lists")
     keyed = listed.select("label", F.size("embedding").alias("dim"), "rep", F.explode("filters").alias("filter"))
     counts = keyed.groupBy("label", "dim", "filter").agg(F.count("*").alias("members")).filter("members > 1")
@@ -168,8 +169,8 @@ def near_vectors(
     found = materialize(found, "found")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("rep", "leader").distinct(), "rep", "leader")
-    named = same.select(F.col("rep").alias("node"), "least").join(groups, "node")
-    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = materialize(same.select(F.col("rep").alias("node"), "least").join(groups, "node"), "named")
+    smallest = materialize(named.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")  # a plain join, which can be split
     named = named.join(smallest, "component").select(F.col("node").alias("rep"), "smallest")
     each = same.join(sums, "rep", "left").join(named, "rep", "left")
     each = each.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))

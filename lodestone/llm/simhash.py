@@ -146,5 +146,6 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = materialize(fingerprint_links(distinct, radius), "fingerprint-links")
     found = connected_components(links)
     rooted = materialize(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
-    groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a plain join, which can be split
+    groups = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
