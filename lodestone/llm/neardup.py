@@ -1,13 +1,18 @@
-"""Near-duplicate groups of texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
-
-64-bit SimHash can't find such pairs at 0.8: they differ in seven to eight bits on average, and keys that survive a
-radius of twelve or more leave too few bits to tell millions of texts apart. So candidates come from MinHash bands over
-the same shingle hashes (25 bands of 6: a pair at 0.8 is missed with a probability of 0.0005, at 0.9 never in practice),
-and each candidate is verified on the two whole sets of shingles.
-
-Texts with equal sets are collapsed to one node first. In a bucket all nodes are held against the least one; then pairs
-of a bucket that are still in different groups are held against each other, so no pair of a bucket goes unseen, while a
-large group of near copies takes about one comparison for each member.
+"""Near-duplicate groups of texts, for pipelines: SimHash fingerprints by covering masks, verified on the texts.
+
+Two texts are linked if their sets of word shingles have a Jaccard similarity of at least a threshold. At a similarity
+of 0.8 two fingerprints differ in about 15 % of their bits: too many for the masks of a whole 64-bit fingerprint, whose
+number doubles with each bit of radius. So the fingerprint (the majority bits of the shingles' hashes, as in simhash) is
+wider and cut into parts, and each part has its own covering family: every pair that differs in at most `radius` bits
+of a part agrees on the kept bits of one of the part's 2^(radius+1) - 1 masks. Width, radius and number of the parts
+follow from the number of texts, so that a pair at the threshold is outside the radius of all parts with a probability
+of `miss` at most (more similar pairs: far less), and tables and comparisons cost the least together.
+
+Texts with equal sets are collapsed to one node first. Nodes in a bucket are compared by all bits of their fingerprints;
+buckets above `block` nodes are compared block against block. In a first pass each node names its least candidate only, so
+a large group of near copies gives one candidate pair for each member; all candidate pairs are verified on the whole sets
+of shingles. In a second pass all candidate pairs whose ends are still in different groups are verified, so that none goes
+unseen.
 
 Edge cases: texts without a word (null, empty) are copies of each other; a text with fewer words than a shingle is one
 shingle; rows keep all their columns, whatever their ids; empty tables give empty results.
@@ -15,7 +20,10 @@ shingle; rows keep all their columns, whatever their ids; empty tables give empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,37 +31,89 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.simhash import shingle_hashes
+from lodestone.llm.simhash import majority_bits, shingle_hashes
 from lodestone.operators.components import connected_components
 from lodestone.runtime import materialize
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _signatures(bands: int, rows: int):
-    """Appends to each row, whose last column is its shingle hashes, the node (hash of the set) and its bands' keys."""
-    rng = np.random.RandomState(7)
-    draw = lambda: rng.randint(0, 1 << 32, bands * rows, dtype=np.uint64) << np.uint64(32) | rng.randint(0, 1 << 32, bands * rows, dtype=np.uint64)
-    flips, factors = draw(), draw() | np.uint64(1)
+PAIR_NS, ROW_NS, WORD_NS = 3, 2_000, 30_000  # what a comparison, a row of a table and 64 bits of a fingerprint take, about
+
+
+class Cover(NamedTuple):
+    width: int  # bits of a part
+    radius: int  # differing bits of a part that its masks cover
+    parts: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of the fingerprint; a part lies within one word, and there are two at least."""
+        return max(2, -(-self.parts // (64 // self.width)))
+
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits in which two sets of this Jaccard similarity differ, at most."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def choose_cover(n: int, share: float, miss: float) -> Cover:
+    """The cheapest cover of n texts for pairs that differ in this share of the bits."""
+    best = None
+    for width in (16, 20, 24, 32, 40, 48):
+        below = 0.0
+        for radius in range(width // 3):
+            below += math.comb(width, radius) * share**radius * (1 - share) ** (width - radius)
+            parts = max(1, math.ceil(math.log(miss) / math.log(max(1 - below, 1e-12))))
+            cover = Cover(width, radius, parts)
+            cost = parts * (2 ** (radius + 1) - 1) * (ROW_NS + PAIR_NS * n / 2 ** (width / 2 + 1)) + cover.words * WORD_NS
+            if best is None or cost < best[0]:
+                best = cost, cover
+    return best[1]
+
+
+@lru_cache(maxsize=16)
+def part_masks(width: int, radius: int, tries: int = 64) -> tuple[int, ...]:
+    """The masks of a covering family over `width` bits: for each bit a vector of radius + 1 bits that isn't zero, and for
+    each such vector v the bits whose vector has an odd inner product with v. Of `tries` draws of the bits' vectors, the
+    one whose masks let the fewest random pairs meet."""
+    size = 1 << (radius + 1)
+    odd = np.bitwise_count(np.arange(size)[:, None] & np.arange(size)[None, 1:]) % 2  # vector x v
+    rng, best = np.random.RandomState(width * 64 + radius), None
+    for _ in range(tries):
+        m = np.concatenate([1 + rng.permutation(size - 1) for _ in range(-(-width // (size - 1)))])[:width]
+        kept = odd[m]
+        meet = (0.5 ** kept.sum(axis=0)).sum()
+        if best is None or meet < best[0]:
+            best = (meet, kept)
+    return tuple(sum(1 << i for i in np.flatnonzero(column).tolist()) for column in best[1].T)
+
+
+def tables(cover: Cover) -> list[tuple[int, int]]:
+    """(word, mask as a signed integer) of each table."""
+    per_word = 64 // cover.width
+    out = []
+    for part in range(cover.parts):
+        for mask in part_masks(cover.width, cover.radius):
+            shifted = mask << (part % per_word * cover.width)
+            out.append((part // per_word, shifted - (1 << 64) if shifted >> 63 else shifted))
+    return out
+
+
+def _signatures(words: int):
+    """Replaces the last column, shingle hashes, by the node (hash of the set) and the words of the fingerprint of the set."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         lists = b.column(b.num_columns - 1)
         offsets = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-        offsets = offsets - offsets[0]
-        full = np.flatnonzero(np.diff(offsets))
-        nodes = np.zeros(b.num_rows, dtype=np.int64)
-        for i in full:
-            nodes[i] = np.uint64(xxhash.xxh64_intdigest(np.unique(flat[offsets[i] : offsets[i + 1]]).tobytes())).astype(np.int64)
-        keys = np.zeros((b.num_rows, bands), dtype=np.uint64)
-        for k in range(bands if len(full) else 0):
-            key = np.full(len(full), k + 1, dtype=np.uint64)
-            for j in range(k * rows, (k + 1) * rows):
-                key = (key ^ np.minimum.reduceat((flat ^ flips[j]) * factors[j], offsets[full])) * _MIX
-                key ^= key >> np.uint64(29)
-            keys[full, k] = key
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes), listed], names=[*b.schema.names[:-1], "node", "bands"])
+        sets = [np.unique(x) for x in np.split(flat, offsets[1:-1] - offsets[0])] if b.num_rows else []
+        nodes = np.array([np.uint64(xxhash.xxh64_intdigest(x.tobytes())) if len(x) else np.uint64(0) for x in sets], dtype=np.uint64).view(np.int64)
+        ends, h = np.cumsum([len(x) for x in sets], dtype=np.int64), np.concatenate([*sets, np.zeros(0, np.uint64)])
+        prints = []
+        for _ in range(words):
+            prints.append(pa.array(majority_bits(h, ends).view(np.int64)))
+            h = (h ^ (h >> np.uint64(31))) * _MIX
+            h ^= h >> np.uint64(29)
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes), *prints], names=[*b.schema.names[:-1], "node", *(f"f{i}" for i in range(words))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -63,6 +123,90 @@ def _signatures(bands: int, rows: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The sorted rows, a table for each run of equal values in the first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != values[i, 0] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(b.slice(begin, end - begin))
+            if end < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: int = 256):
+    """Pairs of a bucket's nodes whose fingerprints differ in `most` bits or fewer (and the first words in most_first): all
+    that are in different groups, or those of each node with its least such partner."""
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        node, group, block = (t.column(c).to_numpy() for c in ("node", "group", "block"))
+        order = np.lexsort((node, group)) if all_pairs else np.argsort(node)
+        node, group, block = node[order], group[order], block[order]
+        f = [t.column(f"f{i}").to_numpy()[order].view(np.uint64) for i in range(words)]
+        mine, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for begin in range(0, len(mine), rows):
+            r = mine[begin : begin + rows]
+            c = theirs if low != high else theirs[np.searchsorted(theirs, r[0]) :]
+            if all_pairs and group[r[0]] == group[r[-1]]:  # sorted by group: none of the same one has to be compared
+                c = c[group[c] != group[r[0]]]
+            i, j = np.nonzero(np.bitwise_count(f[0][r][:, None] ^ f[0][c][None, :]) <= most_first)
+            i, j = r[i], c[j]
+            far = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
+            fit = (far <= most) & (node[i] != node[j])
+            if all_pairs:
+                fit &= group[i] != group[j]
+            found.append(np.stack([np.minimum(node[i], node[j])[fit], np.maximum(node[i], node[j])[fit]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        if not all_pairs and len(a):
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            first = np.concatenate([[True], b[1:] != b[:-1]])
+            a, b = a[first], b[first]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for t in _runs(batches, 4):
+            if t.num_rows > 1:
+                held.append(pairs(t))
+                size += len(held[-1][0])
+            if size > 50_000 or len(held) > 1000:
+                a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if held:
+            a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, all_pairs: bool = False, block: int = 4096) -> DataFrame:
+    """(a, b): pairs of nodes (node, group, f0, f1, ...) that share a bucket and whose fingerprints are near enough."""
+    words = [f"f{i}" for i in range(cover.words)]
+    made = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(m).alias("m")) for t, (w, m) in enumerate(tables(cover))])
+    dealt = nodes.withColumn("x", F.explode(made)).withColumn("key", F.element_at(F.array(*words), F.col("x.w") + 1).bitwiseAND(F.col("x.m")))
+    dealt = dealt.select(F.col("x.t").alias("t"), "key", "node", "group", *words)
+    large = dealt.groupBy("t", "key").count().filter(F.col("count") > block).select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    placed = dealt.join(large, ["t", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "t"), F.col("n")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    keys = ["t", "key", "low", "high"]
+    sorted_rows = placed.select(*keys, "block", "node", "group", *words).repartition(*keys).sortWithinPartitions(*keys)
+    bits, spread = 64 * cover.words, lambda n: math.ceil(share * n + 3.5 * math.sqrt(share * (1 - share) * n))
+    return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), all_pairs), "a bigint, b bigint").distinct()
+
+
 def _similar(pairs: DataFrame, signed: DataFrame, text: str, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles are as similar as the threshold."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -72,23 +216,20 @@ def _similar(pairs: DataFrame, signed: DataFrame, text: str, words: int, thresho
     return materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
 
 
-def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 6) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01) -> DataFrame:
     """The rows of docs with group (bigint): the same for all texts that a chain of similar texts connects."""
+    share = differing(threshold)
+    cover = choose_cover(docs.count(), share, miss)
+    prints = [f"f{i}" for i in range(cover.words)]
     types = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     hashed = docs.withColumn("_shingles", shingle_hashes(F.col(text), words))
-    signed = materialize(hashed.mapInArrow(_signatures(bands, rows), f"{types}, node bigint, bands array<bigint>"), "signatures")
-    nodes = signed.filter("node <> 0").groupBy("node").agg(F.min("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    led = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = materialize(members.join(led, "key"), "buckets")
-    pairs = materialize(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    signed = materialize(hashed.mapInArrow(_signatures(cover.words), f"{types}, node bigint, " + ", ".join(f"{f} bigint" for f in prints)), "signatures")
+    nodes = materialize(signed.filter("node <> 0").groupBy("node").agg(*[F.min(f).alias(f) for f in prints]), "nodes")
+    pairs = materialize(candidate_pairs(nodes.withColumn("group", F.col("node")), cover, share), "pairs")
     links = _similar(pairs, signed, text, words, threshold)
     found = materialize(connected_components(links), "groups")
-    grouped = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    apart = grouped.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
-    left = materialize(grouped.join(apart, "key", "left_semi"), "apart")
-    across = left.toDF("key", "a", "ca").join(left.toDF("key", "b", "cb"), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    grouped = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    across = materialize(candidate_pairs(grouped, cover, share, all_pairs=True).join(pairs, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         found = connected_components(links.unionByName(_similar(across, signed, text, words, threshold)))
-    return signed.drop("bands").join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))
+    return signed.drop(*prints).join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))

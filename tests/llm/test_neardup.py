@@ -1,6 +1,9 @@
+import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from lodestone.llm import neardup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,3 +62,23 @@ def test_members_unlike_the_leader_are_still_compared(spark):
     assert len(groups) == len(texts) and len({groups[i] for i in range(40)}) == 1
     assert groups[40] == groups[41] and groups[42] == groups[43] and len(set(groups.values())) == 4
     assert neardup.near_groups(docs.filter("false")).count() == 0
+
+
+def test_masks_of_a_part_cover_its_radius():
+    for width, radius in ((16, 2), (20, 3), (32, 3)):
+        masks = neardup.part_masks(width, radius)
+        assert len(masks) == 2 ** (radius + 1) - 1 and all(0 < m < 1 << width for m in masks)
+        assert all(any(not m & sum(1 << i for i in at) for m in masks) for at in itertools.combinations(range(width), radius))
+
+
+@pytest.mark.parametrize(("n", "block"), [(1000, 4096), (20_000_000, 4096), (10**10, 4096), (1000, 32)])
+def test_covers_of_any_size_find_pairs_at_the_threshold(spark, n, block):
+    share, rng = neardup.differing(0.8), np.random.RandomState(8)
+    cover = neardup.choose_cover(n, share, 0.01)
+    one = rng.randint(0, 1 << 62, (500, cover.words))
+    flips = (rng.rand(500, cover.words, 64) < share) @ (1 << np.arange(64, dtype=np.uint64))
+    rows = [(int(2 * i + k), int(2 * i + k), *(x if k == 0 else (x.astype(np.uint64) ^ flips[i].astype(np.uint64)).astype(np.int64)).tolist()) for i, x in enumerate(one) for k in (0, 1)]
+    nodes = spark.createDataFrame(rows, "node long, group long, " + ", ".join(f"f{i} long" for i in range(cover.words)))
+    for all_pairs in (False, True):
+        found = {(r.a, r.b) for r in neardup.candidate_pairs(nodes, cover, share, all_pairs, block).collect()}
+        assert len({(2 * i, 2 * i + 1) for i in range(500)} & found) >= 485 and len(found) < 600
