@@ -4,7 +4,9 @@ Each document keeps two segment trees over leaves of consecutive pre-tokens: sum
 edit finds its leaf by descending the character sums, splits anew only from a boundary that the edit can't have moved to
 the first old leaf boundary that the new split meets again, encodes those pre-tokens, and updates the sums above the
 touched leaves. Splitting from a position depends only on the text from there on, and a boundary depends on the two
-characters after it at most, so the result equals counting the edited text afresh.
+characters after it at most, so the result equals counting the edited text afresh. (That holds for the usual patterns of
+byte-level BPE; a pattern whose boundaries look further ahead can't be used here.) Leaves that an insertion makes too
+large are split and the sums built anew over all leaves, without encoding anything again.
 
 Edge cases: a null text counts as empty and has one empty leaf; positions beyond the text's end mean its end, negative
 ones its begin; a deletion stops at the end; null edit fields count as 0 or the empty text; edits apply in the order of
@@ -62,8 +64,8 @@ def _tree(leaves: np.ndarray) -> np.ndarray:
 
 
 class Document:
-    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, counter: Counter) -> None:
-        self.text, self.chars, self.tokens, self.counter = text, chars, tokens, counter
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, counter: Counter, per_leaf: int = 16) -> None:
+        self.text, self.chars, self.tokens, self.counter, self.per_leaf = text, chars, tokens, counter, per_leaf
         self.encoded = 0  # pre-tokens encoded by edits
 
     @classmethod
@@ -72,8 +74,8 @@ class Document:
         counts, sizes = np.array(counter.counts(parts), dtype=np.int64), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         first = np.arange(0, len(parts), per_leaf)
         if not len(first):
-            return cls(text, _tree(np.zeros(1, dtype=np.int64)), _tree(np.zeros(1, dtype=np.int64)), counter)
-        return cls(text, _tree(np.add.reduceat(sizes, first)), _tree(np.add.reduceat(counts, first)), counter)
+            return cls(text, _tree(np.zeros(1, dtype=np.int64)), _tree(np.zeros(1, dtype=np.int64)), counter, per_leaf)
+        return cls(text, _tree(np.add.reduceat(sizes, first)), _tree(np.add.reduceat(counts, first)), counter, per_leaf)
 
     @property
     def n_tokens(self) -> int:
@@ -98,6 +100,14 @@ class Document:
             self.tokens[node] += worth
             node //= 2
 
+    def split(self, first: int, last: int, parts: list[str], counts: list[int]) -> None:
+        """Puts new leaves of per_leaf pre-tokens in the place of the leaves first to last."""
+        half, begins = len(self.chars) // 2, np.arange(0, len(parts), self.per_leaf)
+        sums = [np.add.reduceat(np.array(x, dtype=np.int64), begins) for x in (list(map(len, parts)), counts)]
+        kept = self.chars[half:] > 0  # leaves that are empty, or only fill the tree, go
+        before, after = np.flatnonzero(kept[:first]), np.flatnonzero(kept[last + 1 :]) + last + 1
+        self.chars, self.tokens = (_tree(np.concatenate([x[half + before], new, x[half + after]])) for x, new in zip((self.chars, self.tokens), sums, strict=True))
+
     def edit(self, pos: int, delete: int, insert: str) -> None:
         size, half = len(self.text), len(self.chars) // 2
         pos = min(max(pos, 0), size)
@@ -129,6 +139,9 @@ class Document:
         self.encoded += len(parts)
         self.text = text
         leaves = list(range(first, last + 1))
+        if len(parts) > 2 * self.per_leaf * len(leaves):
+            self.split(first, last, parts, counts)
+            return
         share = -(-len(parts) // len(leaves)) if parts else 1
         for k, leaf in enumerate(leaves):
             mine = slice(k * share, (k + 1) * share)

@@ -1,8 +1,9 @@
 """Language identification of mixed-language texts.
 
-A naive Bayes model over hashed character 1- to 4-grams gives each word a score per language. The Unicode script of a
-word's letters narrows the languages that may claim it; Viterbi over the words with a switching penalty then labels
-spans. The training counts are summed in Spark; they have a fixed size (languages x buckets), as have the broadcast
+A naive Bayes model over hashed character 1- to 4-grams gives each word a score per language. Words are cut where the
+script of their letters changes, and runs without spaces every RUN characters, so spans can begin and end there. The
+Unicode script of a part's letters narrows the languages that may claim it; Viterbi over the parts with a switching
+penalty then labels spans. The training counts are summed in Spark; they have a fixed size (languages x buckets), as have the broadcast
 tables made of them.
 
 Edge cases: a null or empty text, or one without letters, is `und` with score 0; documents with a null language don't
@@ -29,6 +30,31 @@ ORDERS = (1, 2, 3, 4)
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "GEORGIAN", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "OTHER")
 
 
+RUN = 12  # characters of a part of a word in a script that is written without spaces, at most
+_SPACELESS = {SCRIPTS.index(s) for s in ("THAI", "HIRAGANA", "KATAKANA", "CJK")}
+
+
+def parts(word: str) -> list[str]:
+    """The word, cut where letters of another script begin (kana and ideographs count as one) and, in scripts without
+    spaces, every RUN characters. What isn't a letter stays with what is before it."""
+    out, begin, before = [], 0, -1
+    for at, c in enumerate(word):
+        k = _script(c)
+        if k < 0:
+            continue
+        k = -2 if k in _SPACELESS else k
+        if before != -1 and (k != before or k == -2 and at - begin >= RUN):
+            out.append(word[begin:at])
+            begin = at
+        before = k
+    return [*out, word[begin:]]
+
+
+def _cut(words: list[bytes]) -> list[bytes]:
+    """All parts of the words; ASCII words are whole."""
+    return words if all(map(bytes.isascii, words)) else [x for w in words for x in ([w] if w.isascii() else (p.encode() for p in parts(w.decode("utf-8", "replace"))))]
+
+
 @lru_cache(maxsize=1 << 16)
 def _script(c: str) -> int:
     """The number of a letter's script range, or -1 for what isn't a letter."""
@@ -47,10 +73,27 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.cuts: dict[bytes, list[bytes]] = {}  # of the words that aren't one part
+        self.whole: set[bytes] = set()  # words not in ASCII that are one part
         self.letters = np.zeros(0, dtype=np.int32)
         self.script = np.zeros(0, dtype=np.int8)
         self.scores = np.zeros((0, 0 if self.table is None else self.table.shape[1]), dtype=np.float32)
 
+    def cut(self, found: list[list[bytes]]) -> tuple[list[list[bytes]], list[np.ndarray] | None]:
+        """The parts of the words of each text, and for each part the number of its word (None if all words are whole)."""
+        odd = {w for w in set().union(*found) if not w.isascii()}
+        if len(self.whole) + len(self.cuts) > self.limit:
+            self.whole, self.cuts = set(), {}
+        for w in odd.difference(self.whole, self.cuts):
+            if len(p := _cut([w])) > 1:
+                self.cuts[w] = p
+            else:
+                self.whole.add(w)
+        if not odd.intersection(self.cuts):
+            return found, None
+        split = [[self.cuts.get(w, (w,)) for w in ws] for ws in found]
+        return [[p for ps in x for p in ps] for x in split], [np.repeat(np.arange(len(x)), [len(ps) for ps in x]) for x in split]
+
     def add(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.number]
         if len(self.number) + len(new) > self.limit:
@@ -106,7 +149,7 @@ def _count(langs: list[str]):
         scripts = np.zeros((len(langs), len(SCRIPTS)), dtype=np.int64)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, found = langs.index(lang), [w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "replace").split()]
+                at, found = langs.index(lang), [w.decode("utf-8", "replace") for w in _cut(text.lower().encode("utf-8", "replace").split())]
                 if not found:
                     continue
                 buckets, _ = ngram_buckets(found)
@@ -121,7 +164,7 @@ def _count(langs: list[str]):
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_langs: int = 256, alpha: float = 0.5, min_script: float = 0.01) -> Model:
-    """Fits the model on about max_docs labelled documents (all, if there are fewer), drawn by the hash of their text."""
+    """Fits the model on about max_docs labelled documents (all, if there are fewer), those with the least text hashes."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     found = labelled.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()
     if len(found) > max_langs:
@@ -129,8 +172,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
     langs, total = [r["lang"] for r in found], sum(r["count"] for r in found)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros((len(SCRIPTS), 0), dtype=bool))
-    cut = int(min(1.0, max_docs / total) * 1_000_000)
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < cut)
+    sample = labelled.filter(F.xxhash64("text") <= (max_docs << 64) // max(total, max_docs) - (1 << 63) - 1)
     rows = sample.mapInArrow(_count(langs), "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
     counts[rows["bucket"].to_numpy(), rows["lang_no"].to_numpy()] = rows["n"].to_numpy()
@@ -186,7 +228,7 @@ def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bo
 
     def label(b: pa.RecordBatch, model: Model, vocabulary: Vocabulary, may: np.ndarray | None) -> pa.RecordBatch:
         texts = b.column(1).cast(pa.binary()).to_pylist()
-        found = [t.split() if t else [] for t in texts]
+        found, word_of = vocabulary.cut([t.split() if t else [] for t in texts])
         sizes = np.array([len(w) for w in found], dtype=np.int64)
         langs, share = np.full(len(found), "und", dtype=object), np.zeros(len(found))
         runs: list[list[dict]] = [[] for _ in found]
@@ -211,7 +253,8 @@ def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bo
                     mine = labels[end - n : end]
                     cuts = np.flatnonzero(np.diff(mine)) + 1
                     if n:
-                        runs[k] = [{"lang": model.langs[mine[s]], "start": int(s), "end": int(e)} for s, e in zip([0, *cuts], [*cuts, n], strict=True)]
+                        word = word_of[k] if word_of else np.arange(n)
+                        runs[k] = [{"lang": model.langs[mine[s]], "start": int(word[s]), "end": int(word[e - 1]) + 1} for s, e in zip([0, *cuts], [*cuts, n], strict=True)]
         columns, names = [*b.columns[:1], pa.array(list(langs), type=pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"]
         if spans:
             columns.append(pa.array(runs, type=pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
@@ -223,7 +266,7 @@ def _label(shared: Broadcast, token: str, penalty: float, damp: float, spans: bo
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 15.0, damp: float = 0.5, spans: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, spans, *keep) of each row. score: the share of the letters in spans of lang_pred. spans: the
-    labelled word ranges, 0-based, end exclusive. penalty: log-odds that a change of language has to overcome. damp: weight
+    labelled word ranges, 0-based, end exclusive; a word cut between two spans is in both. penalty: log-odds that a change of language has to overcome. damp: weight
     of the n-grams, which overlap and so count a letter several times."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)

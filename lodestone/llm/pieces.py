@@ -16,6 +16,7 @@ encoded one by one; extra columns are dropped; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,6 +41,9 @@ class Pieces(NamedTuple):
     @classmethod
     def read(cls, path: str) -> Pieces:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "\u00c5ﬁ  x\u0301\u3000Ａ "
+        if p.normalize(probe).replace(MARK, " ").removeprefix(" ") != probe:
+            raise ValueError("the model changes texts before it cuts them; only models without normalisation can be used")
         texts, bytes_at = [], {}
         for i in range(p.get_piece_size()):
             piece = p.id_to_piece(i)
@@ -73,23 +77,25 @@ class Encoder:
     def viterbi(self, text: str) -> list[int]:
         """The ids of the best pieces of a normalised text."""
         n = len(text)
-        best, came = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+        best, came, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        if n > 4096:  # 16 bytes for each character of a long run without spaces
+            best, came, piece = array("d", best), array("i", came), array("i", piece)
         done, single, low = 0, self.single, self.unknown_score
         for last, (size, score, i) in self.automaton.iter(text):
             while done < last:  # what ends before this piece is final
                 if text[done] not in single and best[done] + low > best[done + 1]:
-                    best[done + 1], came[done + 1] = best[done] + low, (done, -1)
+                    best[done + 1], came[done + 1], piece[done + 1] = best[done] + low, done, -1
                 done += 1
             total = best[last + 1 - size] + score
             if total > best[last + 1]:
-                best[last + 1], came[last + 1] = total, (last + 1 - size, i)
+                best[last + 1], came[last + 1], piece[last + 1] = total, last + 1 - size, i
         while done < n:
             if text[done] not in single and best[done] + low > best[done + 1]:
-                best[done + 1], came[done + 1] = best[done] + low, (done, -1)
+                best[done + 1], came[done + 1], piece[done + 1] = best[done] + low, done, -1
             done += 1
         out: list[int] = []
         while n:
-            begin, i = came[n]
+            begin, i = came[n], piece[n]
             if i >= 0:
                 out.append(i)
             elif self.pieces.bytes_at:

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import capfilter, chat, editcount, kneser, langid, mixing, pieces, quality, simhash, tokenfile
-from lodestone.runtime import table
+from lodestone.runtime import materialize, table
 
 
 def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", editcount.derived_edits(F.col("doc_id"), F.col("text")).alias("edits"))
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    done = editcount.apply_edits(editcount.build_trees(docs, ranks, pattern, keep=("edits",)), ranks, pattern)
+    kept = materialize(editcount.build_trees(docs, ranks, pattern, keep=("edits",)), "trees")
+    done = editcount.apply_edits(kept, ranks, pattern)
     return done.select("doc_id", "n_tokens_before", "n_tokens", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

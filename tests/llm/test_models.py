@@ -44,6 +44,27 @@ def test_edits_equal_a_full_count(spark):
     assert 0 < big.n_reencoded < big.n_tokens_before
 
 
+def test_an_edit_after_a_large_insertion_is_cheap():
+    c = editcount.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    d = editcount.Document.build("a short text to begin with", c)
+    d.edit(7, 0, " many words" * 50_000)
+    grown = d.encoded
+    for k, pos in enumerate((300_000, 5, len(d.text) - 3, 123_456)):
+        d.edit(pos, 1, "xy")
+        assert d.encoded - grown < 200 * (k + 1)
+    d.edit(0, len(d.text), "")
+    d.edit(0, 0, "again")
+    assert d.text == "again" and d.n_tokens == len(c.encoding.encode_ordinary("again"))
+
+
+def test_edits_of_empty_tables_and_null_fields(spark):
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, "ab cd", [(None, None, "x"), (2, None, None), None]), (None, None, None), (2, "", [(5, 9, "new")])], f"doc_id long, text string, edits array<{editcount.EDIT}>")
+    got = editcount.apply_edits(editcount.build_trees(df, ranks, P.PATTERN, keep=("edits",)), ranks, P.PATTERN)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "xab cd"), (None, ""), (2, "new")}
+    assert editcount.apply_edits(editcount.build_trees(df.filter("false"), ranks, P.PATTERN, keep=("edits",)), ranks, P.PATTERN).count() == 0
+
+
 def test_token_files_round_trip(spark):
     path = P.path("word_bpe_49k.json")
     d = docs(spark).unionByName(docs(spark, ["twice"])).unionByName(docs(spark, ["none"]).selectExpr("cast(null as long) as doc_id", "text", "ids", "start"))
@@ -84,7 +105,9 @@ def test_pieces_have_the_best_scores(spark):
     e = pieces.Encoder(pieces.Pieces.read(path))
     public = sentencepiece.SentencePieceProcessor(model_file=path)
     score = np.array(e.pieces.scores)
-    for t in ("hello there", "banana  split\n\tx", "ünïcode 日 ab"):
+    r = random.Random(6)
+    drawn = ["".join(r.choice("aeinrst  ▁\néß日😀\t.,Th") for _ in range(r.randint(1, 60))).replace("▁", "") for _ in range(150)]
+    for t in ("hello there", "banana  split\n\tx", "ünïcode 日 ab", "weitergehende" * 400, *filter(None, drawn)):
         ids, text = e.encode(t), "▁" + t.replace(" ", "▁")
         best = [0.0] + [-math.inf] * len(text)  # every piece that ends at each place, by slices
         known = {p: s for p, s in zip(e.pieces.texts, e.pieces.scores, strict=True) if p}
@@ -100,6 +123,7 @@ def test_pieces_have_the_best_scores(spark):
         assert public.decode(ids.tolist()) == t == e.decode(ids)
     got = {r.doc_id: r for r in pieces.encode_with_check(docs(spark), path).collect()}
     assert got[0].n_pieces == got[3].n_pieces == 0 and all(r.round_trip for r in got.values())
+    assert pieces.encode_with_check(docs(spark, []), path).count() == pieces.encode(docs(spark, []), path).count() == 0
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs(spark), path), path).collect()}
     assert [back[i * 3] for i in range(len(TEXTS))] == [(t or "").replace("▁", " ") for t in TEXTS]
 

@@ -94,6 +94,11 @@ def test_language_spans(spark):
     got = {r.doc_id: r for r in langid.identify(docs(spark, texts), model).collect()}
     assert [got[i].lang_pred for i in range(6)] == ["aa", "aa", "ru", "und", "und", "und"] and got[3].score == 0.0
     assert [(s.lang, s.start, s.end) for s in got[1].spans] == [("bb", 0, 20), ("aa", 20, 80)] and 0.7 < got[1].score < 0.8
+    mixed = {r.doc_id: r for r in langid.identify(docs(spark, ["kalomida" * 3 + "данолида" * 3, make("aa", 10) + " mi" + "но" * 30]), model).collect()}
+    assert [(s.lang, s.start, s.end) for s in mixed[0].spans] == [("aa", 0, 1), ("ru", 0, 1)]
+    assert [(s.lang, s.start, s.end) for s in mixed[1].spans] == [("aa", 0, 11), ("ru", 10, 11)]
+    assert langid.parts("日本語のテキストはスペースなしで") == ["日本語のテキストはスペー", "スなしで"] and langid.parts("a1Б-") == ["a1", "Б-"]
+    assert langid.identify(docs(spark, []), model).count() == 0
     empty = langid.train(train.filter("false"))
     assert {r.lang_pred for r in langid.identify(docs(spark, texts), empty).collect()} == {"und"}
 
@@ -190,3 +195,12 @@ def test_mix_meets_targets(spark):
     total = 1.5 * sum(r.size for r in got)
     assert abs(sum(rs[0].target for rs in by.values()) - total) < 1e-6 * total
     assert mixing.mix(d.filter("false")).count() == mixing.mix_documents(d.filter("false")).count() == 0
+
+
+def test_held_out_language_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    found = langid.identify(d.filter(held), langid.train(d.filter(~held)), keep=("lang",)).filter("lang is not null and lang_pred <> 'und'")
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    print("held-out accuracy", right, n)
+    assert n > 200 and right >= 0.99 * n
