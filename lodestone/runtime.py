@@ -63,10 +63,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors. The shuffle files
+    of the write go when it ends, as nothing reads them again."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    path, cleanup = scratch(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
