@@ -9,10 +9,10 @@ follow from the number of texts, so that a pair at the threshold is outside the
 of `miss` at most (more similar pairs: far less), and tables and comparisons cost the least together.
 
 Texts with equal sets are collapsed to one node first. Nodes in a bucket are compared by all bits of their fingerprints;
-buckets above `block` nodes are compared block against block. In a first pass each node names its least candidate only, so
-a large group of near copies gives one candidate pair for each member; all candidate pairs are verified on the whole sets
-of shingles. In a second pass all candidate pairs whose ends are still in different groups are verified, so that none goes
-unseen.
+buckets above `block` nodes are compared block against block. In a first pass each node names only its nearest and its
+least candidate, so a large group of near copies gives two candidate pairs for each member and bucket at most; they are
+verified on the whole sets of shingles. In a second pass all candidate pairs whose ends are still in different groups are
+verified, so that none goes unseen.
 
 Edge cases: texts without a word (null, empty) are copies of each other; a text with fewer words than a shingle is one
 shingle; rows keep all their columns, whatever their ids; empty tables give empty results.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.simhash import majority_bits, shingle_hashes
 from lodestone.operators.components import connected_components
-from lodestone.runtime import materialize
+from lodestone.runtime import discard, materialize
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 PAIR_NS, ROW_NS, WORD_NS = 3, 2_000, 30_000  # what a comparison, a row of a table and 64 bits of a fingerprint take, about
@@ -145,43 +145,48 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: int = 256):
     """Pairs of a bucket's nodes whose fingerprints differ in `most` bits or fewer (and the first words in most_first): all
-    that are in different groups, or those of each node with its least such partner."""
+    that are in different groups, or those of each node with its nearest and its least such partner."""
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def near(f: list[np.ndarray], r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.nonzero(np.bitwise_count(f[0][r][:, None] ^ f[0][c][None, :]) <= most_first)
+        i, j = r[i], c[j]
+        far = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
+        fit = (far <= most) & (i != j)
+        return i[fit], j[fit], far[fit]
+
+    def pairs(t: pa.Table) -> np.ndarray:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         node, group, block = (t.column(c).to_numpy() for c in ("node", "group", "block"))
-        order = np.lexsort((node, group)) if all_pairs else np.argsort(node)
+        order = np.lexsort((node, group))
         node, group, block = node[order], group[order], block[order]
         f = [t.column(f"f{i}").to_numpy()[order].view(np.uint64) for i in range(words)]
         mine, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found = []
-        for begin in range(0, len(mine), rows):
-            r = mine[begin : begin + rows]
-            c = theirs if low != high else theirs[np.searchsorted(theirs, r[0]) :]
-            if all_pairs and group[r[0]] == group[r[-1]]:  # sorted by group: none of the same one has to be compared
-                c = c[group[c] != group[r[0]]]
-            i, j = np.nonzero(np.bitwise_count(f[0][r][:, None] ^ f[0][c][None, :]) <= most_first)
-            i, j = r[i], c[j]
-            far = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
-            fit = (far <= most) & (node[i] != node[j])
-            if all_pairs:
-                fit &= group[i] != group[j]
-            found.append(np.stack([np.minimum(node[i], node[j])[fit], np.maximum(node[i], node[j])[fit]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        if not all_pairs and len(a):
-            order = np.lexsort((a, b))
-            a, b = a[order], b[order]
-            first = np.concatenate([[True], b[1:] != b[:-1]])
-            a, b = a[first], b[first]
-        return a, b
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for one, other in ((mine, theirs),) if all_pairs or low == high else ((mine, theirs), (theirs, mine)):
+            for begin in range(0, len(one), rows):
+                r, c = one[begin : begin + rows], other
+                if all_pairs:
+                    c = c[np.searchsorted(c, r[0]) :] if low == high else c
+                    c = c[group[c] != group[r[0]]] if group[r[0]] == group[r[-1]] else c  # sorted by group
+                    i, j, _ = near(f, r, c)
+                    apart = group[i] != group[j]
+                    found.append(np.stack([node[i[apart]], node[j[apart]]]))
+                    continue
+                i, j, far = near(f, r, c)
+                for order in (np.lexsort((node[j], far, i)), np.lexsort((node[j], i))):
+                    x = i[order]
+                    first = order[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else order
+                    found.append(np.stack([node[i[first]], node[j[first]]]))
+        ends = np.concatenate(found, axis=1)
+        return np.stack([ends.min(axis=0), ends.max(axis=0)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in _runs(batches, 4):
             if t.num_rows > 1:
                 held.append(pairs(t))
-                size += len(held[-1][0])
-            if size > 50_000 or len(held) > 1000:
+                size += held[-1].shape[1]
+            if size > 200_000 or len(held) > 1000:
                 a, b = np.unique(np.concatenate(held, axis=1), axis=1)
                 held, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -198,9 +203,12 @@ def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, all_pairs: boo
     made = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(m).alias("m")) for t, (w, m) in enumerate(tables(cover))])
     dealt = nodes.withColumn("x", F.explode(made)).withColumn("key", F.element_at(F.array(*words), F.col("x.w") + 1).bitwiseAND(F.col("x.m")))
     dealt = dealt.select(F.col("x.t").alias("t"), "key", "node", "group", *words)
-    large = dealt.groupBy("t", "key").count().filter(F.col("count") > block).select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    placed = dealt.join(large, ["t", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "t"), F.col("n")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    large = materialize(dealt.groupBy("t", "key").count().filter(F.col("count") > block).select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("n")), "large")
+    if large.isEmpty():  # the wide rows are then dealt once
+        placed = dealt.withColumns({c: F.lit(0) for c in ("block", "low", "high")})
+    else:
+        placed = dealt.join(large, ["t", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "t"), F.col("n")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     keys = ["t", "key", "low", "high"]
     sorted_rows = placed.select(*keys, "block", "node", "group", *words).repartition(*keys).sortWithinPartitions(*keys)
     bits, spread = 64 * cover.words, lambda n: math.ceil(share * n + 3.5 * math.sqrt(share * (1 - share) * n))
@@ -213,7 +221,9 @@ def _similar(pairs: DataFrame, signed: DataFrame, text: str, words: int, thresho
     texts = signed.select("node", F.col(text).alias("text")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
+    similar = materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
+    discard(sets)
+    return similar
 
 
 def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01) -> DataFrame:
@@ -228,8 +238,12 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold:
     pairs = materialize(candidate_pairs(nodes.withColumn("group", F.col("node")), cover, share), "pairs")
     links = _similar(pairs, signed, text, words, threshold)
     found = materialize(connected_components(links), "groups")
-    grouped = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # other nodes are near none
+    grouped = materialize(nodes.join(ends, "node", "left_semi").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
+    discard(nodes)
     across = materialize(candidate_pairs(grouped, cover, share, all_pairs=True).join(pairs, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        found = connected_components(links.unionByName(_similar(across, signed, text, words, threshold)))
+        found = materialize(connected_components(links.unionByName(_similar(across, signed, text, words, threshold))), "groups")
+    for table in (pairs, grouped, across):
+        discard(table)
     return signed.drop(*prints).join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))
