@@ -1,12 +1,22 @@
 """Interpolated modified Kneser-Ney n-gram scores.
 
 Training counts n-grams in Spark, from the highest order down: each task sums its own n-grams, the sums are dealt by the
-hash of their context, and a shard's task writes its n-grams as arrays sorted by a 64-bit hash of the n-gram: counts,
-and per context the totals and the numbers of n-grams seen once, twice and more often. The distinct n-grams of one order
-give the continuation counts of the next lower one. Workers map these files into memory and look batches of n-grams up
-by binary search.
+hash of their context, and a shard's task writes its n-grams as arrays sorted by a hash of the n-gram: counts, and per
+context the totals and the numbers of n-grams seen once, twice and more often. The distinct n-grams of one order give
+the continuation counts of the next lower one. Workers map these files into memory and look batches of n-grams up by
+binary search.
 
-Words are 64-bit hashes (XXH64); two different words or n-grams meet with a probability of about n^2 / 2^65.
+The number of shards follows the bytes of the texts. Contexts that are frequent in a sample of the texts (WIDE of all
+n-grams or more, so at most 1 / WIDE contexts of each order) are dealt by the hash of the whole n-gram, so none is held
+by one task; their sums are added up over the shards and travel with the model. Which contexts these are changes where
+n-grams lie, not the result. Counts are whole numbers of any size: one byte where they are below 255, else listed apart.
+
+Words are 64-bit hashes (XXH64); two different words or n-grams meet with a probability of about n^2 / 2^65. A file keeps
+48 bits of an n-gram's hash beside those that name its shard: 32 in the array and 16 as a table of places.
+
+The discounts of counts 1, 2 and 3 or more are those of Chen and Goodman, with half of the smallest count as a floor
+where the counts of counts give none, so that every context leaves something to the lower orders and no score is
+infinite. N-grams that begin before the text are counted like others.
 
 Files are written under a temporary name and renamed, so a task that runs twice leaves one file. They lie in the shared
 folder; where that isn't a mounted path, workers fetch each file once through pyarrow's file systems.
@@ -19,6 +29,7 @@ kept.
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,53 +37,39 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialize, scratch
+from lodestone.runtime import discard, materialize, scratch
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the text's edges; no word's hash in practice
-_UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Words:
-    """Word hashes, remembered in a bounded table of the worker."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens (words of the lower-cased text, then an end), and each text's number of tokens."""
-        found = [t.translate(_UPPER).split() if t else [] for t in texts]
-        known = self.known
-        new = {w for ws in found for w in ws if w not in known}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set().union(*found)
-        for w in new:
-            known[w] = xxhash.xxh64_intdigest(w)
-        end = int(END)
-        sizes = np.array([len(ws) + 1 for ws in found], dtype=np.int64)
-        out = np.full(sizes.sum(), end, dtype=np.uint64)
-        flat = np.fromiter((known[w] for ws in found for w in ws), dtype=np.uint64, count=int(sizes.sum()) - len(found))
-        ends = np.cumsum(sizes) - 1
-        place = np.ones(len(out), dtype=bool)
-        place[ends] = False
-        out[place] = flat
-        return out, sizes
-
-
-_WORDS: dict[str, Words] = {}
-
-
-def _words() -> Words:
-    return _WORDS.setdefault("words", Words())
+WIDE = 0.001
+
+
+def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words of the lower-cased text, then an end), and each text's number of tokens."""
+    n = len(texts)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    words = split.flatten().dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    which = words.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    empty = words.dictionary.index("").as_py()  # before and after the white space at a text's edges
+    if empty >= 0:
+        full = which != empty
+        which, owner = which[full], owner[full]
+    sizes = np.bincount(owner, minlength=n).astype(np.int64) + 1
+    out = np.full(sizes.sum(), END, dtype=np.uint64)
+    place = np.ones(len(out), dtype=bool)
+    place[np.cumsum(sizes) - 1] = False
+    out[place] = known[which]
+    return out, sizes
 
 
 def ngrams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
@@ -99,9 +96,8 @@ def combine(grams: np.ndarray) -> np.ndarray:
 
 def _sum(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of grams in the order of (context hash, n-gram hash), with the sums of their columns of counts."""
-    context = combine(grams[:-1]) if len(grams) > 1 else combine(grams)
-    order = np.argsort(combine(grams), kind="stable")
-    order = order[np.argsort(context[order], kind="stable")]
+    own = combine(grams)
+    order = np.lexsort((own, combine(grams[:-1]))) if len(grams) > 1 else np.argsort(own, kind="stable")
     grams, counts = grams[:, order], counts[:, order]
     new = np.ones(grams.shape[1], dtype=bool)
     new[1:] = (grams[:, 1:] != grams[:, :-1]).any(axis=0)
@@ -109,51 +105,70 @@ def _sum(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return grams[:, first], np.add.reduceat(counts, first, axis=1) if len(first) else counts
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _pack(grams: np.ndarray, counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(grams.astype("<u8").tobytes() + counts.astype("<u4").tobytes())
+    """The columns as numbers in a dictionary of their own words: most words are in many n-grams."""
+    words, codes = np.unique(grams, return_inverse=True)
+    parts = [words, _narrow(codes.reshape(grams.shape)), _narrow(counts)]
+    head = struct.pack("<QQ2sB2sB", len(words), grams.shape[1], parts[1].dtype.str[1:].encode(), len(grams), parts[2].dtype.str[1:].encode(), len(counts))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in parts))
 
 
-def _unpack(blob: bytes, order: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // (8 * order + 4 * kinds)
-    return np.frombuffer(raw, "<u8", n * order).reshape(order, n), np.frombuffer(raw, "<u4", n * kinds, 8 * order * n).reshape(kinds, n).astype(np.int64)
+    known, n, code, order, number, kinds = struct.unpack_from("<QQ2sB2sB", raw)
+    at = struct.calcsize("<QQ2sB2sB")
+    words = np.frombuffer(raw, np.uint64, known, at)
+    codes = np.frombuffer(raw, code.decode(), n * order, at := at + words.nbytes)
+    counts = np.frombuffer(raw, number.decode(), n * kinds, at + codes.nbytes)
+    return words[codes.reshape(order, n)], counts.reshape(kinds, n).astype(np.int64)
+
 
+def _shards(grams: np.ndarray, shards: int, wide: np.ndarray) -> np.ndarray:
+    """The shard of each column, by its context's hash; by its own for single words and for wide contexts (sorted hashes)."""
+    own = combine(grams)
+    if len(grams) == 1:
+        return (own % np.uint64(shards)).astype(np.int64)
+    context = combine(grams[:-1])
+    return (np.where(_among(context, wide), own, context) % np.uint64(shards)).astype(np.int64)
 
-def _shards(grams: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each column, by the high bits of its context's hash (of its own hash for single words)."""
-    key = combine(grams[:-1]) if len(grams) > 1 else combine(grams)
-    return ((key >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
-def _deal(order: int, shards: int, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _deal(shards: int, wide: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sums columns and yields one row for each shard."""
     grams, counts = _sum(grams, counts)
     if not grams.shape[1]:
         return
-    shard = _shards(grams, shards)
+    shard = _shards(grams, shards, wide)
     by = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-    rows = [(s, _pack(grams[:, by[cuts[s] : cuts[s + 1]]], counts[:, by[cuts[s] : cuts[s + 1]]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
-    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
+    starts = np.flatnonzero(np.diff(shard[by], prepend=-1))
+    for begin, end in zip(starts, [*starts[1:], len(by)], strict=True):
+        some = by[begin:end]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[some[0]])], pa.int32()), pa.array([_pack(grams[:, some], counts[:, some])], pa.binary())], names=["shard", "blob"])
 
 
-def _count(order: int, shards: int, most: int = 3_000_000):
+def _count(order: int, shards: int, wide: np.ndarray, most: int = 3_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                tokens, sizes = _words().hashes(whole.column(0).slice(begin, 500).cast(pa.binary()).to_pylist())
-                held.append(ngrams(tokens, sizes, order))
-                size += len(tokens)
+            for begin in range(0, whole.num_rows, 2000):
+                held.append(ngrams(*hashes(whole.column(0).slice(begin, 2000)), order))
+                size += held[-1].shape[1]
                 if size >= most:
-                    grams = np.concatenate(held, axis=1)
-                    held, size = [], 0
-                    yield from _deal(order, shards, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
+                    grams, held, size = np.concatenate(held, axis=1), [], 0
+                    yield from _deal(shards, wide, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
         if held:
-            grams = np.concatenate(held, axis=1)
-            held = []
-            yield from _deal(order, shards, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
+            grams, held = np.concatenate(held, axis=1), []
+            yield from _deal(shards, wide, grams, np.ones((1, grams.shape[1]), dtype=np.int64))
 
     return run
 
@@ -164,51 +179,83 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     own = f"{base}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:
         np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
-    system.move(own, f"{base}/{name}")
+    system.move(own, f"{base}/{name}.npy")
+
+
+def _save_numbers(folder: str, name: str, values: np.ndarray) -> None:
+    """Columns of whole numbers: a byte each where all of the column are below 255, else 255 and the column is listed apart."""
+    large = np.flatnonzero((values >= 255).any(axis=0))
+    small = np.minimum(values, 255).astype(np.uint8)
+    small[:, large] = 255
+    _save(folder, name, small)
+    _save(folder, f"{name}-places", large)
+    _save(folder, f"{name}-values", values[:, large])
+
+
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted hashes: the places where each of the highest 16 bits begin, and the 32 bits after those."""
+    high = (keys >> np.uint64(48)).astype(np.int64)
+    _save(folder, f"{name}-begin", np.searchsorted(high, np.arange((1 << 16) + 1)).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+    _save(folder, name, ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
-def _write_shard(order: int, kinds: int, shards: int, folder: str):
-    """Writes the arrays of a shard; returns its counts of counts and the parts of the next lower order. The first kind of
-    count is the model's own (below the highest order: of different words before), the last the occurrences."""
+def _sums(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(np.stack([counts, counts == 1, counts == 2, counts >= 3]), first, axis=1) if len(first) else np.zeros((4, 0), dtype=np.int64)
+
+
+def _write_shard(order: int, shards: int, folder: str, wide: np.ndarray, wide_below: np.ndarray):
+    """Writes the arrays of a shard; returns its counts of counts, the sums of wide contexts, and the parts of the next lower
+    order. The first kind of count is the model's own (below the highest order: of different words before), the last the
+    occurrences."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        grams, sums = map(list, zip(*(_unpack(b.as_py(), order, kinds) for b in table.column("blob")), strict=True))
+        grams, sums = map(list, zip(*(_unpack(b.as_py()) for b in table.column("blob")), strict=True))
         grams, sums = _sum(np.concatenate(grams, axis=1), np.concatenate(sums, axis=1))
-        counts, occurs = sums[0], sums[-1]
-        hashed = combine(grams)
+        counts, occurs, hashed = sums[0], sums[-1], combine(grams)
         by = np.argsort(hashed, kind="stable")
-        _save(folder, f"grams-{order}-{shard}.npy", hashed[by])
-        _save(folder, f"counts-{order}-{shard}.npy", np.minimum(counts[by], 0xFFFFFFFF).astype("<u4"))
+        _save_keys(folder, f"grams-{order}-{shard}", hashed[by])
+        _save_numbers(folder, f"counts-{order}-{shard}", counts[None, by])
+        stats = [[*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(counts.sum()), len(counts), int((counts >= 3).sum())]]
+        lower: list[pa.RecordBatch] = []
         if order == 1:
-            _save(folder, f"occurs-1-{shard}.npy", np.minimum(occurs[by], 0xFFFFFFFF).astype("<u4"))
+            _save_numbers(folder, f"occurs-1-{shard}", occurs[None, by])
         else:
             context = combine(grams[:-1])
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            seen = np.stack([counts, counts == 1, counts == 2, counts >= 3])
-            sums = np.add.reduceat(seen, first, axis=1)
-            by = np.argsort(context[first], kind="stable")
-            _save(folder, f"contexts-{order}-{shard}.npy", context[first][by])
-            _save(folder, f"sums-{order}-{shard}.npy", sums[:, by].astype("<f4") if sums.max(initial=0) < 1 << 24 else sums[:, by].astype("<f8"))
-        stats = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), len(counts), int((counts >= 3).sum())]
-        if order > 1:
-            lower = list(_deal(order - 1, shards, grams[1:], np.stack([np.ones_like(occurs), occurs])))
-            dealt = pa.Table.from_batches(lower)
-        else:
-            dealt = pa.table({"shard": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        n = dealt.num_rows
-        none = pa.array([None] * n, pa.list_(pa.int64()))
+            seen, context = _sums(counts, first), context[first]
+            apart = _among(context, wide)
+            stats += [[int(h), *map(int, x)] for h, x in zip(context[apart].view(np.int64), seen[:, apart].T, strict=True)]
+            seen, context = seen[:, ~apart], context[~apart]
+            by = np.argsort(context, kind="stable")
+            _save_keys(folder, f"contexts-{order}-{shard}", context[by])
+            _save_numbers(folder, f"sums-{order}-{shard}", seen[:, by])
+            lower = list(_deal(shards, wide_below, grams[1:], np.stack([np.ones_like(occurs), occurs])))
+        dealt = pa.Table.from_batches(lower, schema=pa.schema([("shard", pa.int32()), ("blob", pa.binary())]))
         return pa.table(
             {
-                "shard": pa.concat_arrays([pa.array([shard], pa.int32()), *dealt.column("shard").chunks]),
-                "blob": pa.concat_arrays([pa.array([None], pa.binary()), *dealt.column("blob").chunks]),
-                "stats": pa.concat_arrays([pa.array([stats], pa.list_(pa.int64())), none]),
+                "shard": pa.concat_arrays([pa.array([shard] * len(stats), pa.int32()), *dealt.column("shard").chunks]),
+                "blob": pa.concat_arrays([pa.array([None] * len(stats), pa.binary()), *dealt.column("blob").chunks]),
+                "stats": pa.concat_arrays([pa.array(stats, pa.list_(pa.int64())), pa.array([None] * dealt.num_rows, pa.list_(pa.int64()))]),
             }
         )
 
     return run
 
 
+def _wide_contexts(docs: DataFrame, text: str, order: int, sample: int) -> list[np.ndarray]:
+    """For each order from 2 on, the sorted hashes of the contexts with WIDE or more of the n-grams of about `sample` texts of
+    up to 100,000 characters."""
+    n = docs.count()
+    few = docs.filter((F.xxhash64(text) <= (sample << 64) // max(n, sample) - (1 << 63) - 1) & (F.char_length(text) <= 100_000)).select(F.col(text).alias("t")).dropDuplicates(["t"])
+    tokens, sizes = hashes(pa.array([r.t for r in few.collect()], pa.string()))
+    out = []
+    for k in range(2, order + 1):
+        known, counts = np.unique(combine(ngrams(tokens, sizes, k)[:-1]), return_counts=True)
+        out.append(known[counts >= max(WIDE * len(tokens), 8)])
+    return out
+
+
 class Model(NamedTuple):
     folder: str
     order: int
@@ -217,83 +264,111 @@ class Model(NamedTuple):
     tokens: int  # of the training texts
     words: int  # distinct ones
     unigrams: tuple[int, int, int, int]  # of the continuation counts: sum, and how many are 1, 2, more
+    wide: list[tuple[np.ndarray, np.ndarray]]  # of order 2, 3, ...: sorted hashes of the wide contexts, and their sums
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney; halves where a count of counts is zero."""
+    """The three discounts of modified Kneser-Ney; halves where a count of counts is zero or a discount wouldn't be positive."""
     if not (n1 and n2):
         return (0.5, 0.5, 0.5)
     y = n1 / (n1 + 2 * n2)
-    bound = lambda d, most: min(max(d, 0.0), most)
-    return (bound(1 - 2 * y * n2 / n1, 1.0), bound(2 - 3 * y * n3 / n2, 2.0), bound(3 - 4 * y * n4 / n3, 3.0) if n3 else bound(2 - 3 * y * n3 / n2, 2.0))
+    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.0)
+    return tuple(min(d, float(k + 1)) if d > 0 else 0.5 for k, d in enumerate(found))
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2, shards: int | None = None, keep: str | None = None) -> Model:
-    """Counts all texts of docs and writes the model's arrays to a new folder of the shared one (or to keep)."""
+def train(docs: DataFrame, text: str = "text", order: int = 2, shards: int | None = None, keep: str | None = None, shard_bytes: int = 6_000_000, sample: int = 400) -> Model:
+    """Counts all texts of docs and writes the model's arrays to a new folder of the shared one (or to keep). A shard stands
+    for about shard_bytes of text."""
     spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:
+        shards = max(8, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // shard_bytes)
     folder = keep or scratch(spark, "ngrams")
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, shards), "shard int, blob binary")
+    wide = [np.zeros(0, dtype=np.uint64)] + (_wide_contexts(docs, text, order, sample) if order > 1 else [])
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, shards, wide[order - 1]), "shard int, blob binary")
     stats: list[list[int]] = []
+    sums: list[tuple[np.ndarray, np.ndarray]] = []
+    below = None
     for n in range(order, 0, -1):
-        done = parts.groupBy("shard").applyInArrow(_write_shard(n, 1 if n == order else 2, shards, folder), "shard int, blob binary, stats array<bigint>")
-        done = materialize(done, f"order-{n}", "none")
-        found = done.filter("stats is not null").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(7)]).first()
+        run = _write_shard(n, shards, folder, wide[n - 1], wide[n - 2] if n > 1 else wide[0])
+        done = materialize(parts.groupBy("shard").applyInArrow(run, "shard int, blob binary, stats array<bigint>"), f"order-{n}", "none")
+        if below is not None:
+            discard(below)
+        told = done.filter(F.col("stats").isNotNull()).select("stats")
+        found = told.filter(F.size("stats") == 7).agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(7)]).first()
         stats.insert(0, [int(x or 0) for x in found])
-        parts = done.filter("blob is not null").select("shard", "blob")
+        if n > 1:  # a row for each wide context at most
+            rows = told.filter(F.size("stats") == 5).groupBy(F.col("stats")[0].alias("h")).agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(1, 5)]).collect()
+            hashed = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+            by = np.argsort(hashed)
+            sums.insert(0, (hashed[by], np.array([r[1:] for r in rows], dtype=np.float64).reshape(-1, 4).T[:, by]))
+        below, parts = done, done.filter(F.col("blob").isNotNull()).select("shard", "blob")
+    discard(below)
     low = stats[0]
-    tokens = stats[-1][4]
-    return Model(folder, order, shards, [_discounts(*s[:4]) for s in stats], tokens, low[5], (low[4], low[0], low[1], low[6]))
+    return Model(folder, order, shards, [_discounts(*s[:4]) for s in stats], stats[-1][4], low[5], (low[4], low[0], low[1], low[6]), sums)
 
 
 class Reader:
-    """Maps the model's files into memory, each when it is first needed."""
+    """Maps the model's files into memory, each when it is first needed; the `most` last used stay mapped."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, model: Model, most: int = 4096) -> None:
+        self.model, self.most = model, most
         self.system, self.base = fs.FileSystem.from_uri(model.folder)
         self.held: dict[str, np.ndarray | None] = {}
-        self.names = {f.base_name for f in self.system.get_file_info(fs.FileSelector(self.base, allow_not_found=True))}
 
-    def array(self, kind: str, order: int, shard: int) -> np.ndarray | None:
-        name = f"{kind}-{order}-{shard}.npy"
+    def array(self, name: str) -> np.ndarray | None:
         if name not in self.held:
-            if name not in self.names:
+            while len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            path = f"{self.base}/{name}.npy"
+            if isinstance(self.system, fs.LocalFileSystem):
+                self.held[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            elif self.system.get_file_info(path).type == fs.FileType.NotFound:
                 self.held[name] = None
-            elif isinstance(self.system, fs.LocalFileSystem):
-                self.held[name] = np.load(f"{self.base}/{name}", mmap_mode="r")
             else:
                 with tempfile.NamedTemporaryFile() as own:  # the name goes, the mapping stays
-                    with self.system.open_input_stream(f"{self.base}/{name}") as source:
+                    with self.system.open_input_stream(path) as source:
                         while chunk := source.read(1 << 22):
                             own.write(chunk)
                     own.flush()
                     self.held[name] = np.load(own.name, mmap_mode="r")
         return self.held[name]
 
-    def find(self, kinds: tuple[str, str], order: int, keys: np.ndarray, shard: np.ndarray, wide: int = 0) -> np.ndarray:
-        """Values of sorted-array entries for each key, 0 where there is none."""
-        out = np.zeros((wide, len(keys)) if wide else len(keys), dtype=np.float64)
+    def find(self, kinds: tuple[str, str], order: int, keys: np.ndarray, shard: np.ndarray, wide: int = 1) -> np.ndarray:
+        """Columns of numbers for each key, 0 where there are none."""
+        out = np.zeros((wide, len(keys)), dtype=np.float64)
         by = np.lexsort((keys, shard))
-        cuts = np.searchsorted(shard[by], np.arange(self.model.shards + 1))
-        for s in range(self.model.shards):
-            at = by[cuts[s] : cuts[s + 1]]
-            known = self.array(kinds[0], order, s) if len(at) else None
+        starts = np.flatnonzero(np.diff(shard[by], prepend=-1))
+        for begin, end in zip(starts, [*starts[1:], len(by)], strict=True):
+            at = by[begin:end]
+            name = f"{kinds[0]}-{order}-{shard[at[0]]}"
+            known = self.array(name)
             if known is None or not len(known):
                 continue
-            spot = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-            hit = known[spot] == keys[at]
-            values = self.array(kinds[1], order, s)
-            out[..., at[hit]] = values[..., spot[hit]]
+            high, low = (keys[at] >> np.uint64(48)).astype(np.int64), ((keys[at] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            place = self.array(f"{name}-begin")
+            left, right = place[high].astype(np.int64), place[high + 1].astype(np.int64)
+            until = right.copy()
+            for _ in range(int((right - left).max(initial=0)).bit_length()):
+                middle = (left + right) >> 1
+                less = (known[np.minimum(middle, len(known) - 1)] < low) & (left < right)
+                left, right = np.where(less, middle + 1, left), np.where(less, right, np.minimum(middle, right))
+            hit = np.flatnonzero((left < until) & (known[np.minimum(left, len(known) - 1)] == low))
+            name = f"{kinds[1]}-{order}-{shard[at[0]]}"
+            values = self.array(name)[:, left[hit]].astype(np.float64)
+            large = np.flatnonzero(values[0] == 255)
+            if len(large):
+                values[:, large] = self.array(f"{name}-values")[:, np.searchsorted(self.array(f"{name}-places"), left[hit[large]])]
+            out[:, at[hit]] = values
         return out
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        return self.find(("grams", "counts"), len(grams), combine(grams), _shards(grams, self.model.shards))
+    def wide(self, order: int) -> np.ndarray:
+        return self.model.wide[order - 2][0] if order > 1 else np.zeros(0, dtype=np.uint64)
 
     def probability(self, grams: np.ndarray) -> np.ndarray:
         """p(last word | the words before) of each column."""
         m, order = self.model, len(grams)
-        count = self.counts(grams)
+        shard = _shards(grams, m.shards, self.wide(order))
+        count = self.find(("grams", "counts"), order, combine(grams), shard)[0]
         d = np.array([0.0, *m.discounts[order - 1]])
         cut = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0.0)
         if order == 1:
@@ -301,12 +376,13 @@ class Reader:
             if not total:
                 return np.full(grams.shape[1], 1.0 / (m.words + 1))
             return cut / total + float(np.dot(d[1:], n)) / total / (m.words + 1)
-        lower = self.probability(grams[1:])
-        sums = self.find(("contexts", "sums"), order, combine(grams[:-1]), _shards(grams, m.shards), wide=4)
-        total = sums[0]
-        seen = total > 0
-        total = np.where(seen, total, 1.0)
-        return np.where(seen, cut / total + (d[1:] @ sums[1:]) / total * lower, lower)
+        lower, context = self.probability(grams[1:]), combine(grams[:-1])
+        sums = self.find(("contexts", "sums"), order, context, (context % np.uint64(m.shards)).astype(np.int64), wide=4)
+        hashed, apart = m.wide[order - 2]
+        if (of := _among(context, hashed)).any():
+            sums[:, of] = apart[:, np.searchsorted(hashed, context[of])]
+        total = np.where(sums[0] > 0, sums[0], 1.0)
+        return np.where(sums[0] > 0, cut / total + (d[1:] @ sums[1:]) / total * lower, lower)
 
 
 _READERS: dict[str, Reader] = {}
@@ -323,12 +399,12 @@ def _score(model: Model, add: float):
                 yield score(whole.slice(begin, 2000), reader)
 
     def score(b: pa.RecordBatch, reader: Reader) -> pa.RecordBatch:
-        tokens, sizes = _words().hashes(b.column(1).cast(pa.binary()).to_pylist())
+        tokens, sizes = hashes(b.column(1))
         starts = np.cumsum(sizes) - sizes
         grams, inverse = _unique(ngrams(tokens, sizes, model.order))
         logs = np.log10(reader.probability(grams))
         words, which = np.unique(tokens, return_inverse=True)
-        occurs = reader.find(("grams", "occurs"), 1, combine(words[None, :]), _shards(words[None, :], model.shards))
+        occurs = reader.find(("grams", "occurs"), 1, combine(words[None, :]), _shards(words[None, :], model.shards, reader.wide(1)))[0]
         plain = np.log10((occurs + add) / (model.tokens + add * (model.words + 1)))
         cut = lambda x: np.add.reduceat(x, starts)
         return pa.RecordBatch.from_arrays(

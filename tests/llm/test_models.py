@@ -162,6 +162,32 @@ def test_kneser_ney_equals_a_plain_model(spark, order):
     assert model.tokens == sum(map(len, tokens)) and model.words == vocabulary
 
 
+def test_scores_are_finite_where_fours_are_more_than_threes(spark):
+    texts = [f"a{i} b{i}" for i in range(40) for _ in range(4)] + ["c d", "c d", "c e", "f g", "h i j", "h i j", "h i j"]
+    for order in (2, 3):
+        model = kneser.train(docs(spark, texts), order=order)
+        assert all(d > 0 for x in model.discounts for d in x)
+        scores = [r.score for r in kneser.score(docs(spark, ["a1 b2", "a1 b1", "zzz", "c b7 d", None]), model).collect()]
+        assert all(map(math.isfinite, scores)) and len(scores) == 5
+
+
+def test_frequent_contexts_are_spread_and_counts_have_no_cap(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["the " + " ".join(r.choice(["the", f"w{r.randint(0, 300)}"]) for _ in range(40)) for _ in range(80)] + ["x x"] * 700
+    want = kneser.score(docs(spark, texts), kneser.train(docs(spark, texts), order=3, shards=8, sample=1)).collect()
+    monkeypatch.setattr(kneser, "WIDE", 0.005)
+    model = kneser.train(docs(spark, texts), order=3, shards=8)
+    assert all(len(h) for h, _ in model.wide)
+    got = {x.doc_id: x.score for x in kneser.score(docs(spark, texts), model).collect()}
+    assert all(abs(got[x.doc_id] - x.score) < 1e-9 * max(1, abs(x.score)) for x in want)
+    many = np.array([[3, 1 << 40, 254, 255], [1, 2, 3, 4]])
+    grams = np.arange(8, dtype=np.uint64).reshape(2, 4)
+    back = kneser._unpack(kneser._pack(grams, many))
+    assert (back[0] == grams).all() and (back[1] == many).all()
+    none = docs(spark, [])
+    assert kneser.score(docs(spark, [None, "a"]), kneser.train(none, order=3)).count() == 2 and kneser.score(none, model).count() == 0
+
+
 def test_vector_links_equal_all_pairs(spark):
     rng = np.random.RandomState(4)
     base = rng.standard_normal((8, 32))
