@@ -173,7 +173,8 @@ def _count(order: int, shards: int, wide: np.ndarray, most: int = 3_000_000):
     return run
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
+def save_array(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes the array under a temporary name and renames it."""
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     own = f"{base}/{name}.{uuid.uuid4().hex}"
@@ -182,21 +183,35 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     system.move(own, f"{base}/{name}.npy")
 
 
+def mapped_array(system: fs.FileSystem, path: str) -> np.ndarray | None:
+    """The array of a file, mapped into memory; None if there is no such file."""
+    if isinstance(system, fs.LocalFileSystem):
+        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with tempfile.NamedTemporaryFile() as own:  # the name goes, the mapping stays
+        with system.open_input_stream(path) as source:
+            while chunk := source.read(1 << 22):
+                own.write(chunk)
+        own.flush()
+        return np.load(own.name, mmap_mode="r")
+
+
 def _save_numbers(folder: str, name: str, values: np.ndarray) -> None:
     """Columns of whole numbers: a byte each where all of the column are below 255, else 255 and the column is listed apart."""
     large = np.flatnonzero((values >= 255).any(axis=0))
     small = np.minimum(values, 255).astype(np.uint8)
     small[:, large] = 255
-    _save(folder, name, small)
-    _save(folder, f"{name}-places", large)
-    _save(folder, f"{name}-values", values[:, large])
+    save_array(folder, name, small)
+    save_array(folder, f"{name}-places", large)
+    save_array(folder, f"{name}-values", values[:, large])
 
 
 def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
     """Sorted hashes: the places where each of the highest 16 bits begin, and the 32 bits after those."""
     high = (keys >> np.uint64(48)).astype(np.int64)
-    _save(folder, f"{name}-begin", np.searchsorted(high, np.arange((1 << 16) + 1)).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
-    _save(folder, name, ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    save_array(folder, f"{name}-begin", np.searchsorted(high, np.arange((1 << 16) + 1)).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+    save_array(folder, name, ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
 def _sums(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -319,18 +334,7 @@ class Reader:
         if name not in self.held:
             while len(self.held) >= self.most:
                 self.held.pop(next(iter(self.held)))
-            path = f"{self.base}/{name}.npy"
-            if isinstance(self.system, fs.LocalFileSystem):
-                self.held[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-            elif self.system.get_file_info(path).type == fs.FileType.NotFound:
-                self.held[name] = None
-            else:
-                with tempfile.NamedTemporaryFile() as own:  # the name goes, the mapping stays
-                    with self.system.open_input_stream(path) as source:
-                        while chunk := source.read(1 << 22):
-                            own.write(chunk)
-                    own.flush()
-                    self.held[name] = np.load(own.name, mmap_mode="r")
+            self.held[name] = mapped_array(self.system, f"{self.base}/{name}.npy")
         return self.held[name]
 
     def find(self, kinds: tuple[str, str], order: int, keys: np.ndarray, shard: np.ndarray, wide: int = 1) -> np.ndarray:

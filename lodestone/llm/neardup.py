@@ -12,7 +12,8 @@ Texts with equal sets are collapsed to one node first. Nodes in a bucket are com
 buckets above `block` nodes are compared block against block. In a first pass each node names only its nearest and its
 least candidate, so a large group of near copies gives two candidate pairs for each member and bucket at most; they are
 verified on the whole sets of shingles. In a second pass all candidate pairs whose ends are still in different groups are
-verified, so that none goes unseen.
+verified where they meet first, on sets of shingles that the tasks map into memory from files in the shared folder; one
+link between two groups leaves a task, not pairs. So no similar pair goes unseen, and no table of all pairs is made.
 
 Edge cases: texts without a word (null, empty) are copies of each other; a text with fewer words than a shingle is one
 shingle; rows keep all their columns, whatever their ids; empty tables give empty results.
@@ -28,12 +29,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.kneser import mapped_array, save_array
 from lodestone.llm.simhash import majority_bits, shingle_hashes
 from lodestone.operators.components import connected_components
-from lodestone.runtime import discard, materialize
+from lodestone.runtime import discard, materialize, scratch
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 PAIR_NS, ROW_NS, WORD_NS = 3, 2_000, 30_000  # what a comparison, a row of a table and 64 bits of a fingerprint take, about
@@ -143,9 +146,80 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: int = 256):
-    """Pairs of a bucket's nodes whose fingerprints differ in `most` bits or fewer (and the first words in most_first): all
-    that are in different groups, or those of each node with its nearest and its least such partner."""
+class Sets:
+    """The shingle sets of nodes, mapped into memory from files of the shared folder."""
+
+    def __init__(self, folder: str, shards: int) -> None:
+        self.system, self.base = fs.FileSystem.from_uri(folder)
+        self.shards, self.held = shards, {}
+
+    def get(self, node: int) -> np.ndarray:
+        shard = node % self.shards
+        if shard not in self.held:
+            if len(self.held) >= 512:
+                self.held.pop(next(iter(self.held)))
+            self.held[shard] = [mapped_array(self.system, f"{self.base}/{kind}-{shard}.npy") for kind in ("nodes", "ends", "sets")]
+        nodes, ends, sets = self.held[shard]
+        at = int(np.searchsorted(nodes, node))
+        return sets[ends[at] : ends[at + 1]]
+
+
+def write_sets(sets: DataFrame, folder: str, shards: int) -> None:
+    """Writes (node, s) as files of sorted arrays, by node modulo shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # a shard has about 2,000 sets
+        if held:
+            nodes = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+            sizes = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held])
+            shard = int(nodes[0]) % shards
+            save_array(folder, f"nodes-{shard}", nodes)
+            save_array(folder, f"ends-{shard}", np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            save_array(folder, f"sets-{shard}", np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False) for b in held]))
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+
+    dealt = sets.select("node", F.array_sort("s").alias("s")).repartitionById(shards, F.pmod("node", F.lit(shards)).cast("int")).sortWithinPartitions("node")
+    dealt.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+class Verify(NamedTuple):
+    """How the second pass verifies: the files of the sets, the threshold, and all tables of the cover."""
+
+    folder: str
+    shards: int
+    threshold: float
+    tables: list[tuple[int, int]]
+
+    def links(self, sets: Sets, t: int, f: list[np.ndarray], node: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Of the pairs (i, j) that meet in table t for the first time, one similar pair for each two groups."""
+        new = np.ones(len(i), dtype=bool)
+        for w, m in self.tables[:t]:
+            at = np.flatnonzero(new)
+            new[at] = ((f[w][i[at]] ^ f[w][j[at]]) & np.uint64(m & 0xFFFFFFFFFFFFFFFF)) != 0
+        i, j = i[new], j[new]
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for begin, end in zip(*_bounds(i), strict=True):
+            mine, partners = sets.get(int(node[i[begin]])), j[begin:end]
+            theirs = [sets.get(int(node[k])) for k in partners]
+            sizes = np.array([len(x) for x in theirs])
+            flat = np.concatenate(theirs)
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in partners[common >= self.threshold * (len(mine) + sizes - common)]:
+                ends = (int(node[i[begin]]), int(node[k]))
+                out[int(group[i[begin]]), int(group[k])] = (min(ends), max(ends))
+        return list(out.values())
+
+
+def _bounds(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    return begins, np.append(begins[1:], len(sorted_values))[: len(begins)]
+
+
+def _candidates(words: int, most: int, most_first: int, verify: Verify | None, rows: int = 256):
+    """Pairs of a bucket's nodes whose fingerprints differ in `most` bits or fewer (and the first words in most_first): those
+    of each node with its nearest and its least such partner; or, with verify, similar ones of different groups."""
+    all_pairs = verify is not None
 
     def near(f: list[np.ndarray], r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j = np.nonzero(np.bitwise_count(f[0][r][:, None] ^ f[0][c][None, :]) <= most_first)
@@ -154,7 +228,7 @@ def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: i
         fit = (far <= most) & (i != j)
         return i[fit], j[fit], far[fit]
 
-    def pairs(t: pa.Table) -> np.ndarray:
+    def pairs(t: pa.Table, sets: Sets | None) -> np.ndarray:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         node, group, block = (t.column(c).to_numpy() for c in ("node", "group", "block"))
         order = np.lexsort((node, group))
@@ -170,7 +244,8 @@ def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: i
                     c = c[group[c] != group[r[0]]] if group[r[0]] == group[r[-1]] else c  # sorted by group
                     i, j, _ = near(f, r, c)
                     apart = group[i] != group[j]
-                    found.append(np.stack([node[i[apart]], node[j[apart]]]))
+                    links = verify.links(sets, t.column("t")[0].as_py(), f, node, group, i[apart], j[apart])
+                    found.append(np.array(links, dtype=np.int64).reshape(-1, 2).T)
                     continue
                 i, j, far = near(f, r, c)
                 for order in (np.lexsort((node[j], far, i)), np.lexsort((node[j], i))):
@@ -182,9 +257,10 @@ def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        sets = Sets(verify.folder, verify.shards) if verify else None
         for t in _runs(batches, 4):
             if t.num_rows > 1:
-                held.append(pairs(t))
+                held.append(pairs(t, sets))
                 size += held[-1].shape[1]
             if size > 200_000 or len(held) > 1000:
                 a, b = np.unique(np.concatenate(held, axis=1), axis=1)
@@ -197,8 +273,9 @@ def _candidates(words: int, most: int, most_first: int, all_pairs: bool, rows: i
     return run
 
 
-def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, all_pairs: bool = False, block: int = 4096) -> DataFrame:
-    """(a, b): pairs of nodes (node, group, f0, f1, ...) that share a bucket and whose fingerprints are near enough."""
+def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, verify: Verify | None = None, block: int = 4096) -> DataFrame:
+    """(a, b): pairs of nodes (node, group, f0, f1, ...) that share a bucket and whose fingerprints are near enough: the
+    nearest and the least of each node, or, with verify, verified links between groups."""
     words = [f"f{i}" for i in range(cover.words)]
     made = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(m).alias("m")) for t, (w, m) in enumerate(tables(cover))])
     dealt = nodes.withColumn("x", F.explode(made)).withColumn("key", F.element_at(F.array(*words), F.col("x.w") + 1).bitwiseAND(F.col("x.m")))
@@ -212,18 +289,20 @@ def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, all_pairs: boo
     keys = ["t", "key", "low", "high"]
     sorted_rows = placed.select(*keys, "block", "node", "group", *words).repartition(*keys).sortWithinPartitions(*keys)
     bits, spread = 64 * cover.words, lambda n: math.ceil(share * n + 3.5 * math.sqrt(share * (1 - share) * n))
-    return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), all_pairs), "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), verify), "a bigint, b bigint").distinct()
 
 
-def _similar(pairs: DataFrame, signed: DataFrame, text: str, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are as similar as the threshold."""
+def _sets(pairs: DataFrame, signed: DataFrame, text: str, words: int) -> DataFrame:
+    """(node, s): the shingle set of each node of the pairs."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = signed.select("node", F.col(text).alias("text")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+    return materialize(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are as similar as the threshold."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    similar = materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
-    discard(sets)
-    return similar
+    return materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
 
 
 def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01) -> DataFrame:
@@ -236,14 +315,16 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold:
     signed = materialize(hashed.mapInArrow(_signatures(cover.words), f"{types}, node bigint, " + ", ".join(f"{f} bigint" for f in prints)), "signatures")
     nodes = materialize(signed.filter("node <> 0").groupBy("node").agg(*[F.min(f).alias(f) for f in prints]), "nodes")
     pairs = materialize(candidate_pairs(nodes.withColumn("group", F.col("node")), cover, share), "pairs")
-    links = _similar(pairs, signed, text, words, threshold)
+    sets = _sets(pairs, signed, text, words)
+    links = _similar(pairs, sets, threshold)
     found = materialize(connected_components(links), "groups")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # other nodes are near none
-    grouped = materialize(nodes.join(ends, "node", "left_semi").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
-    discard(nodes)
-    across = materialize(candidate_pairs(grouped, cover, share, all_pairs=True).join(pairs, ["a", "b"], "left_anti"), "across")
+    # nodes without a candidate are near none
+    grouped = materialize(nodes.join(sets.select("node"), "node", "left_semi").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
+    shards, folder = max(8, grouped.count() // 2000), scratch(docs.sparkSession, "sets")
+    write_sets(sets, folder, shards)
+    across = materialize(candidate_pairs(grouped, cover, share, Verify(folder, shards, threshold, tables(cover))), "across")
     if not across.isEmpty():
-        found = materialize(connected_components(links.unionByName(_similar(across, signed, text, words, threshold))), "groups")
-    for table in (pairs, grouped, across):
+        found = materialize(connected_components(links.unionByName(across)), "groups")
+    for table in (nodes, pairs, sets, grouped, across):
         discard(table)
     return signed.drop(*prints).join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))

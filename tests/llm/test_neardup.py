@@ -79,6 +79,10 @@ def test_covers_of_any_size_find_pairs_at_the_threshold(spark, n, block):
     flips = (rng.rand(500, cover.words, 64) < share) @ (1 << np.arange(64, dtype=np.uint64))
     rows = [(int(2 * i + k), int(2 * i + k), *(x if k == 0 else (x.astype(np.uint64) ^ flips[i].astype(np.uint64)).astype(np.int64)).tolist()) for i, x in enumerate(one) for k in (0, 1)]
     nodes = spark.createDataFrame(rows, "node long, group long, " + ", ".join(f"f{i} long" for i in range(cover.words)))
-    for all_pairs in (False, True):
-        found = {(r.a, r.b) for r in neardup.candidate_pairs(nodes, cover, share, all_pairs, block).collect()}
+    sets = spark.range(1000).selectExpr("id as node", "transform(sequence(0, 8), k -> if(k = 8 and id % 2 = 1, 3 * id + 1, 2 * id - 2 * (id % 2) + 1000000 * k)) as s")
+    folder = neardup.scratch(spark, "sets")  # the sets of a pair have 8 of 10 in common
+    neardup.write_sets(sets, folder, 7)
+    for verify in (None, neardup.Verify(folder, 7, 0.8, neardup.tables(cover))):
+        found = {(r.a, r.b) for r in neardup.candidate_pairs(nodes, cover, share, verify, block).collect()}
         assert len({(2 * i, 2 * i + 1) for i in range(500)} & found) >= 485 and len(found) < 600
+    assert neardup.candidate_pairs(nodes, cover, share, neardup.Verify(folder, 7, 0.81, neardup.tables(cover)), block).count() == 0
