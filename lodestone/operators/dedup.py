@@ -29,8 +29,13 @@ def exact(docs: DataFrame, order: str = "row_index", doc_id: str = "document_id"
     settled) forms chains through alternating keys; these are decided component by component.
     """
     keyed = docs.select(F.col(order).alias("o"), F.col(doc_id).alias("a"), content_key(F.col(title), F.col(content)).alias("b"))
-    both = keyed.withColumns({"fa": F.min("o").over(Window.partitionBy("a")), "fb": F.min("o").over(Window.partitionBy("b"))})
-    both = materialize(both, "dedup-keys")
+    keyed = materialize(keyed, "dedup-keys")
+    # minima are aggregated before the shuffle and written, so that the joins are plain ones, whose hot keys can be split
+    least = {k: materialize(keyed.groupBy(F.col(k).alias("k")).agg(F.min("o").alias(f"f{k}")), f"least-{k}") for k in ("a", "b")}
+    both = keyed
+    for k, table in least.items():
+        both = both.join(table, F.col(k).eqNullSafe(F.col("k"))).drop("k")
+    both = materialize(both, "dedup-first")
     sure = both.filter("o = fa and o = fb").select(F.col("o").alias("first"))
     # a row goes for sure if the first row of its id, or of its content, is kept for sure
     marked = both.join(sure.withColumnRenamed("first", "fa").withColumn("sa", F.lit(True)), "fa", "left").join(sure.withColumnRenamed("first", "fb").withColumn("sb", F.lit(True)), "fb", "left")
