@@ -216,7 +216,7 @@ def _bounds(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.append(begins[1:], len(sorted_values))[: len(begins)]
 
 
-def _candidates(words: int, most: int, most_first: int, verify: Verify | None, rows: int = 256):
+def _candidates(words: int, most: int, most_first: int, cover: list[tuple[int, int]], verify: Verify | None, rows: int = 256):
     """Pairs of a bucket's nodes whose fingerprints differ in `most` bits or fewer (and the first words in most_first): those
     of each node with its nearest and its least such partner; or, with verify, similar ones of different groups."""
     all_pairs = verify is not None
@@ -251,6 +251,8 @@ def _candidates(words: int, most: int, most_first: int, verify: Verify | None, r
                 for order in (np.lexsort((node[j], far, i)), np.lexsort((node[j], i))):
                     x = i[order]
                     first = order[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else order
+                    for w, m in cover[: t.column("t")[0].as_py()]:  # a pair is named where it meets first
+                        first = first[((f[w][i[first]] ^ f[w][j[first]]) & np.uint64(m & 0xFFFFFFFFFFFFFFFF)) != 0]
                     found.append(np.stack([node[i[first]], node[j[first]]]))
         ends = np.concatenate(found, axis=1)
         return np.stack([ends.min(axis=0), ends.max(axis=0)])
@@ -289,7 +291,7 @@ def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, verify: Verify
     keys = ["t", "key", "low", "high"]
     sorted_rows = placed.select(*keys, "block", "node", "group", *words).repartition(*keys).sortWithinPartitions(*keys)
     bits, spread = 64 * cover.words, lambda n: math.ceil(share * n + 3.5 * math.sqrt(share * (1 - share) * n))
-    return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), verify), "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), tables(cover), verify), "a bigint, b bigint").distinct()
 
 
 def _sets(pairs: DataFrame, signed: DataFrame, text: str, words: int) -> DataFrame:
