@@ -307,8 +307,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return materialize(both.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "similar")
 
 
-def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01) -> DataFrame:
-    """The rows of docs with group (bigint): the same for all texts that a chain of similar texts connects."""
+def _linked(docs: DataFrame, text: str, words: int, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with the node of their text, (node, component) of the nodes that are linked)."""
     share = differing(threshold)
     cover = choose_cover(docs.count(), share, miss)
     prints = [f"f{i}" for i in range(cover.words)]
@@ -329,4 +329,24 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold:
         found = materialize(connected_components(links.unionByName(across)), "groups")
     for table in (nodes, pairs, sets, grouped, across):
         discard(table)
-    return signed.drop(*prints).join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))
+    return signed.drop(*prints), found
+
+
+def near_groups(docs: DataFrame, text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """The rows of docs with group (bigint): the same for all texts that a chain of similar texts connects."""
+    signed, found = _linked(docs, text, words, threshold, miss)
+    return signed.join(found, "node", "left").select(*docs.columns, F.coalesce("component", "node").alias("group"))
+
+
+def near_unique(
+    docs: DataFrame, ties: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 0.01
+) -> DataFrame:
+    """One row of docs for each group of near_groups: that with the least id (no id comes last), of equal ids the least hash of
+    the columns in ties. The least rows are aggregated for each text and then for each group before anything is shuffled, and
+    the rows are kept by a number that is written with them, so a group of any size is spread over all tasks."""
+    marked = docs.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.xxhash64(*ties)})
+    signed, found = _linked(marked, text, words, threshold, miss)
+    first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_tie"), F.col("_row"))
+    texts = signed.groupBy("node").agg(F.min(first).alias("first")).join(found, "node", "left")
+    kept = texts.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first._row")
+    return signed.join(kept, "_row", "left_semi").select(*docs.columns)
