@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, mixing, neardup, pieces, quality
@@ -30,8 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (SHINGLE words, SIMILARITY or more, verified on the texts) one row stays: that with the
     least id (no id comes last), of equal ids the least text hash."""
-    first = F.row_number().over(Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "source")))
-    return neardup.near_groups(docs, words=SHINGLE, threshold=SIMILARITY).withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
+    return neardup.near_unique(docs.select(*COLUMNS), ("text", "source"), words=SHINGLE, threshold=SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
