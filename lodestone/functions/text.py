@@ -90,8 +90,8 @@ def tokens(c: Column) -> Column:
 
 
 def _without(words: Column, stop: Iterable[str]) -> Column:
-    held = F.array(*[F.lit(x) for x in stop]) if stop else F.array().cast("array<string>")
-    return F.filter(words, lambda w: ~F.array_contains(held, w))
+    held = list(stop)  # isin() looks a word up in a hash set, array_contains() goes through the list
+    return F.filter(words, lambda w: ~w.isin(held)) if held else words
 
 
 def subject_tokens(c: Column, stop: Sequence[str] = lists.SUBJECT_STOP, abbreviations: Sequence[tuple[str, str]] = lists.ABBREVIATIONS) -> Column:
