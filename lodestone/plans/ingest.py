@@ -106,9 +106,11 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = titled(spark, sf_dir).select(F.concat("document_id", F.lit("_doc_1")).alias("chunk_id"), F.col("content").alias("text"), "row_index")
-    old = docs.filter(F.col("row_index") % 2 == 0).drop("row_index").withColumn("point_id", index_store.point_id(F.col("chunk_id")))
-    new = docs.filter(F.col("row_index") % 3 == 0).withColumn("text", F.concat(F.lit("new "), "text")).drop("row_index")
+    """All documents have chunks 1 and 2 in the index; the new rows hold another text for chunk 2 and a chunk 3."""
+    docs = titled(spark, sf_dir)
+    chunk = lambda n, text: docs.select(F.concat("document_id", F.lit(f"_doc_{n}")).alias("chunk_id"), text.alias("text"))
+    old = chunk(1, F.col("content")).unionByName(chunk(2, F.col("title"))).withColumn("point_id", index_store.point_id(F.col("chunk_id")))
+    new = chunk(2, F.concat(F.lit("new "), "title")).unionByName(chunk(3, F.concat("content", F.lit(" new"))))
     return index_store.upsert(old, new).select("point_id", "chunk_id", F.md5("text").alias("text_md5"))
 
 
@@ -190,8 +192,8 @@ ORACLES = {
     "near_dedup": f"""{_PAIRS}, d AS (SELECT *, i % 7 AS a, j % 7 AS b FROM p)
         SELECT CASE WHEN a < b THEN i ELSE j END AS removed, CASE WHEN a < b THEN j ELSE i END AS kept, sim FROM d""",
     "index_rows": f"SELECT document_id, {_UUID} AS point_id, sha256(content) AS hash FROM (SELECT *, sha1(unhex('{index_store.DNS_NAMESPACE}') || encode(document_id || '_doc_1')) AS h FROM {_T})",
-    "upsert_index": f"""SELECT {_UUID} AS point_id, chunk_id, md5(CASE WHEN row_index % 3 = 0 THEN 'new ' || content ELSE content END) AS text_md5
-        FROM (SELECT *, document_id || '_doc_1' AS chunk_id, sha1(unhex('{index_store.DNS_NAMESPACE}') || encode(document_id || '_doc_1')) AS h FROM {_T} WHERE row_index % 2 = 0 OR row_index % 3 = 0)""",
+    "upsert_index": f"""SELECT {_UUID} AS point_id, chunk_id, md5(t) AS text_md5 FROM (SELECT *, sha1(unhex('{index_store.DNS_NAMESPACE}') || encode(chunk_id)) AS h FROM (
+        SELECT document_id || '_doc_1' AS chunk_id, content AS t FROM {_T} UNION ALL SELECT document_id || '_doc_2', 'new ' || title FROM {_T} UNION ALL SELECT document_id || '_doc_3', content || ' new' FROM {_T}))""",
     "page_text": """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
         '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""",
