@@ -72,16 +72,16 @@ def first_per_document(hits: DataFrame, query: str = "query_id", doc: str = "doc
 # --- near duplicates ---------------------------------------------------------
 
 
-def _signatures(dim: int, bands: int, bits: int, seed: int):
+def _signatures(bands: int, bits: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.RandomState(seed).standard_normal((dim, bands * bits))
-        weights = 1 << np.arange(bits)
+        planes, weights = {}, 1 << np.arange(bits)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            signs = (np.stack(pdf["unit"].to_numpy()) @ planes) > 0
-            keys = (signs.reshape(len(pdf), bands, bits) * weights).sum(axis=2)
-            yield pdf.assign(keys=list(keys.astype(np.int64)))
+            for dim, part in pdf.groupby(pdf["unit"].map(len)):
+                if dim not in planes:
+                    planes[dim] = np.random.RandomState(seed).standard_normal((dim, bands * bits))
+                signs = (np.stack(part["unit"].to_numpy()) @ planes[dim]) > 0
+                keys = (signs.reshape(len(part), bands, bits) * weights).sum(axis=2)
+                yield part.assign(keys=list(keys.astype(np.int64)))
 
     return run
 
@@ -91,15 +91,13 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95, order: str = "row_index
 
     Candidates share the signs of `bits` random projections in one of `bands` bands: at a cosine of 0.95 a pair agrees on
     a band with probability 0.34 and is missed with probability 0.00004. Large bands are compared block against block.
+    Only vectors of the same length are compared; those that are null, zero or hold a null are near none.
     """
-    fit = docs.filter(F.exists(embedding, lambda x: F.coalesce(x, F.lit(0.0)) != 0)).select(F.col(order).alias("o"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
+    fit = docs.filter(F.exists(embedding, lambda x: x != 0) & F.forall(embedding, lambda x: x.isNotNull())).select(F.col(order).alias("o"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     units = fit.select("o", F.transform("v", lambda x: x / norm).alias("unit"))
-    first = units.select(F.size("unit")).first()
-    if first is None:
-        return docs.sparkSession.createDataFrame([], "i bigint, j bigint, sim double")
-    signed = materialize(units.mapInPandas(_signatures(first[0], bands, bits, seed), "o bigint, unit array<double>, keys array<bigint>"), "signatures")
-    keyed = signed.select("o", "unit", F.posexplode("keys").alias("band", "key"))
+    signed = materialize(units.mapInPandas(_signatures(bands, bits, seed), "o bigint, unit array<double>, keys array<bigint>"), "signatures")
+    keyed = signed.select("o", "unit", F.posexplode("keys").alias("band", "key")).withColumn("band", F.col("band") + bands * F.size("unit"))
     counts = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = keyed.join(counts, ["band", "key"]).withColumns({"blk": F.pmod(F.xxhash64("o"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})

@@ -116,3 +116,10 @@ def test_points_are_uuid5_and_upsert_is_idempotent(spark):
     assert {(r.chunk_id, r.text) for r in twice.collect()} == {("P1_fee", "new"), ("P2_é", "b")}
     fit, unfit = index_store.check_vectors(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", None)], "id string, embedding array<double>"), 2)
     assert fit.count() == 1 and {r.error for r in unfit.collect()} == {"wrong_dimension", "missing_vector"}
+
+
+def test_near_pairs_of_vectors_that_do_not_fit(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.001]), (5, [1.0, None]), (6, None), (7, [0.0, 0.0]), (8, [])]
+    docs = spark.createDataFrame(rows, "row_index long, embedding array<float>")
+    assert sorted((r.i, r.j) for r in dedup.near_pairs(docs).collect()) == [(1, 2), (3, 4)]
+    assert dedup.near_pairs(docs.limit(0)).count() == 0
