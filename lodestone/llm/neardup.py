@@ -294,10 +294,12 @@ def candidate_pairs(nodes: DataFrame, cover: Cover, share: float, verify: Verify
     return sorted_rows.mapInArrow(_candidates(cover.words, spread(bits), spread(64), tables(cover), verify), "a bigint, b bigint").distinct()
 
 
-def _sets(pairs: DataFrame, signed: DataFrame, text: str, words: int) -> DataFrame:
-    """(node, s): the shingle set of each node of the pairs."""
+def _sets(pairs: DataFrame, nodes: DataFrame, signed: DataFrame, text: str, words: int) -> DataFrame:
+    """(node, s): the shingle set of each node of the pairs. Texts are fetched by the number of one row of each node, so that
+    the copies of a text stay where they are."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = signed.select("node", F.col(text).alias("text")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    rows = nodes.select("node", "_row").join(ends, "node", "left_semi").select("_row")
+    texts = signed.select("node", "_row", F.col(text).alias("text")).join(rows, "_row", "left_semi")
     return materialize(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
 
 
@@ -308,16 +310,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _linked(docs: DataFrame, text: str, words: int, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs with the node of their text, (node, component) of the nodes that are linked)."""
+    """(rows of docs with a number _row and the node of their text, (node, component) of the nodes that are linked)."""
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
     share = differing(threshold)
     cover = choose_cover(docs.count(), share, miss)
     prints = [f"f{i}" for i in range(cover.words)]
     types = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     hashed = docs.withColumn("_shingles", shingle_hashes(F.col(text), words))
     signed = materialize(hashed.mapInArrow(_signatures(cover.words), f"{types}, node bigint, " + ", ".join(f"{f} bigint" for f in prints)), "signatures")
-    nodes = materialize(signed.filter("node <> 0").groupBy("node").agg(*[F.min(f).alias(f) for f in prints]), "nodes")
+    nodes = materialize(signed.filter("node <> 0").groupBy("node").agg(F.min("_row").alias("_row"), *[F.min(f).alias(f) for f in prints]), "nodes")
     pairs = materialize(candidate_pairs(nodes.withColumn("group", F.col("node")), cover, share), "pairs")
-    sets = _sets(pairs, signed, text, words)
+    sets = _sets(pairs, nodes, signed, text, words)
     links = _similar(pairs, sets, threshold)
     found = materialize(connected_components(links), "groups")
     # nodes without a candidate are near none
@@ -344,8 +347,7 @@ def near_unique(
     """One row of docs for each group of near_groups: that with the least id (no id comes last), of equal ids the least hash of
     the columns in ties. The least rows are aggregated for each text and then for each group before anything is shuffled, and
     the rows are kept by a number that is written with them, so a group of any size is spread over all tasks."""
-    marked = docs.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.xxhash64(*ties)})
-    signed, found = _linked(marked, text, words, threshold, miss)
+    signed, found = _linked(docs.withColumn("_tie", F.xxhash64(*ties)), text, words, threshold, miss)
     first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_tie"), F.col("_row"))
     texts = signed.groupBy("node").agg(F.min(first).alias("first")).join(found, "node", "left")
     kept = texts.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first._row")
