@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold_marks, tokens
-from lodestone.runtime import materialize
+from lodestone.runtime import materialize, scratch
 
 # What a token weighs in each field.
 WEIGHTS = {"title": 3.5, "aliases": 2.5, "category": 1.5, "text": 1.0}
@@ -69,24 +71,53 @@ def bm25(index: DataFrame, queries: DataFrame, chunks: DataFrame, k1: float = 1.
     return asked.join(used.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
-def phrase_bonus(candidates: DataFrame, index: DataFrame, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
-    """candidates(query_id, chunk_id, score) with the bonus of chunks that hold the whole question, folded (a raw match is
-    a folded one too).
+def _inner(folded: Column) -> Column:
+    """The tokens that can't be part of longer words where the text holds the phrase: all but the first and the last."""
+    return F.slice(tokens(folded), F.lit(2), F.greatest(F.size(tokens(folded)) - 2, F.lit(0)))
 
-    Texts are joined only where the question's rarest inner token, which can't be part of a longer word of the match, is
-    in the chunk; for questions without inner tokens, to all their candidates. A chunk that holds a question as whole
-    words shares its terms and so is a candidate already; only one that holds it inside longer words alone would not be.
-    """
-    q = queries.select("query_id", fold_marks(F.trim(F.coalesce("query", F.lit("")))).alias("qf")).withColumn("inner", F.slice(tokens(F.col("qf")), F.lit(2), F.greatest(F.size(tokens(F.col("qf"))) - 2, F.lit(0))))
+
+def _grams(c: Column) -> Column:
+    """All stretches of one to three characters."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+
+
+def _terms_with(words: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the chunks of index(term, chunk_id) with a term that holds the word of words(query_id, word).
+    Words meet the distinct terms by their first three characters (shorter words: all), never all against all."""
+    terms = index.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    met = words.withColumn("gram", F.substring("word", 1, 3)).join(terms, "gram").filter(F.contains("term", F.col("word")))
+    return met.select("query_id", "term").join(index.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
+
+
+def phrase_candidates(queries: DataFrame, index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of every chunk that may hold a question of queries(query_id, qf), folded, anywhere, also inside
+    longer words. A question with inner tokens is looked up by its rarest one. Another's longest word is looked up in the
+    terms; one without a word in the stretches between words, which are only then taken from the texts."""
+    q = queries.filter("qf <> ''").withColumn("inner", _inner(F.col("qf"))).withColumn("all", tokens(F.col("qf")))
     words = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(term_statistics(index), "term")
     rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter("_n = 1").select("query_id", "term")
     likely = rarest.join(index.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
-    short = candidates.select("query_id", "chunk_id").join(q.filter(F.size("inner") == 0).select("query_id"), "query_id", "left_semi")
+    longest = F.array_max(F.transform("all", lambda t: F.struct(F.length(t), t.alias("t"))))["t"]
+    short = q.filter((F.size("inner") == 0) & (F.size("all") > 0)).select("query_id", longest.alias("word"))
+    found = likely.unionByName(_terms_with(short, index))
+    signs = q.filter(F.size("all") == 0).select("query_id", F.col("qf").alias("word"))
+    if signs.isEmpty():
+        return found
+    runs = F.regexp_extract_all(fold_marks(F.concat_ws(" ", *[_field(chunks, f) for f in ("title", "text")])), F.lit(r"([^\p{L}\p{N}_]+)"))
+    return found.unionByName(_terms_with(signs, chunks.select("chunk_id", F.explode(F.array_distinct(runs)).alias("term"))))
+
+
+def phrase_bonus(candidates: DataFrame, index: DataFrame, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
+    """candidates(query_id, chunk_id, score) with the bonus of chunks that hold the whole question, folded (a raw match is
+    a folded one too). A chunk that holds it inside longer words alone, and so shares no term, is added with its bonus."""
+    q = queries.select("query_id", fold_marks(F.trim(F.coalesce("query", F.lit("")))).alias("qf"))
     c = chunks.select("chunk_id", fold_marks(_field(chunks, "title")).alias("tf"), fold_marks(_field(chunks, "text")).alias("xf"))
-    held = likely.unionByName(short).join(q.filter("qf <> ''").select("query_id", "qf"), "query_id").join(c, "chunk_id")
+    held = phrase_candidates(q, index, chunks).join(q, "query_id").join(c, "chunk_id")
     worth = F.when(F.contains("tf", F.col("qf")), title).otherwise(0.0) + F.when(F.contains("xf", F.col("qf")), text).otherwise(0.0)
     bonus = held.select("query_id", "chunk_id", worth.alias("bonus")).filter("bonus > 0")
-    return candidates.join(bonus, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    total = F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
+    return candidates.join(bonus, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", total.alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = 15, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -114,32 +145,34 @@ def missing_chunks(best: DataFrame, hits: DataFrame, chunks: DataFrame, most: in
     return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
 
 
-def _block_top(k: int, metric: str, queries: list[tuple[int, list[float]]]):
-    ids = np.array([q for q, _ in queries], dtype=np.int64)
-    matrix = np.array([v for _, v in queries], dtype=np.float64)
+def _nearest(folder: str, blocks: int, k: int, metric: str):
+    system, base = fs.FileSystem.from_uri(folder)
+
+    def similarities(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            return unit(q) @ unit(x).T
+        if metric == "dot":
+            return q @ x.T
+        return -np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None, :], 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_c = np.zeros((len(ids), 0), dtype=np.int64)
         for pdf in batches:
-            if not len(pdf) or not len(ids):
+            if not len(pdf):
                 continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            if metric == "cosine":
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                q = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-                sims = q @ x.T
-            elif metric == "dot":
-                sims = matrix @ x.T
-            else:
-                sims = -np.sqrt(np.maximum((matrix**2).sum(1)[:, None] - 2 * matrix @ x.T + (x**2).sum(1)[None, :], 0))
-            s = np.concatenate([best_s, sims], axis=1)
-            c = np.concatenate([best_c, np.broadcast_to(pdf["chunk_no"].to_numpy(), sims.shape)], axis=1)
-            keep = np.lexsort((c, -s.round(9)), axis=1)[:, :k]
-            best_s, best_c = np.take_along_axis(s, keep, 1), np.take_along_axis(c, keep, 1)
-        n = best_s.shape[1]
-        if n:
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "chunk_no": best_c.ravel(), "similarity": best_s.ravel()})
+            x, numbers = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["chunk_no"].to_numpy()
+            for i in range(blocks):
+                path = f"{base}/block={i}"
+                if system.get_file_info(path).type == fs.FileType.NotFound:  # no question has this number
+                    continue
+                asked = pq.read_table(path, filesystem=system, columns=["query_id", "embedding"], partitioning=None)
+                for part in asked.to_batches(1024):
+                    ids = part.column("query_id").to_numpy()
+                    q = np.stack(part.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+                    s = similarities(q, x)
+                    keep = np.lexsort((np.broadcast_to(numbers, s.shape), -s.round(9)), axis=1)[:, :k]
+                    best = np.take_along_axis(s, keep, 1)
+                    yield pd.DataFrame({"query_id": np.repeat(ids, keep.shape[1]), "chunk_no": numbers[keep].ravel(), "similarity": best.ravel()})
 
     return run
 
@@ -147,27 +180,22 @@ def _block_top(k: int, metric: str, queries: list[tuple[int, list[float]]]):
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", at_once: int = 4096) -> DataFrame:
     """(query_id, chunk_no, similarity, rank): exact search of queries(query_id, embedding) in vectors(chunk_no, embedding).
 
-    The questions are taken in blocks of at most at_once, each of which fits into a task beside a batch of vectors; each
-    partition keeps its k best, so k rows a question and partition are shuffled.
+    The questions are written to the shared folder in blocks of about at_once, which the tasks read one after another for
+    each batch of their vectors: nothing passes through the driver and the vectors aren't shuffled. A batch gives its k best
+    for each question. Null vectors are left out; no questions or vectors give no rows.
     """
-    found = None
     asked = queries.select("query_id", "embedding").filter("embedding is not null")
-    n = asked.count()
-    blocks = max(1, -(-n // at_once))
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        held = [(r.query_id, list(r.embedding)) for r in block.collect()]
-        part = vectors.select("chunk_no", "embedding").filter("embedding is not null").mapInPandas(_block_top(k, metric, held), "query_id bigint, chunk_no bigint, similarity double")
-        found = part if found is None else found.unionByName(part)
+    blocks = max(1, -(-asked.count() // at_once))
+    folder = scratch(queries.sparkSession, "questions")
+    asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    searched = vectors.select("chunk_no", "embedding").filter("embedding is not null")
+    found = searched.mapInPandas(_nearest(folder, blocks, k, metric), "query_id bigint, chunk_no bigint, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "chunk_no")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def containing(passages: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the chunks that hold a whole passage of passages(query_id, query). The passage's rarest inner
-    token (one that can't be part of a longer word) finds the candidates; the text decides."""
-    inner = F.slice(tokens(F.col("query")), F.lit(2), F.greatest(F.size(tokens(F.col("query"))) - 2, F.lit(0)))
-    words = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("term")).join(term_statistics(index), "term")
-    rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter("_n = 1").select("query_id", "term")
-    found = rarest.join(index.select("term", "chunk_id"), "term").join(passages, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    """(query_id, chunk_id) of the chunks whose text holds a whole passage of passages(query_id, query) as it is."""
+    q = passages.select("query_id", "query", fold_marks(F.trim("query")).alias("qf"))
+    found = phrase_candidates(q.select("query_id", "qf"), index, chunks).join(q, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     return found.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id")

@@ -173,8 +173,9 @@ _SEARCH = f"""WITH ch AS {_CHUNKS}, {_POST},
   qt AS (SELECT query_id, unnest(list_distinct({_BOTH('trim(query)')})) AS term FROM q),
   bm AS (SELECT query_id, chunk_id, sum(CASE WHEN ln(1.0 + (n - df + 0.5) / (df + 0.5)) <= 0 THEN 0.05 ELSE ln(1.0 + (n - df + 0.5) / (df + 0.5)) END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(av, 1.0)))) AS s
     FROM qt JOIN postings USING (term) JOIN st USING (term) JOIN ln USING (chunk_id), co GROUP BY query_id, chunk_id),
-  ph AS (SELECT query_id, chunk_id, s + CASE WHEN contains(lower(t), ql) OR contains(strip_accents(lower(t)), qf) THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(x), ql) OR contains(strip_accents(lower(x)), qf) THEN 1.2 ELSE 0 END AS s
-    FROM bm JOIN q USING (query_id) JOIN ch USING (chunk_id)),
+  fc AS (SELECT chunk_id, strip_accents(lower(t)) AS tf, strip_accents(lower(x)) AS xf FROM ch),
+  bo AS (SELECT query_id, chunk_id, CASE WHEN contains(tf, qf) THEN 3.0 ELSE 0 END + CASE WHEN contains(xf, qf) THEN 1.2 ELSE 0 END AS bonus FROM q JOIN fc ON qf <> '' AND (contains(tf, qf) OR contains(xf, qf))),
+  ph AS (SELECT query_id, chunk_id, coalesce(s, 0) + coalesce(bonus, 0) AS s FROM bm FULL JOIN bo USING (query_id, chunk_id)),
   hits AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(s / (s + 4.0), 4) AS score FROM ph WHERE s > 0))"""
 _SCORED = """sc AS (SELECT query_id, chunk_id, source AS document_id, CASE c WHEN 'en' THEN 'general' WHEN 'fr' THEN 'fee' WHEN 'de' THEN 'processing_time' ELSE 'required_documents' END AS field, score, rank
   FROM hits JOIN ch USING (chunk_id) WHERE rank <= 15)"""

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate, ranking, search, telemetry, verify
@@ -62,3 +63,34 @@ def test_slope_and_rates_are_null_without_data(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0)], "x double, y double")
     assert df.agg(telemetry.slope(F.col("y"), F.col("x"))).first()[0] is None
     assert df.agg(telemetry.rate(F.lit(1), F.lit(0))).first()[0] is None
+
+
+def test_phrases_are_found_wherever_a_chunk_holds_them(spark):
+    texts = ["the overcoat rack", "a coat", "Über den Überfluss", "what ?! now", "coat racks stand here", "", None, "a red coat rack", "x"]
+    asked = ["coat rack", "coat", "ÜBER", "?!", "red coat rack", "", None, "zz", "oat ra", "x", "--"]
+    chunks = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "chunk_id long, title string, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = search.postings(chunks).cache()
+    low = lambda t: (t or "").lower().replace("ü", "u")
+    want = {(q, c) for q, a in enumerate(asked) for c, t in enumerate(texts) if low(a) and low(a) in low(t)}
+    none = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    got = search.phrase_bonus(none, index, queries, chunks)
+    assert {(r.query_id, r.chunk_id): r.score for r in got.collect()} == dict.fromkeys(want, 1.2)
+    held = {(q, c) for q, a in enumerate(asked) for c, t in enumerate(texts) if a and t and a in t}
+    assert {tuple(r) for r in search.containing(queries, chunks, index).collect()} == held
+
+
+def test_vector_search_equals_brute_force_in_any_number_of_blocks(spark):
+    rng = np.random.RandomState(5)
+    x = rng.randn(60, 8)
+    x[10] = x[20]  # a tie
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)] + [(99, None)], "chunk_no long, embedding array<double>").repartition(3)
+    asked = v.filter("chunk_no % 4 = 0 or chunk_no = 99").withColumnRenamed("chunk_no", "query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for at_once in (4096, 4):
+        got = search.vector_top_k(v, asked, 5, at_once=at_once).collect()
+        for q in range(0, 60, 4):
+            s = (unit @ unit[q]).round(9)
+            assert [r.chunk_no for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(60), -s))[:5].tolist()
+        assert {r.query_id for r in got} == set(range(0, 60, 4))
+    assert search.vector_top_k(v, asked.filter("false"), 5).count() == 0
