@@ -153,7 +153,7 @@ def filtered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark openings as titles, looked for in the documents; resolved against the search hits."""
+    """Benchmark openings as titles, looked for in the documents: the sub-questions of each text. They are not resolved here."""
     names = questions(spark, sf_dir).select(F.concat(F.lit("PROC_"), F.col("query_id").cast("string")).alias("document_id"), F.lower(F.substring_index("query", " ", 3)).alias("alias"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
     found = ranking.mentions(texts, names)
