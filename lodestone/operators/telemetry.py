@@ -90,19 +90,27 @@ def latency_cuts(requests: DataFrame, by: Sequence[str] = ("domain", "field"), s
     return requests.groupBy(*by).agg(F.count(seconds).alias("n"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.avg(F.when(F.col(seconds) < 1, 1.0).otherwise(0.0)).alias("under_1s"), *extra)
 
 
-def request_rollup(events: DataFrame, key: str = "request_id", at: str = "ts") -> DataFrame:
-    """One row for each request of events(request_id, seq, ts, event, data JSON): done, ttft, chunks, the answer (of the done
-    event, else of the sections, else of the chunks), whether it asks back, and the documents it names."""
+def request_aggregates(at: str = "ts") -> list[Column]:
+    """What request_rollup() gathers of one request's events; request_answer() then chooses the answer."""
     field = lambda name: F.get_json_object("data", f"$.{name}")
     text = F.coalesce(field("answer"), field("text"), field("content"))
     parts = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("event") == kind, F.struct("seq", text.alias("t"))))), lambda x: x["t"]), "" if kind == "chunk" else "\n")
     t = seconds_of(at)
     content = F.col("event").isin("chunk", "section", "done") & (F.coalesce(text, F.lit("")) != "")
     ids = F.regexp_extract_all(F.coalesce("data", F.lit("")), F.lit(r'"document_id"\s*:\s*"([^"]+)"'), F.lit(1))
-    one = events.groupBy(key).agg(
+    return [
         F.bool_or(F.col("event") == "done").alias("done"), (F.min(F.when(content, t)) - F.min(t)).alias("ttft"), F.count_if(F.col("event") == "chunk").alias("n_chunks"),
         F.max_by(F.when(F.col("event") == "done", field("answer")), F.when(F.col("event") == "done", F.col("seq"))).alias("_done"), parts("section").alias("_sections"), parts("chunk").alias("_chunks"),
         F.bool_or(F.col("event") == "clarification").alias("needs_clarification"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))).alias("doc_ids"),
-    )
+    ]
+
+
+def request_answer(gathered: DataFrame) -> DataFrame:
     answer = F.coalesce(F.nullif("_done", F.lit("")), F.nullif("_sections", F.lit("")), F.nullif("_chunks", F.lit("")), F.lit(""))
-    return one.withColumn("answer", answer).drop("_done", "_sections", "_chunks")
+    return gathered.withColumn("answer", answer).drop("_done", "_sections", "_chunks")
+
+
+def request_rollup(events: DataFrame, key: str = "request_id", at: str = "ts") -> DataFrame:
+    """One row for each request of events(request_id, seq, ts, event, data JSON): done, ttft, chunks, the answer (of the done
+    event, else of the sections, else of the chunks), whether it asks back, and the documents it names."""
+    return request_answer(events.groupBy(key).agg(*request_aggregates(at)))

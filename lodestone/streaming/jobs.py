@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lodestone.operators.telemetry import seconds_of
+from lodestone.operators.telemetry import request_aggregates, request_answer, seconds_of
 
 
 def admit(times: Sequence[float], limit: int, window: float, held: Sequence[float] = ()) -> tuple[list[bool], list[float]]:
@@ -100,8 +100,11 @@ def session_stream(turns: DataFrame, slots: Sequence[str], key: str = "session_i
 
 
 def rollup_stream(events: DataFrame, late: str = "10 minutes", span: str = "10 minutes", key: str = "request_id", at: str = "ts") -> DataFrame:
-    """Requests of a stream of events by time span: done, ttft, chunks. In append mode a span is emitted when the watermark
-    has passed it."""
+    """Requests of a stream of events by time span: done, ttft, chunks; with seq and data in the events all that
+    telemetry.request_rollup() gives. In append mode a span is emitted when the watermark has passed it."""
+    if {"seq", "data"} <= set(events.columns):
+        spans = events.withWatermark(at, late).groupBy(F.window(at, span), key).agg(*request_aggregates(at))
+        return request_answer(spans).withColumn("span_start", F.col("window.start")).drop("window")
     content = F.col("event").isin("chunk", "section", "done")
     t = seconds_of(at)
     return (

@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import dialog
+from lodestone.operators import dialog, telemetry
 from lodestone.streaming import jobs
 
 
@@ -65,3 +65,13 @@ def test_rollup_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "request_id string, event string, s long").select("request_id", "event", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
     got = _drain(jobs.rollup_stream(_stream(spark, df.coalesce(1), str(tmp_path / "e"))), "rolled")
     assert {(r.request_id, r.done, r.ttft, r.n_chunks) for r in got.collect()} == {("r1", True, 2.0, 1), ("r2", False, 0.0, 1)}
+
+
+def test_rollup_stream_gives_what_the_batch_rollup_gives(spark, tmp_path):
+    rows = [("r1", 0, "start", None, 0), ("r1", 2, "chunk", '{"text": "b"}', 2), ("r1", 1, "chunk", '{"text": "a"}', 1), ("r1", 3, "evidence", '{"document_id": "D1"}', 3), ("r2", 0, "clarification", "{}", 1)]
+    df = spark.createDataFrame([*rows, ("late", 0, "done", '{"answer": "x"}', 10_000)], "request_id string, seq long, event string, data string, s long")
+    df = df.select("request_id", "seq", "event", "data", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    got = _drain(jobs.rollup_stream(_stream(spark, df.coalesce(1), str(tmp_path / "e"))), "rolled_whole").drop("span_start")
+    want = telemetry.request_rollup(df.filter("request_id <> 'late'")).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {(r.request_id, r.answer, r.needs_clarification, tuple(r.doc_ids)) for r in got.collect()} == {("r1", "ab", False, ("D1",)), ("r2", "", True, ())}
