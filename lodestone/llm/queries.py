@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import capfilter, chat, editcount, kneser, langid, mixing, pieces, quality, simhash, tokenfile
+from lodestone.llm import capfilter, chat, editcount, exacttopk, hardneg, importance, kneser, langid, mixing, pieces, quality, simhash, tokenfile
 from lodestone.runtime import materialize, table
 
 
@@ -150,6 +150,46 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+_WHOLE_SQL = """
+v AS (SELECT row_number() OVER () AS r, vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+WITH {_WHOLE_SQL.format(label="CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END")},
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS other, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0 AND a.label IS NOT NULL AND b.label IS NOT NULL),
+p AS (SELECT r, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exacttopk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = f"""
+WITH {_WHOLE_SQL.format(label="NULL")},
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
@@ -161,5 +201,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_cap_filters": op9_cap_filters,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_exact_top_k": op13_exact_top_k,
 }
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_source_mix": OP7_SQL, "op9_cap_filters": OP9_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_source_mix": OP7_SQL, "op9_cap_filters": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_exact_top_k": OP13_SQL}
