@@ -5,8 +5,9 @@ words that begins anew when it ends; the stream is cut into blocks of equally ma
 the targets have blocks. The k-th golden-ratio point, frac((k + 1) * phi), falls into one of the sources' intervals of
 the unit line, whose lengths are the sources' shares of all targets, and so decides which source has slot k; any stretch
 of the schedule holds all sources in proportion. The r-th slot of a source takes the r-th block of its stream. A slot
-ends where its source's target is reached, so no source goes beyond its target, and one falls short of it by a few
-blocks at most, as the points are spread that evenly. k is the order of the mix.
+ends where its source's target is reached, so no source goes beyond its target. What the points leave of a source, a few
+blocks or all of one smaller than a block, is taken by slots after them, in which each source's are spread evenly again; so
+every source reaches its target, in whole words. k is the order of the mix.
 
 Targets: `total` times the sum of all sizes, shared by weight; no target is above `most` times its source's size, and
 the excess is reshared by weight among the others until none is above.
@@ -60,9 +61,9 @@ def block_size(words: int, slots: int = 1 << 20, least: int = 16, most: int = 40
 
 
 def schedule(sources: DataFrame, block_words: int, phi: float = PHI) -> DataFrame:
-    """(k, source_no, slot): the source of each slot k of the mix, and the slot's rank among those of its source, from 0.
-    sources has source_no and target."""
-    plan = sources.select("source_no", F.floor("target").cast("long").alias("want")).filter("want > 0")
+    """(k, source_no, slot): the source of each slot k of the mix, and the slot's rank among those of its source, from 0. The
+    slots that the points don't give a source come last. sources has source_no and target."""
+    plan = wanted = sources.select("source_no", F.floor("target").cast("long").alias("want")).filter("want > 0")
     seen = plan.agg(F.coalesce(F.sum("want"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
     cells = max(1024, 4 * seen["n"])  # of the unit line, for the join of points and intervals
     plan = plan.withColumn("high", F.sum("want").over(Window.partitionBy(F.lit(0)).orderBy("source_no")))
@@ -74,7 +75,14 @@ def schedule(sources: DataFrame, block_words: int, phi: float = PHI) -> DataFram
     drawn = drawn.withColumn("inside", F.row_number().over(Window.partitionBy("source_no", "range").orderBy("k")) - 1)
     counts = drawn.groupBy("source_no", "range").agg(F.count("*").alias("n"))
     before = counts.select("source_no", "range", _before("n", "source_no", order=["range"]).alias("before"))
-    return drawn.join(before, ["source_no", "range"]).select("k", "source_no", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+    slots = drawn.join(before, ["source_no", "range"]).select("k", "source_no", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+    have = F.coalesce("have", F.lit(0))
+    short = wanted.join(counts.groupBy("source_no").agg(F.sum("n").alias("have")), "source_no", "left")
+    short = short.select("source_no", have.alias("have"), (F.ceil(F.col("want") / block_words) - have).alias("missing")).filter("missing > 0")
+    more = short.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("j") + 0.5) / F.col("missing"), "source_no"))
+    more = more.select((place + (-(-seen["words"] // block_words) - 1)).cast("long").alias("k"), "source_no", (F.col("have") + F.col("j")).cast("long").alias("slot"))
+    return slots.unionByName(more)
 
 
 def place(
@@ -87,7 +95,8 @@ def place(
     rows = materialize(each.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("n")), "sizes")
     rows = rows.withColumn("words", F.col("size") * F.col("n"))
     sources = materialize(targets(rows.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most), "sources")
-    digits = next(d for d in range(2, 16) if 16**d * per_range >= rows.count())
+    n_rows = rows.count()
+    digits = next(d for d in range(2, 16) if 16**d * per_range >= n_rows)
     rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("range", F.substring("h", 1, digits))
     rows = rows.withColumn("inside", _before("words", "source_no", "range", order=["h", "doc_id", "size"]))
@@ -99,7 +108,9 @@ def place(
 
 def _single(placed: DataFrame) -> DataFrame:
     """A row for each document, with its own start and its number among equal rows."""
-    one = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    step = 4096  # in two steps, so that no array grows with the number of equal rows
+    one = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step).cast("long"))))
+    one = one.withColumn("copy", F.explode(F.sequence(F.col("copy") * step, F.least((F.col("copy") + 1) * step, "n") - 1)))
     return one.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("n")
 
 
@@ -153,5 +164,5 @@ def mix_documents(docs: DataFrame, block_words: int | None = None, phi: float =
     found = named.join(order, same).withColumn("_place", F.explode("_places"))
     words = _words(sources)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // part_words)
-    part = F.floor(F.col("_place.k") * parts / max(1, -(-words // block_words))).cast("int")
+    part = F.least(F.floor(F.col("_place.k") * parts / max(1, -(-words // block_words))), F.lit(parts - 1)).cast("int")
     return found.repartitionById(parts, part).sortWithinPartitions("_place").select(*docs.columns)

@@ -90,8 +90,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The targets as in mixing.targets(); the r-th slot of a source takes the r-th block of its repeated stream, so what a
-#: source gives is a beginning of that stream, as long as its number of points and its target allow.
-OP7_SQL = f"""
+#: source gives is a beginning of that stream, as long as its target allows.
+OP7_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS h,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
@@ -99,11 +99,7 @@ w AS (SELECT *, CAST([3, 1, 2][(no - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE *
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY lim / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own FROM w),
 t AS (SELECT *, coalesce(least(lim, (SELECT arg_min(own, (lim / w, no)) FROM l WHERE own <= lim / w) * w), lim) AS target FROM l),
-g AS (SELECT *, CAST(floor(target) AS BIGINT) AS want, sum(CAST(floor(target) AS BIGINT)) OVER () AS words, sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY no) AS cum FROM t),
-b AS (SELECT CAST(least(greatest(max(words) // 1048576, 16), 4096) AS BIGINT) AS block, CAST(max(words) AS BIGINT) AS words FROM g),
-p AS (SELECT ((k + 1) * {mixing.PHI}::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range((words + block - 1) // block)) AS k FROM b)),
-c AS (SELECT no, count(*) AS n FROM p, g WHERE want > 0 AND u >= (cum - want)::DOUBLE / words::DOUBLE AND u < cum::DOUBLE / words::DOUBLE GROUP BY no),
-x AS (SELECT g.*, CAST(least(coalesce(c.n, 0) * (SELECT block FROM b), want) AS BIGINT) AS upto FROM g LEFT JOIN c USING (no)),
+x AS (SELECT *, CAST(floor(target) AS BIGINT) AS upto FROM t),
 q AS (SELECT d.*, x.source_size, x.target, x.upto, CAST(sum(size) OVER (PARTITION BY x.no ORDER BY h, doc_id, r) AS BIGINT) - size AS start FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE (upto // source_size) * size + greatest(0, least(start + size, upto % source_size) - start) END AS BIGINT) AS taken

@@ -149,16 +149,23 @@ def mixed_plainly(rows, block, phi):
     middle = {x: {sum(size(r[1]) for r in of[x][:i]) + size(r[1]) // 2: r for i, r in enumerate(of[x]) if size(r[1])} for x in sources}
     used, at, order = {x: Counter() for x in sources}, dict.fromkeys(sources, 0), []
     total = sum(goal.values())
+
+    def take(x):
+        for w in range(at[x], min(at[x] + block, goal[x])):
+            used[x][words[x][w % full[x]]] += 1
+            if w % full[x] in middle[x]:
+                order.append(middle[x][w % full[x]])
+        at[x] += block
+
     for k in range(-(-total // block)):
         u, low = (k + 1) * phi % 1.0, 0
         for x in sources:
             if low / total <= u < (low + goal[x]) / total:
-                for w in range(at[x], min(at[x] + block, goal[x])):
-                    used[x][words[x][w % full[x]]] += 1
-                    if w % full[x] in middle[x]:
-                        order.append(middle[x][w % full[x]])
-                at[x] += block
+                take(x)
             low += goal[x]
+    missing = {x: max(0, -(-(goal[x] - at[x]) // block)) for x in sources}
+    for _, x in sorted((((j + 0.5) / n), i) for i, (_, n) in enumerate(missing.items()) for j in range(n)):
+        take(sources[x])
     return Counter((r[0], size(r[1]), used[x][i]) for x in sources for i, r in enumerate(of[x])), order
 
 
@@ -174,7 +181,7 @@ def test_mix_equals_a_plain_schedule(spark):
         assert Counter((r.doc_id, r.size, r.taken) for r in got) == counts, (block, phi)
         whole = [(r.doc_id, r.text) for r in mixing.mix_documents(d, block_words=block, phi=phi).collect()]
         assert whole == [(r[0], r[1]) for r in order]
-        seen.append(counts)
+        seen.append([r[0] for r in order])
     assert seen[0] != seen[2] != seen[3]
 
 
@@ -190,13 +197,20 @@ def test_mix_meets_targets(spark):
     for r in got:
         assert 0 <= r.taken <= 2 * r.size
         by[r.source].append(r)
-    for rs in by.values():  # short of the target by a few blocks of 16 words at most
-        assert -64 < sum(r.taken for r in rs) - rs[0].target <= 0 and rs[0].source_size == sum(r.size for r in rs)
+    for rs in by.values():  # the target in whole words
+        assert -1 < sum(r.taken for r in rs) - rs[0].target <= 0 and rs[0].source_size == sum(r.size for r in rs)
     total = 1.5 * sum(r.size for r in got)
     assert abs(sum(rs[0].target for rs in by.values()) - total) < 1e-6 * total
     assert mixing.mix(d.filter("false")).count() == mixing.mix_documents(d.filter("false")).count() == 0
 
 
+def test_mix_loses_no_small_source(spark):
+    rows = [(i, "w " * 4000, "a") for i in range(100)] + [(1000 + i, "w " * 6, f"s{i:02}") for i in range(12)] + [(2000, "x", "copies")] * 9000
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4096).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 14 and all(r.taken == math.floor(r.target + 1e-9) for r in got)
+    assert {r.taken for r in got if r.source[0] == "s"} == {12}
+
+
 def test_held_out_language_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
