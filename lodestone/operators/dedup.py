@@ -1,7 +1,8 @@
 """Exact and near-duplicate removal that decides in row order, as one pass over the rows would.
 
-Only rows that share a key, or are near another, take part in the order-dependent step; they are cut into connected
-components, and each component is decided on its own, which gives the same result as one pass over all rows.
+What a row's fate depends on is decided before it, and all that depends on nothing undecided is decided at once, in rounds
+of joins; that gives the same result as one pass over all rows. Long chains, which would take many rounds, are cut off after
+some and decided by connected component.
 """
 
 from __future__ import annotations
@@ -21,47 +22,59 @@ def content_key(title: Column, content: Column) -> Column:
     return F.sha2(F.lower(F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit("||"), F.coalesce(content, F.lit(""))))), 256)
 
 
-def exact(docs: DataFrame, order: str = "row_index", doc_id: str = "document_id", title: str = "title", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(kept rows, removed): a row goes if a kept row before it has its id or its content key; removed has order, id, reason.
+def exact(docs: DataFrame, order: str = "row_index", doc_id: str = "document_id", title: str = "title", content: str = "content", rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, removed): a row goes if a kept row before it has its id or its content key; removed has order, id, reason
+    (document_id before content). A null or empty id is no key.
 
-    The first row of its id and of its content key is always kept, and a row that repeats only rows kept that way always
-    goes, so long runs of copies are decided by two window passes. What is left (rows whose earlier partners aren't all
-    settled) forms chains through alternating keys; these are decided component by component.
+    In each round the rows that are the first undecided ones of both their keys are kept, and the rows that share a key with
+    them go; long runs of copies are decided in the first. Chains through alternating keys take a round for each of their
+    links; those that are left after `rounds` of them are decided component by component.
     """
-    keyed = docs.select(F.col(order).alias("o"), F.col(doc_id).alias("a"), content_key(F.col(title), F.col(content)).alias("b"))
-    keyed = materialize(keyed, "dedup-keys")
-    # minima are aggregated before the shuffle and written, so that the joins are plain ones, whose hot keys can be split
-    least = {k: materialize(keyed.groupBy(F.col(k).alias("k")).agg(F.min("o").alias(f"f{k}")), f"least-{k}") for k in ("a", "b")}
-    both = keyed
-    for k, table in least.items():
-        both = both.join(table, F.col(k).eqNullSafe(F.col("k"))).drop("k")
-    both = materialize(both, "dedup-first")
-    sure = both.filter("o = fa and o = fb").select(F.col("o").alias("first"))
-    # a row goes for sure if the first row of its id, or of its content, is kept for sure
-    marked = both.join(sure.withColumnRenamed("first", "fa").withColumn("sa", F.lit(True)), "fa", "left").join(sure.withColumnRenamed("first", "fb").withColumn("sb", F.lit(True)), "fb", "left")
-    marked = marked.select("o", "a", "b", "fa", "fb", F.coalesce("sa", F.lit(False)).alias("sa"), F.coalesce("sb", F.lit(False)).alias("sb"))
-    marked = materialize(marked, "dedup-marks")
-    gone = marked.filter("(o <> fa and sa) or (o <> fb and sb)").select("o", "a", F.when(F.col("sa") & (F.col("o") != F.col("fa")), "document_id").otherwise("content").alias("reason"))
-    # an open row shares keys with open rows only: the first row of each of its keys isn't settled
-    rest = materialize(marked.filter("not ((o <> fa and sa) or (o <> fb and sb)) and not (o = fa and o = fb)"), "dedup-open")
-    links = rest.select(F.col("o").alias("x"), F.min("o").over(Window.partitionBy("a")).alias("y")).unionByName(rest.select(F.col("o").alias("x"), F.min("o").over(Window.partitionBy("b")).alias("y")))
-    groups = connected_components(links, "x", "y")
+    key_a = F.when(F.coalesce(F.col(doc_id), F.lit("")) != "", F.col(doc_id))
+    keyed = materialize(docs.select(F.col(order).alias("o"), key_a.alias("a"), content_key(F.col(title), F.col(content)).alias("b")), "dedup-keys")
+    parts, open_rows = [], keyed
+    for _ in range(rounds):
+        # minima are aggregated before the shuffle and written, so that the joins are plain ones, whose hot keys can be split
+        least = {k: materialize(open_rows.groupBy(F.col(k).alias("k")).agg(F.min("o").alias(f"f{k}")).filter("k is not null"), f"least-{k}") for k in ("a", "b")}
+        both = open_rows
+        for k, table in least.items():
+            both = both.join(table, F.col(k) == F.col("k"), "left").drop("k").withColumn(f"f{k}", F.coalesce(f"f{k}", "o"))
+        both = materialize(both, "dedup-first")
+        sure = both.filter("o = fa and o = fb").select("o", "a", "b")
+        parts.append(sure)
+        rest = both.join(sure.select(F.col("o").alias("fa")), "fa", "left_anti").join(sure.select(F.col("o").alias("fb")), "fb", "left_anti")
+        open_rows = materialize(rest.select("o", "a", "b"), "dedup-open")
+        if open_rows.isEmpty():
+            break
+    else:
+        parts.append(_keep_in_order(open_rows))
+    kept = parts[0]
+    for more in parts[1:]:
+        kept = kept.unionByName(more)
+    kept = materialize(kept, "dedup-kept")
+    gone = keyed.join(kept.select("o"), "o", "left_anti").join(kept.select("a", F.col("o").alias("first")).filter("a is not null"), "a", "left")
+    reason = F.when(F.col("first") < F.col("o"), "document_id").otherwise("content")
+    removed = materialize(gone.select("o", "a", reason.alias("reason")), "dedup-removed")
+    return docs.join(removed.select(F.col("o").alias(order)), order, "left_anti"), removed.toDF(order, doc_id, "reason")
+
+
+def _keep_in_order(rows: DataFrame) -> DataFrame:
+    """The rows (o, a, b) that one pass keeps, each component of rows with common keys on its own."""
+    links = [rows.select("o", F.col(k).alias("k")).join(rows.groupBy(F.col(k).alias("k")).agg(F.min("o").alias("y")), "k").select(F.col("o").alias("x"), "y") for k in ("a", "b")]
+    groups = connected_components(links[0].unionByName(links[1]), "x", "y")
+    kinds = dict(rows.dtypes)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, keys, out = set(), set(), []
         for r in pdf.sort_values("o").itertuples():
-            reason = "document_id" if r.a in ids else "content" if r.b in keys else None
-            if reason:
-                out.append((r.o, r.a, reason))
-            else:
+            if (r.a is None or r.a not in ids) and r.b not in keys:
                 ids.add(r.a)
                 keys.add(r.b)
-        return pd.DataFrame(out, columns=["o", "a", "reason"])
+                out.append((r.o, r.a, r.b))
+        return pd.DataFrame(out, columns=["o", "a", "b"])
 
-    chained = rest.select("o", "a", "b").join(groups, F.col("o") == F.col("node")).groupBy("component").applyInPandas(decide, "o bigint, a string, reason string")
-    removed = materialize(gone.unionByName(chained), "dedup-removed")
-    kept = docs.join(removed.select(F.col("o").alias(order)), order, "left_anti")
-    return kept, removed.toDF(order, doc_id, "reason")
+    joined = rows.join(groups, F.col("o") == F.col("node"), "left").withColumn("component", F.coalesce("component", "o"))
+    return joined.select("o", "a", "b", "component").groupBy("component").applyInPandas(decide, f"o {kinds['o']}, a {kinds['a']}, b {kinds['b']}")
 
 
 def first_per_document(hits: DataFrame, query: str = "query_id", doc: str = "document_id", rank: str = "rank") -> DataFrame:
@@ -117,26 +130,51 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95, order: str = "row_index
     return found.groupBy("i", "j").agg(F.max("sim").alias("sim"))
 
 
-def near(docs: DataFrame, threshold: float = 0.95, order: str = "row_index", doc_id: str = "document_id", content: str = "content", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
+def near(docs: DataFrame, threshold: float = 0.95, order: str = "row_index", doc_id: str = "document_id", content: str = "content", embedding: str = "embedding", rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed): in row order, of each near pair the one with the longer content stays, a tie keeps the
-    earlier; a row that loses stops looking. removed has (removed, kept, sim)."""
-    pairs = materialize(near_pairs(docs, threshold, order, embedding), "near-pairs")
-    groups = connected_components(pairs, "i", "j")
+    earlier; a row that loses stops looking. removed has (removed, kept, sim).
+
+    A pair takes place unless one of its rows lost in a pair before it. In each round the pairs that no undecided pair before
+    them can stop take place, all at once, and the pairs after them of the rows that lost go; a group in which all are near
+    each other is decided in few rounds. What is left after `rounds` of them is decided component by component."""
+    pairs = near_pairs(docs, threshold, order, embedding)
     sizes = docs.select(F.col(order).alias("o"), F.char_length(F.coalesce(content, F.lit(""))).alias("size"))
-    sized = pairs.join(sizes.toDF("i", "si"), "i").join(sizes.toDF("j", "sj"), "j").join(groups.toDF("i", "component"), "i")
+    sized = pairs.join(sizes.toDF("i", "si"), "i").join(sizes.toDF("j", "sj"), "j")
+    loser, winner = F.when(F.col("si") < F.col("sj"), F.col("i")).otherwise(F.col("j")), F.when(F.col("si") < F.col("sj"), F.col("j")).otherwise(F.col("i"))
+    open_pairs = materialize(sized.select(F.struct("i", "j").alias("p"), loser.alias("removed"), winner.alias("kept"), "sim"), "near-pairs")
+    parts = []
+    for _ in range(rounds):
+        if open_pairs.isEmpty():
+            break
+        first = materialize(open_pairs.groupBy("removed").agg(F.min("p").alias("m")), "first-losses")
+        stop = lambda end: first.select(F.col("removed").alias(end), F.col("m").alias(f"m_{end}"))  # noqa: E731, B023
+        ready = open_pairs.join(stop("removed"), "removed").join(stop("kept"), "kept", "left").filter((F.col("p") == F.col("m_removed")) & F.coalesce(F.col("p") <= F.col("m_kept"), F.lit(True)))
+        ready = materialize(ready.select("p", "removed", "kept", "sim"), "lost")
+        parts.append(ready.select("removed", "kept", "sim"))
+        gone = lambda end: ready.select(F.col("removed").alias(end), F.col("p").alias(f"g_{end}"))  # noqa: E731, B023
+        rest = open_pairs.join(gone("removed"), "removed", "left").join(gone("kept"), "kept", "left")
+        rest = rest.filter(F.coalesce(F.col("p") < F.col("g_removed"), F.lit(True)) & F.coalesce(F.col("p") < F.col("g_kept"), F.lit(True)))
+        open_pairs = materialize(rest.select("p", "removed", "kept", "sim"), "near-open")
+    if not open_pairs.isEmpty():
+        parts.append(_lose_in_order(open_pairs))
+    lost = open_pairs.select("removed", "kept", "sim").filter("false")
+    for more in parts:
+        lost = lost.unionByName(more)
+    removed = materialize(lost.select("removed", "kept", F.round("sim", 4).alias("sim")), "near-removed")
+    return docs.join(removed.select(F.col("removed").alias(order)), order, "left_anti"), removed
+
+
+def _lose_in_order(pairs: DataFrame) -> DataFrame:
+    """(removed, kept, sim) of the pairs (p, removed, kept, sim) that take place, each component on its own."""
+    groups = connected_components(pairs.select("removed", "kept"), "removed", "kept")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         gone, out = set(), []
-        for i, part in pdf.sort_values(["i", "j"]).groupby("i", sort=True):
-            for r in part.itertuples():
-                if i in gone:
-                    break
-                if r.j in gone:
-                    continue
-                loser, winner = (i, r.j) if r.si < r.sj else (r.j, i)
-                gone.add(loser)
-                out.append((loser, winner, round(r.sim, 4)))
+        for r in pdf.sort_values(["i", "j"]).itertuples():
+            if r.removed not in gone and r.kept not in gone:
+                gone.add(r.removed)
+                out.append((r.removed, r.kept, r.sim))
         return pd.DataFrame(out, columns=["removed", "kept", "sim"])
 
-    removed = materialize(sized.groupBy("component").applyInPandas(decide, "removed bigint, kept bigint, sim double"), "near-removed")
-    return docs.join(removed.select(F.col("removed").alias(order)), order, "left_anti"), removed
+    held = pairs.join(groups.toDF("removed", "component"), "removed").select("component", "p.i", "p.j", "removed", "kept", "sim")
+    return held.groupBy("component").applyInPandas(decide, "removed bigint, kept bigint, sim double")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import lists
-from lodestone.functions.text import LEFT, RIGHT, distinctive_tokens, expand_abbreviations, fold_vowels, fold_words, is_negated, runs_of, subject_tokens, tokens
+from lodestone.functions.text import LEFT, RIGHT, distinctive_tokens, expand_abbreviations, fold_vowels, is_negated, is_vague, runs_of, subject_tokens, tokens
+from lodestone.runtime import scratch
 
 # --- bonuses -----------------------------------------------------------------
 
@@ -226,81 +230,157 @@ def number_evidence(hits: DataFrame, start: int = 1) -> DataFrame:
 # --- mentions ----------------------------------------------------------------
 
 
-def _scan(names: list[tuple[str, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _plain(text: str) -> str:
+    """Lower case without non-spacing marks and outer spaces; letters that only look marked, as đ, stay."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn").strip()
+
+
+def named_in(text: str, names: Sequence[tuple[str, str]]) -> list[tuple[str, int]]:
+    """(document, position) of names(alias, document) in a text, longest alias first, of equal ones the least document and
+    alias. A match, in the lower-case text or else in the plain one, is blanked in both, so that shorter aliases can't use
+    it; each document counts once."""
+    low, plain, found = text.lower(), _plain(text), {}
+    for alias, doc in sorted(names, key=lambda n: (-len(n[0]), n[1], n[0])):
+        if doc in found:
+            continue
+        at = low.find(alias)
+        at = plain.find(alias) if at < 0 else at
+        if at >= 0:
+            found[doc] = at
+            low, plain = (t[:at] + " " * len(alias) + t[at + len(alias) :] for t in (low, plain))
+    return list(found.items())
+
+
+def _scan(folder: str, shards: int, at_once: int):
+    system, base = fs.FileSystem.from_uri(folder)
+
+    def automaton(shard: int) -> tuple:
         import ahocorasick
 
-        finder = ahocorasick.Automaton()
-        for order, (alias, doc) in enumerate(names):
-            if alias not in finder:
-                finder.add_word(alias, (order, len(alias), doc))
-        if names:
-            finder.make_automaton()
+        finder, path = ahocorasick.Automaton(), f"{base}/shard={shard}"
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            held = pq.read_table(path, filesystem=system, columns=["alias", "document_id"], partitioning=None)
+            for alias, doc in zip(held["alias"].to_pylist(), held["document_id"].to_pylist(), strict=True):
+                for form in {alias.lower().strip(), _plain(alias)} - {""}:
+                    finder.add_word(form, (form, [*finder.get(form, (form, []))[1], doc]))
+        finder.make_automaton()
+        return finder, len(finder)
+
+    def settle(rows: list[tuple], only: tuple | None) -> pd.DataFrame:
+        near: list[set] = [set() for _ in rows]
+        for shard in range(shards):
+            finder, n = only or automaton(shard)
+            for i, (_, text) in enumerate(rows if n else []):
+                for form in {text.lower(), _plain(text)}:
+                    near[i].update((alias, doc) for _, (alias, docs) in finder.iter(form) for doc in docs)
+        out = [(key, doc, no + 1, at) for (key, text), names in zip(rows, near, strict=True) for no, (doc, at) in enumerate(named_in(text, list(names)))]
+        return pd.DataFrame(out, columns=["query_id", "document_id", "found_no", "position"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only, held, size = automaton(0) if shards == 1 else None, [], 0
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                hits = []
-                for text in ([r.low, r.folded] if r.low != r.folded else [r.low]) if names else []:
-                    for end, (order, size, doc) in finder.iter(text):
-                        begin = end - size + 1
-                        edges = text[begin - 1 : begin] + text[end + 1 : end + 2]
-                        if not any(x.isalnum() or x == "_" for x in edges):
-                            hits.append((-size, order, begin, end, doc))
-                taken, seen = [], set()
-                for _, _, begin, end, doc in sorted(hits):
-                    if doc not in seen and all(end < b or begin > e for b, e in taken):
-                        taken.append((begin, end))
-                        seen.add(doc)
-                        rows.append((r.query_id, doc, begin))
-            yield pd.DataFrame(rows, columns=["query_id", "document_id", "position"])
+            for key, text in zip(pdf["query_id"], pdf["text"], strict=True):
+                held.append((key, text or ""))
+                size += len(text or "")
+                if size > at_once:  # with several shards, each is built anew for so many characters of text
+                    yield settle(held, only)
+                    held, size = [], 0
+        if held:
+            yield settle(held, only)
 
     return run
 
 
-def mentions(texts: DataFrame, catalog: DataFrame, most_names: int = 200_000) -> DataFrame:
-    """(query_id, document_id, position): titles and keywords of catalog(document_id, alias) named in texts(query_id, text),
-    as whole words. Longer names come first and cover their span; each document counts once. The catalog of names is
-    limited (most_names); more raise an error instead of being cut."""
-    both = catalog.select("document_id", F.explode(F.array_distinct(F.array(F.lower("alias"), fold_words(F.col("alias"))))).alias("alias")).filter("length(alias) > 0")
-    names = [(r.alias, r.document_id) for r in both.orderBy(F.desc(F.length("alias")), "alias", "document_id").limit(most_names + 1).collect()]
-    if len(names) > most_names:
-        raise ValueError(f"more than {most_names} names")
-    said = texts.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"), fold_words(F.coalesce("text", F.lit(""))).alias("folded"))
-    return said.mapInPandas(_scan(names), "query_id bigint, document_id string, position bigint")
+def mentions(texts: DataFrame, catalog: DataFrame, shard: int = 200_000, at_once: int = 32 << 20) -> DataFrame:
+    """(query_id, document_id, found_no, position): the documents of catalog(document_id, alias) that texts(query_id, text) name,
+    in the order in which they are found: longest alias first, anywhere in the text, also inside words, each document once.
+    Outer spaces of names don't count, and blank names name nothing.
+
+    The names are written to the shared folder in shards of about so many; a task builds an automaton of one shard at a time
+    and scans its texts with each, so a catalog of any size goes through neither the driver nor one task's memory."""
+    names = catalog.select("document_id", "alias").filter("document_id is not null and alias is not null").distinct()
+    shards = max(1, -(-names.count() // shard))
+    folder = scratch(texts.sparkSession, "names")
+    names.withColumn("shard", F.pmod(F.xxhash64("alias"), F.lit(shards))).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    kind = dict(texts.dtypes)["query_id"]
+    return texts.select("query_id", "text").mapInPandas(_scan(folder, shards, at_once), f"query_id {kind}, document_id {dict(catalog.dtypes)['document_id']}, found_no int, position int")
 
 
 def sub_queries(found: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
-    """(query_id, sub_no, document_id, fields, truncated): one row for each mentioned document, at most `most`; a question
-    without mentions is one sub-question of its own. queries has query_id, fields."""
-    order = Window.partitionBy("query_id").orderBy("position", "document_id")
-    numbered = found.withColumns({"sub_no": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("query_id"))}).filter(F.col("sub_no") <= most)
-    out = queries.select("query_id", "fields").join(numbered, "query_id", "left")
-    return out.select("query_id", F.coalesce("sub_no", F.lit(1)).alias("sub_no"), "document_id", "fields", (F.coalesce("_n", F.lit(0)) > most).alias("truncated"))
-
-
-def resolve_sub_queries(subs: DataFrame, hits: DataFrame, least: float = 0.5, gap: float = 0.08, general_weight: float = 1.2) -> DataFrame:
-    """subs(query_id, sub_no, hint) with document_id, title and status FOUND, AMBIGUOUS or NOT_FOUND; hits(query_id,
-    document_id, title, field, doc_base_score, retrieval_score, rank). A document whose title holds the hint, or the other
-    way round, wins by rank; else the best score does, unless the two best are too close."""
-    scores = hits.groupBy("query_id", "document_id").agg(
-        F.max(F.col("doc_base_score") * F.when(F.col("field") == "general", general_weight).otherwise(1.0)).alias("s"), F.min("rank").alias("r"), F.max("retrieval_score").alias("top"), F.max("title").alias("title")
-    )
-    rows = subs.select("query_id", "sub_no", "hint").join(scores, "query_id", "left")
-    low, hint = F.lower("title"), F.lower("hint")
+    """(query_id, sub_no, document_id, fields, truncated): one row for each mentioned document, in the order found, at most
+    `most`; a question without mentions is one sub-question of its own. queries has query_id, fields."""
+    counted = found.withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).filter(F.col("found_no") <= most)
+    out = queries.select("query_id", "fields").join(counted, "query_id", "left")
+    return out.select("query_id", F.coalesce("found_no", F.lit(1)).alias("sub_no"), "document_id", "fields", (F.coalesce("_n", F.lit(0)) > most).alias("truncated"))
+
+
+def resolve_sub_queries(subs: DataFrame, hits: DataFrame, vague: Column | None = None, least: float = 0.5, gap: float = 0.08, general_weight: float = 1.2) -> DataFrame:
+    """subs(query_id, sub_no, mention, hint) with document_id, title, score and status FOUND, AMBIGUOUS or NOT_FOUND; hits(query_id,
+    sub_no, document_id, title, field, retrieval_score, rank) are of a search for the mention.
+
+    The document is that of the first hit whose title holds the hint, or the other way round, with that hit's score; else
+    the one with the best score, general chunks weighted, the first of equals. If the mention is vague (an expression on
+    subs; by default is_vague()) and the first hits of the two first documents are closer than gap, it is AMBIGUOUS, named or
+    not; else FOUND if the score is at least `least`."""
+    by = ["query_id", "sub_no"]
+    asked = subs.withColumn("_vague", is_vague(F.col("mention")) if vague is None else vague)
+    low, hint = F.lower(F.coalesce("title", F.lit(""))), F.lower("hint")
     named = F.coalesce((F.col("hint") != "") & (F.contains(low, hint) | F.contains(hint, low)), F.lit(False))
-    rows = rows.withColumn("_named", named)
-    order = Window.partitionBy("query_id", "sub_no").orderBy(F.desc("_named"), F.when(F.col("_named"), F.col("r")), F.desc("s"), "document_id")
-    two = Window.partitionBy("query_id", "sub_no").orderBy(F.desc("s"), "document_id")
-    rows = rows.withColumns({"_n": F.row_number().over(order), "_gap": F.col("s") - F.lead("s").over(two)})
-    status = F.when(F.col("_named"), "FOUND").when(F.col("document_id").isNull(), "NOT_FOUND").when(F.col("_gap") < gap, "AMBIGUOUS").when(F.col("top") >= least, "FOUND").otherwise("NOT_FOUND")
-    return rows.filter("_n = 1").select("query_id", "sub_no", "hint", "document_id", "title", status.alias("status"))
+    rows = hits.join(asked.select(*by, "hint"), by).withColumns({"_named": named, "_weighted": F.col("retrieval_score") * F.when(F.col("field") == "general", general_weight).otherwise(1.0)})
+    documents = rows.groupBy(*by, "document_id").agg(
+        F.min("rank").alias("_first"), F.min_by("retrieval_score", "rank").alias("_own"), F.min_by("title", "rank").alias("_title"), F.max("_weighted").alias("_best"),
+        F.min(F.when(F.col("_named"), F.struct("rank", "retrieval_score", "title"))).alias("_hit"),
+    )
+    one = documents.groupBy(*by).agg(
+        F.min(F.when(F.col("_hit").isNotNull(), F.struct(F.col("_hit.rank").alias("rank"), "document_id", F.col("_hit.retrieval_score").alias("score"), F.col("_hit.title").alias("title")))).alias("_named"),
+        F.max(F.struct(F.col("_best").alias("score"), (-F.col("_first")).alias("first"), "document_id", F.col("_title").alias("title"))).alias("_top"),
+        F.slice(F.sort_array(F.collect_list(F.struct("_first", "_own"))), 1, 2).alias("_two"),
+    )
+    out = asked.join(one, by, "left")
+    score = F.coalesce("_named.score", "_top.score", F.lit(0.0))
+    close = F.col("_vague") & (F.size("_two") == 2) & (F.get("_two", F.lit(0))["_own"] - F.get("_two", F.lit(1))["_own"] < gap)
+    status = F.when(F.coalesce(close, F.lit(False)), "AMBIGUOUS").when(F.col("_top").isNotNull() & (score >= least), "FOUND").otherwise("NOT_FOUND")
+    out = out.withColumns({"status": status, "score": score})
+    found = F.when(F.col("status") == "FOUND", F.coalesce("_named.document_id", "_top.document_id"))
+    title = F.when(F.col("status") != "AMBIGUOUS", F.when(F.col("_named").isNotNull(), F.col("_named.title")).otherwise(F.col("_top.title")))
+    return out.withColumns({"document_id": found, "title": title}).drop("_vague", "_named", "_top", "_two")
+
+
+def resolved_chunks(resolved: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, sub_no, chunk_id, place): the k chunks of each sub-question that is FOUND, from its document's hits. With two
+    or more requested fields: a quota of each field's chunks by score, then general ones, then the rest; with one: the
+    field's chunks by rank (else general ones, else all), then general ones; without: the best by score."""
+    by = ["query_id", "sub_no"]
+    asked = resolved.filter("status = 'FOUND'").select(*by, "document_id", F.coalesce("fields", F.array().cast("array<string>")).alias("_fields"))
+    rows = hits.join(asked, [*by, "document_id"])
+    key = F.coalesce(*[F.when(F.col("field") == name, F.lit(c)) for c, name in FIELD_NAMES], F.col("field"))
+    at = lambda c: F.nullif(F.array_position("_fields", c), F.lit(0))
+    rows = rows.withColumns({"_at": F.coalesce(F.least(at(key), at(F.col("field"))), F.lit(0)).cast("int"), "_n": F.size("_fields"), "_general": F.col("field") == "general"})
+    whole = Window.partitionBy(*by)
+    has = lambda c: F.max(c.cast("int")).over(whole) == 1
+    score = F.desc(F.round("retrieval_score", 9))
+    rows = rows.withColumns({"_any": has(F.col("_at") > 0), "_gen": has(F.col("_general")), "_in": F.row_number().over(Window.partitionBy(*by, "_at").orderBy(score, "rank"))})
+    quota = F.greatest(F.lit(1), F.floor(F.lit(k - 1) / F.greatest("_n", F.lit(1))))
+    target = F.when(F.col("_any"), F.col("_at") > 0).when(F.col("_gen"), F.col("_general")).otherwise(F.lit(True))
+    bucket = (
+        F.when(F.col("_n") == 0, 0)
+        .when((F.col("_n") >= 2) & (F.col("_at") > 0) & (F.col("_in") <= quota), F.col("_at"))
+        .when((F.col("_n") == 1) & target, 0)
+        .when(F.col("_general"), 900)
+        .when(F.col("_n") >= 2, 1000)
+    )
+    inside = F.when(F.col("_n") == 1, F.col("rank").cast("double")).otherwise(-F.round("retrieval_score", 9))
+    inside = F.when((F.col("_n") >= 2) & (F.col("_b") == 900), F.col("rank").cast("double")).otherwise(inside)
+    chosen = rows.withColumn("_b", bucket).filter("_b is not null")
+    chosen = chosen.withColumn("place", F.row_number().over(whole.orderBy("_b", inside, "rank"))).filter(F.col("place") <= k)
+    return chosen.select(*by, "chunk_id", "place")
 
 
 def answer_plan(resolved: DataFrame) -> DataFrame:
-    """One row for each question: the titles found, the hints that weren't, and the number of sub-questions."""
+    """One row for each question: the titles found and, of the other sub-questions, the suggested titles or mentions, both in
+    order, the number of sub-questions, and whether some were cut."""
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["v"])
+    named = F.struct("sub_no", F.coalesce(F.nullif("title", F.lit("")), "mention").alias("v"))
     return resolved.groupBy("query_id").agg(
-        ordered(F.when(F.col("status") == "FOUND", F.struct("sub_no", F.col("title").alias("v")))).alias("found"),
-        ordered(F.when(F.col("status") != "FOUND", F.struct("sub_no", F.col("hint").alias("v")))).alias("missing"),
-        F.count("*").alias("n_sub"),
+        ordered(F.when(F.col("status") == "FOUND", named)).alias("found"), ordered(F.when(F.col("status") != "FOUND", named)).alias("missing"), F.count("*").alias("n_sub"), F.bool_or("truncated").alias("truncated")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import fold_marks, tokens
-from lodestone.runtime import materialize, scratch
+from lodestone.functions.text import fold_any, tokens
+from lodestone.runtime import discard, materialize, scratch
 
 # What a token weighs in each field.
 WEIGHTS = {"title": 3.5, "aliases": 2.5, "category": 1.5, "text": 1.0}
@@ -20,7 +22,8 @@ WEIGHTS = {"title": 3.5, "aliases": 2.5, "category": 1.5, "text": 1.0}
 
 def _both(c: Column) -> Column:
     """Tokens as they are and folded: a token without marks counts twice."""
-    return F.concat(tokens(c), tokens(fold_marks(c)))
+    raw = tokens(c)
+    return F.concat(raw, F.when(c.rlike(r"[^\x00-\x7F]"), tokens(fold_any(c))).otherwise(raw))
 
 
 def _field(chunks: DataFrame, name: str) -> Column:
@@ -30,13 +33,49 @@ def _field(chunks: DataFrame, name: str) -> Column:
     return F.coalesce(F.array_join(c, " ") if dict(chunks.dtypes)[name].startswith("array") else c, F.lit(""))
 
 
+def _counted(chunks: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(chunk_id, dl, term, tf): a chunk's weighted length goes with each of its terms. A field's tokens are told by their
+    place among those of all fields."""
+    listed = chunks.select("chunk_id", *[_both(_field(chunks, f)).alias(f"_{i}") for i, f in enumerate(weights)])
+    sizes = [F.size(f"_{i}") for i in range(len(weights))]
+    dl = reduce(lambda a, x: a + x, [n * float(w) for n, w in zip(sizes, weights.values(), strict=True)])
+    ends = [reduce(lambda a, x: a + x, sizes[: i + 1]).alias(f"_e{i}") for i in range(len(weights))]
+    rows = listed.select("chunk_id", dl.alias("dl"), *ends, F.posexplode(F.concat(*[f"_{i}" for i in range(len(weights))])).alias("_at", "term"))
+    w = reduce(lambda a, x: a.when(F.col("_at") < F.col(f"_e{x[0]}"), float(x[1])), enumerate(weights.values()), F)
+    return rows.withColumn("w", w).groupBy("chunk_id", "dl", "term").agg(F.sum("w").alias("tf"))
+
+
 def postings(chunks: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(chunk_id, term, tf): the weighted term frequencies of chunks(chunk_id, title, aliases, category, text). A chunk's
     tokens are summed before the shuffle."""
-    weighed = lambda f, w: F.transform(_both(_field(chunks, f)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    parts = [weighed(f, w) for f, w in weights.items()]
-    rows = chunks.select("chunk_id", F.explode(F.flatten(F.array(*parts))).alias("x"))
-    return rows.groupBy("chunk_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    return _counted(chunks, weights).select("chunk_id", "term", "tf")
+
+
+class Index(NamedTuple):
+    """An index, built once and searched by many batches of questions. A posting's impact is what its term adds to the score
+    of its chunk. A term's postings are cut into blocks by impact, from the highest level down; a level of a frequent term
+    has several blocks, so that a block holds a bounded number of postings and no key is hot."""
+
+    postings: DataFrame  # (term, chunk_id, impact, block)
+    blocks: DataFrame  # (term, block, top, n): the greatest impact and the number of postings of each block
+    terms: DataFrame  # (term, df, top)
+
+
+def build_index(chunks: DataFrame, weights: dict[str, float] = WEIGHTS, k1: float = 1.5, b: float = 0.75, levels: int = 16, block: int = 4096) -> Index:
+    """The index of chunks, as written tables."""
+    counted = materialize(_counted(chunks, weights), "frequencies")
+    n = chunks.count()
+    total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0.0))).first()[0]
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    share = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(max(total / max(n, 1), 1.0))))  # of the most that a term can add
+    level = F.lit(levels - 1) - F.floor(share * levels).cast("int")
+    part = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("df") / block)).cast("bigint")
+    rows = counted.join(df, "term").select("term", "chunk_id", (F.when(idf <= 0, 0.05).otherwise(idf) * share * (k1 + 1.0)).alias("impact"), (part * levels + level).alias("block"))
+    kept = materialize(rows, "postings")
+    discard(counted)
+    blocks = materialize(kept.groupBy("term", "block").agg(F.max("impact").alias("top"), F.count("*").alias("n")), "blocks")
+    return Index(kept, blocks, materialize(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")), "terms"))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -71,6 +110,66 @@ def bm25(index: DataFrame, queries: DataFrame, chunks: DataFrame, k1: float = 1.
     return asked.join(used.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
+def _squash(s: Column) -> Column:
+    return s / (s + 4.0)
+
+
+def _reach(score: Column) -> Column:
+    """The least score that still ranks with `score` once both are squashed and rounded to 4 digits, with some room."""
+    y = _squash(score) - 1.1e-4
+    return F.when(y > 0, 4.0 * y / (1.0 - y)).otherwise(0.0)
+
+
+def complete(index: Index, asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): the whole BM25 score of each candidate, by its own postings; asked(query_id, term)."""
+    pairs = candidates.join(asked.select("query_id", "term"), "query_id")
+    return pairs.join(index.postings.select("term", "chunk_id", "impact"), ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("impact").alias("score"))
+
+
+def score_bound(index: Index, asked: DataFrame, k: int, probe: int = 4) -> DataFrame:
+    """(query_id, bound): a score that the k best chunks reach, of questions for which k chunks were found. The blocks of a
+    question's terms with the highest impacts, a bounded number of postings, name likely chunks; of the best of them the
+    whole scores are taken."""
+    budget = asked.groupBy("query_id").agg((F.count("*") * k + 64 * k).alias("budget"))
+    before = Window.partitionBy("query_id").orderBy(F.desc("block_top"), "term", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = asked.select("query_id", "term").join(index.blocks.withColumnRenamed("top", "block_top"), "term")
+    first = blocks.withColumn("_seen", F.coalesce(F.sum("n").over(before), F.lit(0))).join(budget, "query_id").filter("_seen < budget").select("query_id", "term", "block")
+    found = first.join(index.postings, ["term", "block"]).groupBy("query_id", "chunk_id").agg(F.sum("impact").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    likely = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= probe * k).select("query_id", "chunk_id")
+    return complete(index, asked, likely).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k).select("query_id", _reach(F.col("score")).alias("bound"))
+
+
+def best_chunks(index: Index, queries: DataFrame, k: int, frequent: int = 65_536) -> DataFrame:
+    """(query_id, chunk_id, score): every chunk that can be among the k best of a question, with its whole score, found
+    without scoring all chunks that share a term with it.
+
+    The terms that add least are set aside, as long as all of them together stay under the bound; so are those of more than
+    `frequent` chunks. A chunk of another term is a candidate. One of aside terms only must reach the bound with these, and
+    so get from one of them at least the bound's share of that term's greatest impact: only blocks, and in them postings, of
+    such an impact are read. What a candidate can still get is bounded; if it can't reach the bound with that, it goes. For
+    the chunks left, the aside terms are looked up."""
+    asked = materialize(query_terms(queries).join(index.terms, "term"), "asked")
+    terms = asked.join(score_bound(index, asked, k), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    rising, every = Window.partitionBy("query_id").orderBy("top", "term"), Window.partitionBy("query_id")
+    terms = terms.withColumn("aside", (F.sum("top").over(rising) * (1 + 1e-9) < F.col("bound")) | (F.col("df") > frequent))
+    terms = terms.withColumn("_sum", F.sum(F.when(F.col("aside"), F.col("top")).otherwise(0.0)).over(every) * (1 + 1e-9))
+    terms = terms.withColumn("limit", F.when(F.col("_sum") >= F.col("bound"), F.coalesce(F.try_divide("bound", "_sum"), F.lit(0.0)) * (1 - 1e-9)).otherwise(1.0) * F.col("top"))
+    terms = terms.withColumn("room", F.sum(F.when(F.col("aside"), F.col("limit")).otherwise(0.0)).over(every))
+    terms = terms.withColumn("least", F.when(~F.col("aside"), 0.0).when(F.col("_sum") >= F.col("bound"), F.col("limit")))
+    terms = materialize(terms.select("query_id", "term", "aside", "bound", "room", "limit", "least"), "terms")
+    needed = terms.filter("least is not null").join(index.blocks, "term").filter("top >= least").drop("top", "n")
+    read = needed.join(index.postings, ["term", "block"]).filter("impact >= least")
+    of = lambda kept, x: F.sum(F.when(kept, x).otherwise(0.0))
+    held = read.groupBy("query_id", "chunk_id").agg(of(~F.col("aside"), F.col("impact")).alias("impact"), of(F.col("aside"), F.col("impact") - F.col("limit")).alias("_more"), F.first("room").alias("_room"), F.first("bound").alias("_bound"))
+    held = held.filter((F.col("impact") + F.col("_more") + F.col("_room")) * (1 + 1e-9) >= F.col("_bound")).select("query_id", "chunk_id", "impact")
+    held = materialize(held, "candidates")
+    later = held.select("query_id", "chunk_id").join(terms.filter("aside").select("query_id", "term"), "query_id")
+    looked = later.join(index.postings.select("term", "chunk_id", "impact"), ["term", "chunk_id"]).select("query_id", "chunk_id", "impact")
+    return held.unionByName(looked).groupBy("query_id", "chunk_id").agg(F.sum("impact").alias("score"))
+
+
+
 def _inner(folded: Column) -> Column:
     """The tokens that can't be part of longer words where the text holds the phrase: all but the first and the last."""
     return F.slice(tokens(folded), F.lit(2), F.greatest(F.size(tokens(folded)) - 2, F.lit(0)))
@@ -82,44 +181,53 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(at(1), at(2), at(3)))
 
 
-def _terms_with(words: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id): the chunks of index(term, chunk_id) with a term that holds the word of words(query_id, word).
-    Words meet the distinct terms by their first three characters (shorter words: all), never all against all."""
-    terms = index.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    met = words.withColumn("gram", F.substring("word", 1, 3)).join(terms, "gram").filter(F.contains("term", F.col("word")))
-    return met.select("query_id", "term").join(index.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
+def _terms_with(words: DataFrame, terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the chunks of held(term, chunk_id) with one of terms(term) that holds the word of words(query_id,
+    word). Words meet the distinct terms by their first three characters (shorter words: all), never all against all."""
+    grams = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    met = words.withColumn("gram", F.substring("word", 1, 3)).join(grams, "gram").filter(F.contains("term", F.col("word")))
+    return met.select("query_id", "term").join(held.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
 
 
-def phrase_candidates(queries: DataFrame, index: DataFrame, chunks: DataFrame) -> DataFrame:
+def phrase_candidates(queries: DataFrame, index: Index, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of every chunk that may hold a question of queries(query_id, qf), folded, anywhere, also inside
     longer words. A question with inner tokens is looked up by its rarest one. Another's longest word is looked up in the
     terms; one without a word in the stretches between words, which are only then taken from the texts."""
     q = queries.filter("qf <> ''").withColumn("inner", _inner(F.col("qf"))).withColumn("all", tokens(F.col("qf")))
-    words = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(term_statistics(index), "term")
+    words = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(index.terms, "term")
     rarest = words.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter("_n = 1").select("query_id", "term")
-    likely = rarest.join(index.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
-    longest = F.array_max(F.transform("all", lambda t: F.struct(F.length(t), t.alias("t"))))["t"]
-    short = q.filter((F.size("inner") == 0) & (F.size("all") > 0)).select("query_id", longest.alias("word"))
-    found = likely.unionByName(_terms_with(short, index))
-    signs = q.filter(F.size("all") == 0).select("query_id", F.col("qf").alias("word"))
-    if signs.isEmpty():
-        return found
-    runs = F.regexp_extract_all(fold_marks(F.concat_ws(" ", *[_field(chunks, f) for f in ("title", "text")])), F.lit(r"([^\p{L}\p{N}_]+)"))
-    return found.unionByName(_terms_with(signs, chunks.select("chunk_id", F.explode(F.array_distinct(runs)).alias("term"))))
-
-
-def phrase_bonus(candidates: DataFrame, index: DataFrame, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
+    found = rarest.join(index.postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    others = q.agg(F.count_if((F.size("inner") == 0) & (F.size("all") > 0)).alias("short"), F.count_if(F.size("all") == 0).alias("signs")).first()
+    if others["short"]:
+        longest = F.array_max(F.transform("all", lambda t: F.struct(F.length(t), t.alias("t"))))["t"]
+        short = q.filter((F.size("inner") == 0) & (F.size("all") > 0)).select("query_id", longest.alias("word"))
+        found = found.unionByName(_terms_with(short, index.terms, index.postings))
+    if others["signs"]:
+        runs = F.regexp_extract_all(fold_any(F.concat_ws(" ", *[_field(chunks, f) for f in ("title", "text")])), F.lit(r"([^\p{L}\p{N}_]+)"))
+        held = chunks.select("chunk_id", F.explode(F.array_distinct(runs)).alias("term"))
+        found = found.unionByName(_terms_with(q.filter(F.size("all") == 0).select("query_id", F.col("qf").alias("word")), held.select("term").distinct(), held))
+    return found
+
+
+def phrase_bonus(candidates: DataFrame, index: Index, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
     """candidates(query_id, chunk_id, score) with the bonus of chunks that hold the whole question, folded (a raw match is
     a folded one too). A chunk that holds it inside longer words alone, and so shares no term, is added with its bonus."""
-    q = queries.select("query_id", fold_marks(F.trim(F.coalesce("query", F.lit("")))).alias("qf"))
-    c = chunks.select("chunk_id", fold_marks(_field(chunks, "title")).alias("tf"), fold_marks(_field(chunks, "text")).alias("xf"))
+    q = queries.select("query_id", fold_any(F.trim(F.coalesce("query", F.lit("")))).alias("qf"))
+    c = chunks.select("chunk_id", _field(chunks, "title").alias("_t"), _field(chunks, "text").alias("_x"))
     held = phrase_candidates(q, index, chunks).join(q, "query_id").join(c, "chunk_id")
+    held = held.filter(F.length("qf") > 0).withColumns({"tf": fold_any(F.col("_t")), "xf": fold_any(F.col("_x"))})  # of candidates only
     worth = F.when(F.contains("tf", F.col("qf")), title).otherwise(0.0) + F.when(F.contains("xf", F.col("qf")), text).otherwise(0.0)
     bonus = held.select("query_id", "chunk_id", worth.alias("bonus")).filter("bonus > 0")
     total = F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
     return candidates.join(bonus, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", total.alias("score"))
 
 
+def phrase_chunks(index: Index, queries: DataFrame, chunks: DataFrame, title: float = 3.0, text: float = 1.2) -> DataFrame:
+    """(query_id, chunk_id, bonus) of the chunks that hold the whole question."""
+    none = queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double")
+    return phrase_bonus(none, index, queries, chunks, title, text).withColumnRenamed("score", "bonus")
+
+
 def top_k(scored: DataFrame, k: int = 15, score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """scored with score in [0, 1) (s / (s + 4), 4 digits) and rank, the k best of each question."""
     squashed = scored.filter(F.col(score) > 0).withColumn("raw_score", F.round(score, 4)).withColumn(score, F.round(F.col(score) / (F.col(score) + 4.0), 4))
@@ -129,8 +237,17 @@ def top_k(scored: DataFrame, k: int = 15, score: str = "score", tie: str = "chun
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 15, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(query_id, chunk_id, score, raw_score, rank): BM25 with the phrase bonus."""
-    index = materialize(postings(chunks, weights), "postings")
-    return top_k(phrase_bonus(bm25(index, queries, chunks), index, queries, chunks), k)
+    return search_index(build_index(chunks, weights), queries, chunks, k)
+
+
+def search_index(index: Index, queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+    """As search(), in an index that is there. The bonus only raises scores, so chunks that may get one are added to the
+    candidates, and the others must reach the k best without it."""
+    bonus = materialize(phrase_chunks(index, queries, chunks), "phrases")
+    likely = best_chunks(index, queries, k)
+    extra = complete(index, query_terms(queries), bonus.select("query_id", "chunk_id"))
+    scored = likely.unionByName(extra).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).join(bonus, ["query_id", "chunk_id"], "full")
+    return top_k(scored.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score")), k)
 
 
 def alias_catalog(records: DataFrame) -> DataFrame:
@@ -194,8 +311,8 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def containing(passages: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+def containing(passages: DataFrame, chunks: DataFrame, index: Index) -> DataFrame:
     """(query_id, chunk_id) of the chunks whose text holds a whole passage of passages(query_id, query) as it is."""
-    q = passages.select("query_id", "query", fold_marks(F.trim("query")).alias("qf"))
+    q = passages.select("query_id", "query", fold_any(F.trim("query")).alias("qf"))
     found = phrase_candidates(q.select("query_id", "qf"), index, chunks).join(q, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     return found.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id")

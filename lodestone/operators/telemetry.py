@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.selection import with_percentiles
+
 
 def seconds_of(c: str | Column) -> Column:
     """Seconds as a number, of timestamps with or without a zone."""
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp").cast("double")
 
 
-def latency(c: str | Column, prefix: str = "", percentiles: Sequence[int] = (50, 90, 95, 99)) -> list[Column]:
-    """Aggregates n, mean, min, percentiles (linear between neighbours) and max; nulls don't count."""
+def latency(rows: DataFrame, c: str | Column, by: Sequence[str] = (), more: Sequence[Column] = (), prefix: str = "", shares: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
+    """n, mean, min, percentiles (linear between neighbours) and max of each group, and the aggregates `more`; nulls don't count."""
     x = F.col(c) if isinstance(c, str) else c
-    return [F.count(x).alias(f"{prefix}n"), F.avg(x).alias(f"{prefix}mean"), F.min(x).alias(f"{prefix}min"), *[F.percentile(x, F.lit(p / 100)).alias(f"{prefix}p{p}") for p in percentiles], F.max(x).alias(f"{prefix}max")]
+    plain = [F.count(x).alias(f"{prefix}n"), F.avg(x).alias(f"{prefix}mean"), F.min(x).alias(f"{prefix}min"), F.max(x).alias(f"{prefix}max")]
+    return with_percentiles(rows, [*plain, *more], {f"{prefix}p{p}": (x, p / 100) for p in shares}, by)
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -49,17 +52,17 @@ def overall_peaks(samples: DataFrame, memory: Sequence[str] = ("api_mb", "llm_mb
 
 
 def stage_breakdown(rows: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
-    return rows.groupBy(stage).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.max(seconds).alias("max"), F.sum(seconds).alias("total"))
+    plain = [F.count(seconds).alias("n"), F.avg(seconds).alias("mean"), F.max(seconds).alias("max"), F.sum(seconds).alias("total")]
+    return with_percentiles(rows, plain, {"p50": (F.col(seconds), 0.5), "p95": (F.col(seconds), 0.95)}, [stage])
 
 
 def load_levels(requests: DataFrame, level: str = "level") -> DataFrame:
     """requests(level, ok, timed_out, ttft, total, started, ended) by level of concurrency."""
     ok = F.col("ok")
     wall = seconds_of(F.max("ended")) - seconds_of(F.min("started"))
-    return requests.groupBy(level).agg(
-        F.count("*").alias("n"), rate(F.count_if(ok), F.count("*")).alias("success"), F.count_if("timed_out").alias("timeouts"), F.percentile(F.when(ok, F.col("ttft")), F.lit(0.95)).alias("ttft_p95"),
-        F.percentile(F.when(ok, F.col("total")), F.lit(0.5)).alias("total_p50"), F.percentile(F.when(ok, F.col("total")), F.lit(0.95)).alias("total_p95"), F.try_divide(F.count_if(ok).cast("double"), wall).alias("ok_per_s"),
-    )
+    plain = [F.count("*").alias("n"), rate(F.count_if(ok), F.count("*")).alias("success"), F.count_if("timed_out").alias("timeouts"), F.try_divide(F.count_if(ok).cast("double"), wall).alias("ok_per_s")]
+    ttft, total = F.when(ok, F.col("ttft")), F.when(ok, F.col("total"))
+    return with_percentiles(requests, plain, {"ttft_p95": (ttft, 0.95), "total_p50": (total, 0.5), "total_p95": (total, 0.95)}, [level])
 
 
 def load_limits(levels: DataFrame, slo_p95: float, level: str = "level") -> DataFrame:
@@ -79,38 +82,46 @@ def drift(requests: DataFrame, at: str = "ts", seconds: str = "total", ok: str =
     rows = requests.join(spans, list(by)) if by else requests.crossJoin(F.broadcast(spans))
     third = (t - F.col("_b")) / F.greatest((F.col("_e") - F.col("_b")) / 3, F.lit(1e-9))
     x = F.when(F.col(ok), F.col(seconds))
-    first, last = F.percentile(F.when(third < 1, x), F.lit(0.95)), F.percentile(F.when(third >= 2, x), F.lit(0.95))
-    return rows.groupBy(*by).agg(first.alias("p95_first"), last.alias("p95_last"), F.try_divide(last, first).alias("drift"), rate(F.count_if(~F.col(ok)), F.count("*")).alias("error_rate"))
+    wanted = {"p95_first": (F.when(third < 1, x), 0.95), "p95_last": (F.when(third >= 2, x), 0.95)}
+    out = with_percentiles(rows, [rate(F.count_if(~F.col(ok)), F.count("*")).alias("error_rate")], wanted, by)
+    return out.withColumn("drift", F.try_divide("p95_last", "p95_first"))
 
 
 def latency_cuts(requests: DataFrame, by: Sequence[str] = ("domain", "field"), seconds: str = "total") -> DataFrame:
     """n, p50, p95 and the share below a second for each group; chunks a second where there are over 5 chunks and 0.05 s."""
-    speed = F.when((F.col("n_chunks") > 5) & (F.col(seconds) - F.col("ttft") > 0.05), F.col("n_chunks") / (F.col(seconds) - F.col("ttft"))) if {"n_chunks", "ttft"} <= set(requests.columns) else None
-    extra = [F.percentile(speed, F.lit(0.5)).alias("chunks_per_s_p50")] if speed is not None else []
-    return requests.groupBy(*by).agg(F.count(seconds).alias("n"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.avg(F.when(F.col(seconds) < 1, 1.0).otherwise(0.0)).alias("under_1s"), *extra)
-
-
-def request_aggregates(at: str = "ts") -> list[Column]:
-    """What request_rollup() gathers of one request's events; request_answer() then chooses the answer."""
-    field = lambda name: F.get_json_object("data", f"$.{name}")
-    text = F.coalesce(field("answer"), field("text"), field("content"))
-    parts = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("event") == kind, F.struct("seq", text.alias("t"))))), lambda x: x["t"]), "" if kind == "chunk" else "\n")
-    t = seconds_of(at)
-    content = F.col("event").isin("chunk", "section", "done") & (F.coalesce(text, F.lit("")) != "")
-    ids = F.regexp_extract_all(F.coalesce("data", F.lit("")), F.lit(r'"document_id"\s*:\s*"([^"]+)"'), F.lit(1))
+    wanted = {"p50": (F.col(seconds), 0.5), "p95": (F.col(seconds), 0.95)}
+    if {"n_chunks", "ttft"} <= set(requests.columns):
+        speed = F.when((F.col("n_chunks") > 5) & (F.col(seconds) - F.col("ttft") > 0.05), F.col("n_chunks") / (F.col(seconds) - F.col("ttft")))
+        wanted["chunks_per_s_p50"] = (speed, 0.5)
+    plain = [F.count(seconds).alias("n"), F.avg(F.when(F.col(seconds) < 1, 1.0).otherwise(0.0)).alias("under_1s")]
+    return with_percentiles(requests, plain, wanted, by)
+
+
+def request_columns(events: Column) -> list[Column]:
+    """What is known of a request from its events, array<struct<seq, t, event, data>> in order of seq: t in seconds, data JSON."""
+    field = lambda e, name: F.get_json_object(e["data"], f"$.{name}")
+    text = lambda e: F.coalesce(field(e, "answer"), field(e, "text"), field(e, "content"))
+    of = lambda kind: F.filter(events, lambda e: e["event"] == kind)
+    parts = lambda kind, between: F.nullif(F.array_join(F.transform(of(kind), text), between), F.lit(""))
+    content = F.filter(events, lambda e: e["event"].isin("chunk", "section", "done") & (F.coalesce(text(e), F.lit("")) != ""))
+    start = lambda some: F.array_min(F.transform(some, lambda e: e["t"]))
+    answer = F.coalesce(F.nullif(field(F.try_element_at(of("done"), F.lit(-1)), "answer"), F.lit("")), parts("section", "\n"), parts("chunk", ""), F.lit(""))
     return [
-        F.bool_or(F.col("event") == "done").alias("done"), (F.min(F.when(content, t)) - F.min(t)).alias("ttft"), F.count_if(F.col("event") == "chunk").alias("n_chunks"),
-        F.max_by(F.when(F.col("event") == "done", field("answer")), F.when(F.col("event") == "done", F.col("seq"))).alias("_done"), parts("section").alias("_sections"), parts("chunk").alias("_chunks"),
-        F.bool_or(F.col("event") == "clarification").alias("needs_clarification"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))).alias("doc_ids"),
+        (F.size(of("done")) > 0).alias("done"), (start(content) - start(events)).alias("ttft"), F.size(of("chunk")).cast("long").alias("n_chunks"), answer.alias("answer"), (F.size(of("clarification")) > 0).alias("needs_clarification"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(events, lambda e: document_ids(e["data"]))))).alias("doc_ids"),
     ]
 
 
-def request_answer(gathered: DataFrame) -> DataFrame:
-    answer = F.coalesce(F.nullif("_done", F.lit("")), F.nullif("_sections", F.lit("")), F.nullif("_chunks", F.lit("")), F.lit(""))
-    return gathered.withColumn("answer", answer).drop("_done", "_sections", "_chunks")
+def document_ids(data: Column) -> Column:
+    """array<string>: the texts under a key document_id at any depth of a JSON text, with escapes decoded; none of what isn't
+    JSON. A quoted key can't stand inside a text, where its quotes are escaped, so a pattern finds all and only the keys."""
+    found = F.regexp_extract_all(data, F.lit(r'"document_id"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    decoded = F.transform(found, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
+    return F.when(F.try_parse_json(data).isNotNull(), decoded).otherwise(F.array().cast("array<string>"))
 
 
 def request_rollup(events: DataFrame, key: str = "request_id", at: str = "ts") -> DataFrame:
     """One row for each request of events(request_id, seq, ts, event, data JSON): done, ttft, chunks, the answer (of the done
     event, else of the sections, else of the chunks), whether it asks back, and the documents it names."""
-    return request_answer(events.groupBy(key).agg(*request_aggregates(at)))
+    event = F.struct("seq", seconds_of(at).alias("t"), "event", "data")
+    return events.groupBy(key).agg(F.sort_array(F.collect_list(event)).alias("_events")).select(key, *request_columns(F.col("_events")))

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, dedup, normalize
-from lodestone.runtime import table
-from lodestone.sources import index_store, readers
+from lodestone.runtime import scratch, spread, table
+from lodestone.sources import index_store, ingest_job, readers
 
 TITLE_SQL = "regexp_replace(string_split(text, chr(10))[1], '^\\s+|\\s+$', '', 'g')"
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (row_index, document_id, title, content, lang, source); the title is the first line."""
-    docs = table(spark, sf_dir, "documents")
+    return _titled(spread(table(spark, sf_dir, "documents")))
+
+
+def _titled(docs: DataFrame) -> DataFrame:
     title = F.regexp_replace(F.substring_index("text", "\n", 1), r"^\s+|\s+$", "")
     return docs.select(F.col("doc_id").alias("row_index"), F.col("doc_id").cast("string").alias("document_id"), title.alias("title"), F.col("text").alias("content"), "lang", "source")
 
@@ -114,6 +117,14 @@ def upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_store.upsert(old, new).select("point_id", "chunk_id", F.md5("text").alias("text_md5"))
 
 
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the documents were ingested, the batch replayed, and a batch without changes run."""
+    store = index_store.IndexStore(spark, scratch(spark, "index"))
+    for batch in (0, 0, 1):
+        ingest_job.ingest(store, "documents", [{"type": "parquet", "path": f"{sf_dir}/documents.parquet"}], batch, rules=_rules(), documents=lambda raw: _titled(spread(raw)))
+    return store.index().select("chunk_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", readers.html_text_native(F.col("html")).alias("text"))
@@ -149,7 +160,7 @@ _BAD = "title = '' OR content = '' OR length(content) < 200 OR length(title) > 1
 QUERIES = {
     "record_text": record_text, "resolve_records": resolve_records, "number_rows": number_rows, "validate_documents": validate_documents, "ingest_accounting": ingest_accounting, "data_profile": data_profile,
     "document_chunks": document_chunks, "record_chunks": record_chunks, "field_chunks": field_chunks, "exact_dedup": exact_dedup, "near_pairs": near_pairs, "near_dedup": near_dedup, "index_rows": index_rows,
-    "upsert_index": upsert_index, "page_text": page_text, "source_changes": source_changes, "labelled_cases": labelled_cases, "stage_log": stage_log,
+    "upsert_index": upsert_index, "incremental_ingest": incremental_ingest, "page_text": page_text, "source_changes": source_changes, "labelled_cases": labelled_cases, "stage_log": stage_log,
 }
 
 # at sf0.01 every near vector has one partner, so each pair decides itself
@@ -202,3 +213,5 @@ ORACLES = {
         CASE WHEN item_id % 8 = 1 THEN 'REJECT' END AS behavior, CASE WHEN item_id % 2 = 0 THEN 'held_out' ELSE 'golden' END AS split, length(text) AS n_chars FROM benchmark""",
     "stage_log": "SELECT event_type AS stage, count(*) AS n, round(sum(round(value, 2)), 2) AS total FROM events GROUP BY event_type",
 }
+_KEPT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY row_index) AS n FROM {_T} WHERE NOT ({_BAD})) WHERE n = 1)"
+ORACLES["incremental_ingest"] = ORACLES["document_chunks"].replace(_T, _KEPT)

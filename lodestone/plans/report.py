@@ -124,7 +124,7 @@ def behavior_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    out = e.groupBy("event_type").agg(*telemetry.latency("value"), telemetry.slope(F.col("value"), F.col("event_id").cast("double")).alias("slope"))
+    out = telemetry.latency(e, "value", ["event_type"], [telemetry.slope(F.col("value"), F.col("event_id").cast("double")).alias("slope")])
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "p50", "p90", "p95", "p99", "max")], F.round(F.col("slope") * 1e6, 4).alias("slope_millionths"))
 
 

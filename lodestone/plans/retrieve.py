@@ -37,7 +37,7 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     return found.join(chunks, "chunk_id").join(asked, "query_id")
 
 
-def _expected(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+def _expected(spark: SparkSession, sf_dir: str, index: search.Index) -> DataFrame:
     asked = questions(spark, sf_dir)
     held = search.containing(asked, chunks_of(spark, sf_dir), index).groupBy("query_id").agg(F.collect_list(F.col("chunk_id")).alias("expected_docs"))
     return asked.join(held, "query_id", "left").select(F.col("query_id").alias("case_id"), F.coalesce("expected_docs", F.array().cast("array<bigint>")).alias("expected_docs"))
@@ -46,9 +46,8 @@ def _expected(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
 def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each question with the rank of an expected document, and one (case_id null) with the metrics of all."""
     chunks, asked = chunks_of(spark, sf_dir), questions(spark, sf_dir)
-    index = materialize(search.postings(chunks), "postings")
-    scored = search.phrase_bonus(search.bm25(index, asked, chunks), index, asked, chunks)
-    hits = search.top_k(scored, 5).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document_id"), "rank")
+    index = search.build_index(chunks)
+    hits = search.search_index(index, asked, chunks, 5).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document_id"), "rank")
     ranked = evaluate.expected_ranks(_expected(spark, sf_dir, index), hits)
     ranked = materialize(ranked.select("case_id", F.size("expected_docs").cast("long").alias("n_expected"), F.col("rank").cast("long").alias("rank")), "ranked")
     total = evaluate.rank_metrics(ranked.filter("n_expected > 0"))
@@ -152,15 +151,37 @@ def filtered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(plain, "query_id", "left").join(template, "query_id", "left").select("query_id", F.md5("answer").alias("answer_md5"), F.col("n_kept").cast("long").alias("n_kept"), "critical", "evidence_answer_md5", "template_md5")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The openings of the benchmark passages as titles."""
+    return questions(spark, sf_dir).select(F.concat(F.lit("PROC_"), F.col("query_id").cast("string")).alias("document_id"), F.substring_index("query", " ", 3).alias("alias"))
+
+
 def mention_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark openings as titles, looked for in the documents: the sub-questions of each text. They are not resolved here."""
-    names = questions(spark, sf_dir).select(F.concat(F.lit("PROC_"), F.col("query_id").cast("string")).alias("document_id"), F.lower(F.substring_index("query", " ", 3)).alias("alias"))
+    """Benchmark openings as titles, looked for in the documents: the sub-questions of each text."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    found = ranking.mentions(texts, names)
-    subs = ranking.sub_queries(found, texts.select("query_id", F.array(F.lit("fee")).alias("fields")))
+    subs = ranking.sub_queries(ranking.mentions(texts, _names(spark, sf_dir)), texts.select("query_id", F.array(F.lit("fee")).alias("fields")))
     return subs.select("query_id", F.col("sub_no").cast("long").alias("sub_no"), "document_id", "truncated")
 
 
+def answer_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as questions: what they name is searched in the documents and resolved to one of them."""
+    asked, names = questions(spark, sf_dir), _names(spark, sf_dir)
+    found = ranking.mentions(asked.withColumnRenamed("query", "text"), names)
+    subs = ranking.sub_queries(found, asked.select("query_id", F.array(F.lit("fee"), F.lit("docs")).alias("fields")))
+    subs = subs.join(names, "document_id", "left").join(asked, "query_id")
+    mention = F.coalesce("alias", "query")
+    subs = materialize(subs.select("query_id", "sub_no", mention.alias("mention"), F.col("alias").alias("hint"), "fields", "truncated", F.xxhash64(mention).alias("search_id")), "sub-questions")
+    chunks = chunks_of(spark, sf_dir)
+    hits = search.search(chunks, subs.select(F.col("search_id").alias("query_id"), F.col("mention").alias("query")).distinct(), 15).withColumnRenamed("query_id", "search_id")
+    field = F.when(F.col("category") == "en", "general").when(F.col("category") == "fr", "fee").otherwise("required_documents")
+    hits = hits.join(chunks.select("chunk_id", "document_id", "title", field.alias("field")), "chunk_id").join(subs.select("query_id", "sub_no", "search_id"), "search_id")
+    hits = materialize(hits.select("query_id", "sub_no", "chunk_id", "document_id", "title", "field", F.col("score").alias("retrieval_score"), "rank"), "sub-hits")
+    done = materialize(ranking.resolve_sub_queries(subs, hits).drop("search_id"), "resolved")
+    n_chunks = ranking.resolved_chunks(done, hits).groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    plan = ranking.answer_plan(done).join(n_chunks, "query_id", "left")
+    return plan.select("query_id", F.array_join("found", "|").alias("found"), F.array_join("missing", "|").alias("missing"), "n_sub", "truncated", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
 _W = {"t": 3.5, "c": 1.5, "x": 1.0}
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _BOTH = lambda c: f"list_concat({_TOK.format(c)}, regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}_]+'))"
@@ -191,7 +212,7 @@ def _runs(n: int) -> str:
 
 QUERIES = {
     "postings_statistics": postings_statistics, "bm25_search": bm25_search, "search_metrics": search_metrics, "vector_search": vector_search, "hybrid_ranking": hybrid_ranking, "document_choice": document_choice,
-    "chunk_selection": chunk_selection, "scope_gate": scope_gate, "evidence_rows": evidence_rows, "claim_overlaps": claim_overlaps, "claim_verdicts": claim_verdicts, "filtered_answers": filtered_answers, "mention_plans": mention_plans,
+    "chunk_selection": chunk_selection, "scope_gate": scope_gate, "evidence_rows": evidence_rows, "claim_overlaps": claim_overlaps, "claim_verdicts": claim_verdicts, "filtered_answers": filtered_answers, "mention_plans": mention_plans, "answer_plans": answer_plans,
 }
 
 ORACLES = {

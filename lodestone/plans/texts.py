@@ -130,7 +130,7 @@ _R = "(SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N
 _HAS = lambda words: " OR ".join(f"list_contains(w, '{x}')" for x in words)
 ORACLES = {
     "text_folds": f"""SELECT doc_id, md5(translate(lower(text), '{FROM}', '{TO}')) AS vowels_md5, md5(strip_accents(lower(text))) AS marks_md5,
-        md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS canonical_md5 FROM documents""",
+        md5(trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g'))) AS canonical_md5 FROM documents""",
     "token_counts": f"""SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, len({subject_sql('text')}) AS n_subject, len({meaningful_sql('text')}) AS n_meaningful, len({distinctive_sql('text')}) AS n_distinctive,
         len(list_distinct(list_transform(range(1, len({meaningful_sql('text')})), lambda i: ({meaningful_sql('text')})[i] || ' ' || ({meaningful_sql('text')})[i + 1]))) AS n_pairs FROM documents""".replace(
         f"len(list_distinct(list_transform(range(1, len({meaningful_sql('text')})), lambda i: ({meaningful_sql('text')})[i] || ' ' || ({meaningful_sql('text')})[i + 1]))) AS n_pairs FROM documents",

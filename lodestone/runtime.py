@@ -32,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, each: int = 32 << 20, least: int = 1 << 20) -> DataFrame:
+    """df dealt over all cores where that is worth it: a small table is often one row group, which one task reads, and what is
+    done to its texts then runs in that task. Tables with over `each` bytes a core (by Spark's estimate) stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if least <= size < each * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary folder of this machine only where that is unset and the master
     is local (tests). On a cluster without that setting it is an error."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.runtime import materialize
@@ -49,3 +52,72 @@ def purge_files(files: DataFrame, domains: DataFrame, used: DataFrame, domain: s
 
 def purge_versions(registry: DataFrame, domain: str) -> DataFrame:
     return registry.filter(F.col("domain") != domain)
+
+
+class IndexStore:
+    """A chunk index below a folder, whose domains are folders of their own. A manifest names the folder of each domain, that of
+    the registry of sources, and the last batch of each domain. A change writes new folders and then one manifest with the
+    next number, by a rename: readers see the old or the new state, and a job that dies before that has changed nothing."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict:
+        """The newest manifest."""
+        at = self._path(f"{self.root}/manifests")
+        numbers = [int(f.getPath().getName()[:-5]) for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")] if self._fs.exists(at) else []
+        if not numbers:
+            return {"version": 0, "domains": {}, "registry": None, "batches": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{max(numbers)}.json", wholetext=True).first()[0])
+
+    def index(self, domain: str | None = None) -> DataFrame | None:
+        """The rows of all domains, or of one; None where there are none yet."""
+        folders = [f for d, f in sorted(self.manifest()["domains"].items()) if domain in (None, d)]
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else None
+
+    def registry(self) -> DataFrame:
+        """(domain, path, hash, indexed_at) of the sources that are in the index."""
+        folder = self.manifest()["registry"]
+        return self.spark.read.schema(REGISTRY).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], REGISTRY)
+
+    def write(self, rows: DataFrame, name: str) -> str:
+        """A new folder with rows, which no manifest names yet."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def commit(self, manifest: dict) -> None:
+        """Makes manifest, the changed copy of the one read, the newest; an error if another job was faster."""
+        number = manifest["version"] + 1
+        target, aside = self._path(f"{self.root}/manifests/{number}.json"), self._path(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(aside)
+        out.write(bytearray(json.dumps(manifest | {"version": number}).encode()))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
+            raise RuntimeError(f"manifest {number} is there already: another job has changed the index")
+
+    def purge(self, domain: str) -> None:
+        """The domain's rows, its sources and its last batch go in one step; its folder goes after that."""
+        manifest = self.manifest()
+        registry = self.write(purge_versions(self.registry(), domain), "registry")
+        folder = manifest["domains"].pop(domain, None)
+        manifest["batches"].pop(domain, None)
+        self.commit(manifest | {"registry": registry})
+        if folder:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def vacuum(self) -> list[str]:
+        """Deletes folders that the newest manifest doesn't name, which dead jobs and replaced states leave. No job may be
+        writing, and no reader be on an older state."""
+        manifest = self.manifest()
+        named = {*manifest["domains"].values(), manifest["registry"], "manifests"}
+        gone = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)) if f.getPath().getName() not in named]
+        for name in gone:
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        return sorted(gone)
+
+
+REGISTRY = "domain string, path string, hash string, indexed_at timestamp"

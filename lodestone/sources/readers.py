@@ -9,23 +9,24 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestone.functions.text import blank_to_null
 from lodestone.operators.normalize import record_text
 
-BROKEN = "_corrupt_record"
-
 
 def read_json(spark: SparkSession, path: str, schema: StructType, source_type: str = "tabular") -> tuple[DataFrame, DataFrame]:
-    """(rows, broken): records of JSON arrays of objects; what doesn't parse goes to broken(source_path, raw_text)."""
-    full = StructType([*schema.fields, StructField(BROKEN, StringType())])
-    df = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
-    df = df.withColumn("source_path", F.col("_metadata.file_path"))
-    # Spark reads the text of broken records only together with another column
-    read = F.length(F.coalesce(F.col(schema.names[0]).cast("string"), F.lit(""))) >= 0
+    """(rows, broken): the records of files that are JSON arrays of objects. Files that aren't go whole to broken(source_path,
+    raw_text, reason): not_json, not_array, or not_object if any item isn't one."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw_text"))
+    parsed = files.withColumn("_v", F.try_parse_json(F.regexp_replace("raw_text", "^\ufeff", "")))
+    items = F.try_variant_get("_v", "$", "array<variant>")
+    reason = F.when(F.col("_v").isNull(), "not_json").when(items.isNull(), "not_array").when(F.exists(items, lambda x: ~F.coalesce(F.schema_of_variant(x), F.lit("")).startswith("OBJECT")), "not_object")
+    judged = parsed.withColumn("reason", reason)
+    each = judged.filter("reason is null").select("source_path", F.explode(F.from_json(F.regexp_replace("raw_text", "^\ufeff", ""), ArrayType(schema))).alias("_r"))
+    rows = each.select("_r.*", "source_path")
     kind = F.coalesce(blank_to_null(F.col("source_type")), F.lit(source_type)) if "source_type" in schema.names else F.lit(source_type)
-    return df.filter(F.col(BROKEN).isNull()).drop(BROKEN).withColumn("source_type", kind), df.filter(F.col(BROKEN).isNotNull() & read).select("source_path", F.col(BROKEN).alias("raw_text"))
+    return rows.withColumn("source_type", kind), judged.filter("reason is not null").select("source_path", "raw_text", "reason")
 
 
 def read_csv(spark: SparkSession, path: str, source_type: str = "tabular") -> DataFrame:
@@ -65,6 +66,7 @@ def read_pages(pages: DataFrame, native: bool = True) -> tuple[DataFrame, DataFr
 
 Reader = Callable[[SparkSession, Mapping[str, str]], DataFrame]
 READERS: dict[str, Reader] = {
+    "json": lambda spark, cfg: read_json(spark, cfg["path"], StructType.fromDDL(cfg["schema"]))[0],
     "csv": lambda spark, cfg: read_csv(spark, cfg["path"]),
     "parquet": lambda spark, cfg: spark.read.parquet(cfg["path"]),
     "web": lambda spark, cfg: read_pages(spark.read.parquet(cfg["path"]))[0],

@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -29,12 +32,70 @@ def test_selection_fills_places(spark):
 
 
 def test_mentions_take_long_names_first(spark):
-    catalog = spark.createDataFrame([("P1", "Khai sinh"), ("P2", "Đăng ký khai sinh"), ("P3", "Kết hôn")], "document_id string, alias string")
-    texts = spark.createDataFrame([(1, "đăng ký khai sinh và ket hon"), (2, "khai sinhx"), (3, None)], "query_id long, text string")
-    found = ranking.mentions(texts, catalog)
-    assert {(r.query_id, r.document_id) for r in found.collect()} == {(1, "P2"), (1, "P3")}
+    catalog = spark.createDataFrame([("P1", "Khai sinh"), ("P2", "Đăng ký khai sinh"), ("P3", "Kết hôn"), ("P4", "sinh"), (None, "x"), ("P5", None)], "document_id string, alias string")
+    texts = spark.createDataFrame([(1, "và ket hon, đăng ký khai sinh"), (2, "khai sinhx"), (3, None), (4, "khai sinh và sinh")], "query_id long, text string")
+    for shard in (200_000, 1):  # one automaton, or one for each name or so
+        found = ranking.mentions(texts, catalog, shard)
+        got = sorted((r.query_id, r.found_no, r.document_id) for r in found.collect())
+        # inside words too; the longest name first, whose span shorter ones can't use
+        assert got == [(1, 1, "P2"), (1, 2, "P3"), (2, 1, "P1"), (4, 1, "P1"), (4, 2, "P4")]
     subs = ranking.sub_queries(found, texts.select("query_id", F.array(F.lit("fee")).alias("fields")), 1)
-    assert {(r.query_id, r.sub_no, r.document_id, r.truncated) for r in subs.collect()} == {(1, 1, "P2", True), (2, 1, None, False), (3, 1, None, False)}
+    assert {(r.query_id, r.sub_no, r.document_id, r.truncated) for r in subs.collect()} == {(1, 1, "P2", True), (2, 1, "P1", False), (3, 1, None, False), (4, 1, "P1", True)}
+
+
+def test_mentions_equal_one_scan_after_another(spark):
+    r = random.Random(8)
+    letters = "abé đ"
+    names = [("".join(r.choice(letters) for _ in range(r.randint(1, 5))), f"D{r.randrange(12):02}") for _ in range(40)]
+    texts = [(i, "".join(r.choice(letters + "ABÉ") for _ in range(r.randint(0, 30)))) for i in range(150)]
+
+    def plainly(text):
+        """Every alias looked for in turn, by the longest first, in the text with what was found blanked."""
+        marks = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn").strip()
+        forms = sorted({(f, d) for a, d in names for f in {a.lower().strip(), marks(a)} if f}, key=lambda x: (-len(x[0]), x[1], x[0]))
+        both, seen = [text.lower(), marks(text)], []
+        for alias, doc in forms:
+            at = next((t.find(alias) for t in both if alias in t), -1) if doc not in seen else -1
+            if at >= 0:
+                both = [t[:at] + " " * len(alias) + t[at + len(alias) :] for t in both]
+                seen.append(doc)
+        return seen
+
+    found = ranking.mentions(spark.createDataFrame(texts, "query_id long, text string"), spark.createDataFrame(names, "alias string, document_id string"), shard=15, at_once=500)
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: (x.query_id, x.found_no)):
+        got.setdefault(x.query_id, []).append(x.document_id)
+    assert got == {i: d for i, t in texts if (d := plainly(t))}
+
+
+def test_sub_questions_are_resolved(spark):
+    hit = lambda q, no, chunk, doc, title, score, rank, field="fee": (q, no, chunk, doc, title, field, score, rank)
+    subs = spark.createDataFrame(
+        [(1, 1, "Pass", "Pass", ["fee"], False), (1, 2, "Visa", "Visa", ["fee"], False), (2, 1, "how", None, [], False), (3, 1, "tell me all about the long matter", None, ["fee", "docs"], False), (4, 1, "none", "none", [], True), (5, 1, "x y", None, [], False)],
+        "query_id long, sub_no int, mention string, hint string, fields array<string>, truncated boolean",
+    )
+    hits = spark.createDataFrame(
+        [
+            hit(1, 1, "a1", "A", "Passport", 0.1, 1), hit(1, 1, "b1", "B", "Other", 0.9, 2), hit(1, 2, "c1", "C", "x", 0.7, 1), hit(1, 2, "d1", "D", "The Visa", 0.6, 2), hit(1, 2, "d2", "D", "The Visa", 0.95, 3, "general"),
+            hit(2, 1, "e1", "E", "e", 0.90, 1), hit(2, 1, "f1", "F", "f", 0.88, 2), hit(3, 1, "e1", "E", "e", 0.90, 1, "general"), hit(3, 1, "f1", "F", "f", 0.95, 2), hit(3, 1, "e2", "E", "e", 0.2, 3), hit(3, 1, "e3", "E", "e", 0.3, 4), hit(3, 1, "e4", "E", "e", 0.1, 5, "required_documents"),
+            hit(5, 1, "g1", "G", "g", 0.42, 1, "general"), hit(5, 1, "h1", "H", "h", 0.2, 2),
+        ],
+        "query_id long, sub_no int, chunk_id string, document_id string, title string, field string, retrieval_score double, rank int",
+    )
+    done = ranking.resolve_sub_queries(subs, hits, vague=F.col("mention").isin("how", "Visa"))
+    got = {(r.query_id, r.sub_no): (r.status, r.document_id, r.title, round(r.score, 3)) for r in done.collect()}
+    assert got[(1, 1)] == ("NOT_FOUND", None, "Passport", 0.1)  # named, but its score is too low
+    assert got[(1, 2)] == ("FOUND", "D", "The Visa", 0.6)  # named, with that hit's score; 0.7 and 0.6 aren't close
+    assert got[(2, 1)] == ("AMBIGUOUS", None, None, 0.9)  # close and vague
+    assert got[(3, 1)] == ("FOUND", "E", "e", 1.08)  # close, not vague; general chunks weigh more
+    assert got[(4, 1)] == ("NOT_FOUND", None, None, 0.0) and got[(5, 1)] == ("FOUND", "G", "g", 0.504)
+    chunks = {}
+    for r in sorted(ranking.resolved_chunks(done, hits).collect(), key=lambda r: (r.query_id, r.sub_no, r.place)):
+        chunks.setdefault((r.query_id, r.sub_no), []).append(r.chunk_id)
+    assert chunks == {(1, 2): ["d1", "d2"], (3, 1): ["e3", "e4", "e1"], (5, 1): ["g1"]}
+    plan = {r.query_id: (r.found, r.missing, r.n_sub, r.truncated) for r in ranking.answer_plan(done).collect()}
+    assert plan == {1: (["The Visa"], ["Passport"], 2, False), 2: ([], ["how"], 1, False), 3: (["e"], [], 1, False), 4: ([], ["none"], 1, True), 5: (["g"], [], 1, False)}
+
 
 
 def test_bonuses(spark):
@@ -70,7 +131,7 @@ def test_phrases_are_found_wherever_a_chunk_holds_them(spark):
     asked = ["coat rack", "coat", "ÜBER", "?!", "red coat rack", "", None, "zz", "oat ra", "x", "--"]
     chunks = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "chunk_id long, title string, text string")
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    index = search.postings(chunks).cache()
+    index = search.build_index(chunks)
     low = lambda t: (t or "").lower().replace("ü", "u")
     want = {(q, c) for q, a in enumerate(asked) for c, t in enumerate(texts) if low(a) and low(a) in low(t)}
     none = spark.createDataFrame([], "query_id long, chunk_id long, score double")

@@ -1,7 +1,9 @@
+import math
 import random
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,25 +51,28 @@ def test_chunk_ids_and_fields(spark):
 def _first_wins(rows):
     ids, keys, gone = set(), set(), set()
     for o, a, b in rows:
-        if a in ids or b in keys:
-            gone.add(o)
+        if (a and a in ids) or b in keys:
+            gone.add((o, "document_id" if a and a in ids else "content"))
         else:
             ids.add(a)
             keys.add(b)
     return gone
 
 
-def test_exact_dedup_chains(spark):
+@pytest.mark.parametrize("rounds", [20, 1])
+def test_exact_dedup_chains(spark, rounds):
     r = random.Random(4)
-    for trial in range(4):
+    for trial in range(3):
         rows = [(i, f"d{r.randint(0, 12)}", f"c{r.randint(0, 12)}") for i in range(40)] if trial else [(1, "1", "h1"), (2, "2", "h1"), (3, "2", "h2"), (4, "1", "h2"), (5, "3", "h2")]
+        rows += [(100, None, "n1"), (101, None, "n2"), (102, None, "n1"), (103, "", "n3"), (104, "", "n4"), (105, "d1", "n4")]
         docs = spark.createDataFrame([(o, a, "t", b) for o, a, b in rows], "row_index long, document_id string, title string, content string")
-        kept, removed = dedup.exact(docs)
-        assert {x.row_index for x in removed.collect()} == _first_wins(rows)
+        kept, removed = dedup.exact(docs, rounds=rounds)
+        assert {(x.row_index, x.reason) for x in removed.collect()} == _first_wins(rows)
         assert kept.count() + removed.count() == len(rows)
 
 
-def test_near_dedup_is_greedy_in_row_order(spark):
+@pytest.mark.parametrize("rounds", [20, 1])
+def test_near_dedup_is_greedy_in_row_order(spark, rounds):
     rng = np.random.RandomState(3)
     base = rng.standard_normal((6, 16))
     rows = []
@@ -86,10 +91,29 @@ def test_near_dedup_is_greedy_in_row_order(spark):
                 loser, winner = (i, j) if len(rows[i][2]) < len(rows[j][2]) else (j, i)
                 gone.add(loser)
                 log.add((loser, winner))
-    kept, removed = dedup.near(docs)
+    kept, removed = dedup.near(docs, rounds=rounds)
     assert {(r.removed, r.kept) for r in removed.collect()} == log and kept.count() == 40 - len(gone)
 
 
+def test_near_dedup_of_a_path_and_of_equal_rows(spark):
+    """A path of vectors, each near the next only, needs a round for each link; 300 equal ones are decided in a few."""
+    path = [(i, str(i), "x" * (1 + i % 3), [math.cos(0.25 * i), math.sin(0.25 * i), 0.0, 0.0]) for i in range(12)]
+    equal = [(100 + i, "e", "x" * (1 + (7 * i) % 5), [0.0, 0.0, 1.0, 0.5]) for i in range(300)]
+    docs = spark.createDataFrame(path + equal, "row_index long, document_id string, content string, embedding array<double>")
+    rows, gone, log = path + equal, set(), set()
+    for a, (i, _, s, _) in enumerate(rows):
+        for j, _, t, _ in rows[a + 1 :]:
+            if i in gone:
+                break
+            if j not in gone and (j == i + 1 if i < 100 else j >= 100):
+                loser, winner = (i, j) if len(s) < len(t) else (j, i)
+                gone.add(loser)
+                log.add((loser, winner))
+    for rounds in (20, 3):
+        _, removed = dedup.near(docs, rounds=rounds)
+        assert {(r.removed, r.kept) for r in removed.collect()} == log
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
