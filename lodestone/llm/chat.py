@@ -100,18 +100,16 @@ def format_paths(path: DataFrame) -> DataFrame:
 
     loss_spans are the 1-based starts and lengths, in characters of formatted, of the (escaped) assistant texts.
     """
-    turn = F.struct("depth", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("learn"))
-    one = path.groupBy("tree", "leaf", "rank", "path_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
-    whole = lambda t: F.concat(head(t), t["text"], F.lit(f"{END}\n"))
-    nothing = F.array().cast("array<struct<start:int,len:int>>")
-
-    def add(acc: Column, t: Column) -> Column:
-        span = F.struct((acc["at"] + F.char_length(head(t)) + 1).alias("start"), F.char_length(t["text"]).alias("len"))
-        return F.struct((acc["at"] + F.char_length(whole(t))).alias("at"), F.when(t["learn"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("turns", F.struct(F.lit(0).alias("at"), nothing.alias("spans")), add, lambda acc: acc["spans"])
-    return one.select("tree", "leaf", "rank", "path_score", F.array_join(F.transform("turns", whole), "").alias("formatted"), spans.alias("loss_spans"))
+    key = ["tree", "leaf", "rank", "path_score"]
+    said = path.select(*key, "depth", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("learn"))
+    head = F.concat(F.lit(START), "role", F.lit("\n"))
+    said = said.withColumns({"whole": F.concat(head, "text", F.lit(f"{END}\n")), "head": F.char_length(head)})
+    before = F.sum(F.char_length("whole")).over(Window.partitionBy(*key).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    span = F.struct((F.coalesce(before, F.lit(0)) + F.col("head") + 1).cast("int").alias("start"), F.char_length("text").alias("len"))
+    turn = F.struct("depth", "whole", span.alias("span"), "learn")
+    one = said.withColumn("turn", turn).groupBy(*key).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: t["span"])
+    return one.select(*key, F.array_join(F.transform("turns", lambda t: t["whole"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

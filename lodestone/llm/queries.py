@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.words import UPPER
 from lodestone.llm import capfilter, chat, editcount, exacttopk, hardneg, importance, kneser, langid, mixing, pieces, quality, simhash, tokenfile
 from lodestone.runtime import materialize, table
 
@@ -174,6 +175,30 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+_RUNS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"
+_LETTER_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: CRC-32 byte by byte, all distinct runs in step.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_LETTER_WORDS} AS w FROM documents),
+g AS (SELECT r, {_RUNS} AS f FROM d),
+h AS (SELECT {_RUNS} AS f FROM (SELECT {_LETTER_WORDS} AS w FROM benchmark)),
+f AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM g UNION SELECT f FROM h)),
+t(b, k, c) AS (SELECT i, 0, i FROM range(256) AS x(i) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+e AS (SELECT list(c ORDER BY b) AS e FROM t WHERE k = 8),
+z(x, p, c) AS (SELECT x, 1, 4294967295 FROM f UNION ALL SELECT x, p + 2, xor(c >> 8, e[xor(c & 255, CAST('0x' || x[p:p + 1] AS BIGINT)) + 1]) FROM z, e WHERE p < length(x)),
+b AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM f JOIN z USING (x) WHERE p > length(x)),
+s AS (SELECT b, count(*) AS s FROM g JOIN b USING (f) GROUP BY b),
+q AS (SELECT b, count(*) AS t FROM h JOIN b USING (f) GROUP BY b),
+m AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / (CAST(s + 1 AS DOUBLE) * (coalesce((SELECT sum(t) FROM q), 0) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN q USING (b)),
+v AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM g JOIN b USING (f) JOIN m USING (b) GROUP BY r),
+o AS (SELECT r, doc_id, len(w) AS n, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN v USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, count(*) OVER () AS all_n FROM o WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * all_n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)
+"""
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exacttopk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -201,4 +226,4 @@ QUERIES = {
     "op12_importance_resampling": op12_importance_resampling,
     "op13_exact_top_k": op13_exact_top_k,
 }
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_source_mix": OP7_SQL, "op9_cap_filters": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_exact_top_k": OP13_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_source_mix": OP7_SQL, "op9_cap_filters": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_exact_top_k": OP13_SQL}
