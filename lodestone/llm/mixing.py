@@ -155,13 +155,18 @@ def mix_documents(docs: DataFrame, block_words: int | None = None, phi: float =
     rows = _single(placed.filter("size > 0")).withColumn("pass", F.explode(turns))
     rows = rows.withColumn("at", F.col("pass") * F.col("source_size") + F.col("start") + F.floor(F.col("size") / 2)).filter("at < floor(target)")
     rows = rows.withColumn("slot", F.floor(F.col("at") / block_words).cast("long"))
-    order = rows.join(schedule(sources, block_words, phi), ["source_no", "slot"]).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("copy").alias("_copy"))
+    def unique(h: Column, own: Column, of: Column) -> Column:
+        return F.md5(F.concat_ws("|", h, F.coalesce(F.concat(F.lit("="), own.cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("="), of), F.lit(""))))
+
+    key = unique(F.col("h"), F.col("doc_id"), F.col("source")).alias("_key")
+    order = rows.join(schedule(sources, block_words, phi), ["source_no", "slot"]).groupBy(key, F.col("copy").alias("_copy"))
     order = order.agg(F.collect_list(F.struct("k", "at")).alias("_places"))  # a place for each pass
     told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
-    number = F.row_number().over(Window.partitionBy("_key", doc_id, source).orderBy(F.lit(0))).cast("long") - 1
-    named = docs.withColumn("_key", F.md5(told)).withColumn("_no", number)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_h")) & (F.col("_no") == F.col("_copy"))
-    found = named.join(order, same).withColumn("_place", F.explode("_places"))
+    # rows and their places are dealt together and paired by number inside a key, so the texts are shuffled once for it
+    both = docs.withColumn("_key", unique(F.md5(told), F.col(doc_id), F.col(source))).unionByName(order, allowMissingColumns=True).repartition("_key")
+    both = both.withColumn("_no", F.row_number().over(Window.partitionBy("_key", F.col("_places").isNull()).orderBy("_copy")))
+    both = both.withColumn("_at", F.first("_places", ignorenulls=True).over(Window.partitionBy("_key", "_no")))
+    found = both.filter("_places is null and _at is not null").withColumn("_place", F.explode("_at"))
     words = _words(sources)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // part_words)
     part = F.least(F.floor(F.col("_place.k") * parts / max(1, -(-words // block_words))), F.lit(parts - 1)).cast("int")
