@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lists
 from lodestone.functions.text import answer_lines, fold_vowels, list_items, meaningful_tokens, numbers
+from lodestone.operators.telemetry import document_ids
 
 
 def expected_ranks(cases: DataFrame, hits: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def calibrate(negatives: DataFrame, hits: DataFrame) -> DataFrame:
 
 def nested_ids(json: Column) -> Column:
     """Sorted distinct document ids anywhere in a JSON text."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(json, F.lit("")), F.lit(r'"document_id"\s*:\s*"([^"]+)"'), F.lit(1))))
+    return F.array_sort(F.array_distinct(document_ids(F.coalesce(json, F.lit("")))))
 
 
 def slo_verdicts(values: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
@@ -262,7 +262,7 @@ def missing_chunks(best: DataFrame, hits: DataFrame, chunks: DataFrame, most: in
     return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
 
 
-def _nearest(folder: str, blocks: int, k: int, metric: str):
+def _nearest(folder: str, blocks: int, k: int, metric: str, at_once: int):
     system, base = fs.FileSystem.from_uri(folder)
 
     def similarities(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -273,40 +273,61 @@ def _nearest(folder: str, blocks: int, k: int, metric: str):
             return q @ x.T
         return -np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None, :], 0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        numbers, dims = rows["chunk_no"].to_numpy(), rows["dim"].to_numpy()
+        groups = {d: (at := np.flatnonzero(dims == d), _matrix(rows["embedding"].take(pa.array(at)), d)) for d in np.unique(dims)}
+        for i in range(blocks):
+            path = f"{base}/block={i}"
+            if system.get_file_info(path).type == fs.FileType.NotFound:  # no question has this number
                 continue
-            x, numbers = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["chunk_no"].to_numpy()
-            for i in range(blocks):
-                path = f"{base}/block={i}"
-                if system.get_file_info(path).type == fs.FileType.NotFound:  # no question has this number
-                    continue
-                asked = pq.read_table(path, filesystem=system, columns=["query_id", "embedding"], partitioning=None)
-                for part in asked.to_batches(1024):
-                    ids = part.column("query_id").to_numpy()
-                    q = np.stack(part.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                    s = similarities(q, x)
-                    keep = np.lexsort((np.broadcast_to(numbers, s.shape), -s.round(9)), axis=1)[:, :k]
-                    best = np.take_along_axis(s, keep, 1)
-                    yield pd.DataFrame({"query_id": np.repeat(ids, keep.shape[1]), "chunk_no": numbers[keep].ravel(), "similarity": best.ravel()})
+            asked = pq.read_table(path, filesystem=system, columns=["query_id", "dim", "embedding"], partitioning=None)
+            of = asked["dim"].to_numpy()
+            for d, (at, x) in groups.items():
+                mine = np.flatnonzero(of == d)
+                for some in np.split(mine, range(1024, len(mine), 1024)):
+                    if not len(some):
+                        continue
+                    s = similarities(_matrix(asked["embedding"].take(pa.array(some)), d), x)
+                    keep = np.lexsort((np.broadcast_to(numbers[at], s.shape), -s.round(9)), axis=1)[:, :k]
+                    ids = asked["query_id"].take(pa.array(np.repeat(some, keep.shape[1]))).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(numbers[at][keep].ravel()), pa.array(np.take_along_axis(s, keep, 1).ravel())], names=["query_id", "chunk_no", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += len(b.column("embedding").flatten())
+            if size >= at_once:
+                yield from best(held)
+                held, size = [], 0
+        if held:
+            yield from best(held)
 
     return run
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", at_once: int = 4096) -> DataFrame:
+def _matrix(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", at_once: int = 4096, held: int = 16 << 20) -> DataFrame:
     """(query_id, chunk_no, similarity, rank): exact search of queries(query_id, embedding) in vectors(chunk_no, embedding).
 
-    The questions are written to the shared folder in blocks of about at_once, which the tasks read one after another for
-    each batch of their vectors: nothing passes through the driver and the vectors aren't shuffled. A batch gives its k best
-    for each question. Null vectors are left out; no questions or vectors give no rows.
+    The questions are written to the shared folder in blocks of about at_once; nothing passes through the driver and the
+    vectors aren't shuffled. A task gathers its vectors up to `held` numbers, 128 MB, mostly all of them, reads one block of
+    questions after another and gives its k best for each question, so what is shuffled follows questions times tasks. Only
+    vectors of one length are compared; null and empty vectors, and those that hold a null, are left out; no questions or
+    vectors give no rows.
     """
-    asked = queries.select("query_id", "embedding").filter("embedding is not null")
+    fit = lambda df: df.filter((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())).withColumn("dim", F.size("embedding"))
+    asked = fit(queries.select("query_id", "embedding"))
     blocks = max(1, -(-asked.count() // at_once))
     folder = scratch(queries.sparkSession, "questions")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
-    searched = vectors.select("chunk_no", "embedding").filter("embedding is not null")
-    found = searched.mapInPandas(_nearest(folder, blocks, k, metric), "query_id bigint, chunk_no bigint, similarity double")
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_no {dict(vectors.dtypes)['chunk_no']}, similarity double"
+    found = fit(vectors.select("chunk_no", "embedding")).mapInArrow(_nearest(folder, blocks, k, metric, held), kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "chunk_no")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -21,9 +21,10 @@ def _same(a: Sequence[str], b: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)], F.lit(True))
 
 
-def percentiles(rows: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = (), buckets: int = 1024, few: int = 4096) -> DataFrame:
+def percentiles(rows: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = (), buckets: int = 1024, few: int = 4096, by_rank: bool = False) -> DataFrame:
     """(by..., and a column for each name of wanted): wanted[name] is a value and a share from 0 to 1. As Spark's percentile():
-    linear between neighbours, nulls don't count, null where a group has no value. Groups may have null keys."""
+    linear between neighbours, nulls don't count, null where a group has no value. Groups may have null keys. by_rank: the value
+    that floor(share * n) of the n values come before."""
     names, keys = list(wanted), [f"_k{i}" for i in range(len(by))]
     values = {str(c): c for c, _ in wanted.values()}  # names that share a value are selected together
     number = {text: i for i, text in enumerate(values)}
@@ -34,7 +35,7 @@ def percentiles(rows: DataFrame, wanted: Mapping[str, tuple[Column, float]], by:
     shares = F.array(*[F.struct(F.lit(j).alias("_w"), F.lit(float(p)).alias("_p")) for j, (_, p) in enumerate(wanted.values())])
     of = F.array(*[F.lit(number[str(c)]) for c, _ in wanted.values()])
     asked = sizes.select(*group, "_n", "_lo", "_hi", F.inline(shares)).filter(F.get(of, F.col("_w")) == F.col("_v"))
-    at = F.col("_p") * (F.col("_n") - 1)
+    at = F.least(F.floor(F.col("_p") * F.col("_n")), F.col("_n") - 1).cast("double") if by_rank else F.col("_p") * (F.col("_n") - 1)
     asked = asked.withColumn("_at", at).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
     state = materialize(asked.select(*group, "_w", "_at", "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_in")), "ranks")
     part = [*[f"_r{k}" for k in group], "_a", "_b"]

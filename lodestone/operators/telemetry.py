@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.selection import with_percentiles
+from lodestone.operators.selection import percentiles, with_percentiles
 
 
 def seconds_of(c: str | Column) -> Column:
@@ -33,10 +33,13 @@ def slope(y: Column, x: Column) -> Column:
 
 def resource_phases(samples: DataFrame, memory: Sequence[str] = ("api_mb", "llm_mb", "total_mb"), skip: float = 0.1, phase: str = "phase", at: str = "ts") -> DataFrame:
     """For each phase: samples, first, last, peak and mean memory, CPU, threads, GPU peaks, least free memory; and the
-    slopes in MB a minute, for which the first `skip` of the samples are left out."""
-    order = Window.partitionBy(phase).orderBy(at)
-    rows = samples.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(phase)), "_m": (seconds_of(at) - F.min(seconds_of(at)).over(Window.partitionBy(phase))) / 60.0})
-    late = F.col("_i") > F.floor(F.col("_n") * skip)
+    slopes in MB a minute, for which the first `skip` of the samples, by time, are left out. The time from which they count is
+    found by selection, so no task holds a phase."""
+    start = samples.groupBy(phase).agg(F.min(seconds_of(at)).alias("_start"))
+    cut = percentiles(samples, {"_cut": (seconds_of(at), skip)}, [phase], by_rank=True)
+    of = start.join(cut, start[phase].eqNullSafe(cut[phase])).select(start[phase].alias("_phase"), "_start", "_cut")
+    rows = samples.join(of, F.col(phase).eqNullSafe(F.col("_phase"))).withColumn("_m", (seconds_of(at) - F.col("_start")) / 60.0)
+    late = seconds_of(at) >= F.col("_cut")
     aggregates = [F.count("*").alias("samples")]
     for m in memory:
         y, x = F.when(late, F.col(m)), F.when(late, F.col("_m"))

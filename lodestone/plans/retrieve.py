@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import dedup, evaluate, ranking, search, verify
 from lodestone.plans.ingest import TITLE_SQL, titled
 from lodestone.plans.texts import FROM, STOP, TO, distinctive_sql, meaningful_sql, subject_sql
-from lodestone.runtime import materialize, table
+from lodestone.runtime import materialize, spread, table
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark openings as titles, looked for in the documents: the sub-questions of each text."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("query_id"), "text")
     subs = ranking.sub_queries(ranking.mentions(texts, _names(spark, sf_dir)), texts.select("query_id", F.array(F.lit("fee")).alias("fields")))
     return subs.select("query_id", F.col("sub_no").cast("long").alias("sub_no"), "document_id", "truncated")
 

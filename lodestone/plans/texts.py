@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import guards, lists, text
-from lodestone.runtime import table
+from lodestone.operators import verify
+from lodestone.runtime import spread, table
 
 STOP = ("the", "of", "and", "to", "in", "la", "le", "de", "die", "der", "und", "el", "que", "en")
 SLOTS = lists.SlotRules(
@@ -20,12 +21,12 @@ MEDIUM = (("third", ("of", "de", "mit")),)
 
 
 def text_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5(text.fold_vowels(F.col("text"))).alias("vowels_md5"), F.md5(text.fold_marks(F.col("text"))).alias("marks_md5"), F.md5(text.canonical(F.col("text"))).alias("canonical_md5"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    d, t = spread(table(spark, sf_dir, "documents")), F.col("text")
     n = lambda c: F.size(c).cast("long")
     return d.select(
         "doc_id", n(text.tokens(t)).alias("n_tokens"), n(text.subject_tokens(t, STOP, ())).alias("n_subject"), n(text.meaningful_tokens(t, STOP)).alias("n_meaningful"), n(text.distinctive_tokens(t, STOP, ())).alias("n_distinctive"),
@@ -34,23 +35,30 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.numbers(F.col("text"))), " ").alias("numbers"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(F.array_sort(text.numbers(F.col("text"))), " ").alias("numbers"))
+
+
+def number_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a claim, with the document before it as evidence: whether it has numbers that the other hasn't."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", text.numbers(F.col("text")).alias("n"))
+    both = d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("n").alias("before")), "doc_id")
+    return both.select("doc_id", verify.number_conflict(F.col("n"), F.col("before")).alias("conflict"))
 
 
 def claim_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.claims(F.col("text"))
-    d = table(spark, sf_dir, "documents").withColumn("c", c)
+    d = spread(table(spark, sf_dir, "documents")).withColumn("c", c)
     return d.select("doc_id", F.size("c").cast("long").alias("n_claims"), F.md5(F.array_join("c", "\n")).alias("claims_md5"), F.size(text.answer_lines(F.col("text"), STOP)).cast("long").alias("n_lines"), F.size(text.list_items(F.col("text"), STOP)).cast("long").alias("n_items"))
 
 
 def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    d = table(spark, sf_dir, "documents").withColumn("n", guards.sensitive_counts(t))
+    d = spread(table(spark, sf_dir, "documents")).withColumn("n", guards.sensitive_counts(t))
     return d.select("doc_id", *[F.col(f"n.{k}").cast("long").alias(k) for k in ("long_ids", "short_ids", "phones", "emails")], guards.has_sensitive(t).alias("sensitive"), F.coalesce(guards.input_guard(t), F.lit("ok")).alias("guard"))
 
 
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     clean = guards.output_guard(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "strict").otherwise("friendly"), "Checked by hand.", F.substring_index("text", "\n", 1))
     return d.select("doc_id", clean.alias("clean"), guards.mask(F.col("text")).alias("masked"))
 
@@ -122,7 +130,7 @@ _M = meaningful_sql("x")
 _ITEMS = "list_transform(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '(^|\\s)\\d{1,2}[.)]\\s+', '\\1' || chr(10), 'g'), '\\n+|;'), lambda x: regexp_replace(x, '^[ \\-+*\\t]+|[ \\-+*\\t]+$', '', 'g'))"
 
 QUERIES = {
-    "text_folds": text_folds, "token_counts": token_counts, "number_sets": number_sets, "claim_lists": claim_lists, "guard_counts": guard_counts, "redaction": redaction, "risk_levels": risk_levels,
+    "text_folds": text_folds, "token_counts": token_counts, "number_sets": number_sets, "number_conflicts": number_conflicts, "claim_lists": claim_lists, "guard_counts": guard_counts, "redaction": redaction, "risk_levels": risk_levels,
     "question_fields": question_fields, "message_slots": message_slots,
 }
 
@@ -166,3 +174,5 @@ ORACLES = {
         {_rule(SLOTS.locations)} AS location, {_rule(SLOTS.methods)} AS method, {_rule(SLOTS.applicants)} AS applicant_type,
         concat_ws(',', {', '.join(_rule((d,)) for d in SLOTS.documents)}) AS documents FROM (SELECT conv_id, turn, strip_accents(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM conversations)""",
 }
+ORACLES["number_conflicts"] = f"""WITH n AS (SELECT doc_id, list_filter(string_split(numbers, ' '), lambda x: x <> '') AS n FROM ({ORACLES["number_sets"]}))
+  SELECT a.doc_id, len(list_filter(a.n, lambda x: NOT list_contains(b.n, x))) > 0 AS conflict FROM n a JOIN n b ON a.doc_id = b.doc_id + 1"""

@@ -155,3 +155,33 @@ def test_vector_search_equals_brute_force_in_any_number_of_blocks(spark):
             assert [r.chunk_no for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(60), -s))[:5].tolist()
         assert {r.query_id for r in got} == set(range(0, 60, 4))
     assert search.vector_top_k(v, asked.filter("false"), 5).count() == 0
+
+
+def test_vectors_of_other_lengths_and_text_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.5]), ("c", [1.0, 0.0, 2.0]), ("d", None), ("e", []), ("f", [1.0, None])], "chunk_no string, embedding array<double>")
+    asked = spark.createDataFrame([("q2", [2.0, 0.0]), ("q3", [0.0, 0.0, 1.0]), ("q4", [1.0] * 4), ("q0", None)], "query_id string, embedding array<double>")
+    got = search.vector_top_k(v, asked, 5, held=2).collect()  # a batch of its own for each few vectors
+    assert {(r.query_id, r.chunk_no, r["rank"]) for r in got} == {("q2", "a", 1), ("q2", "b", 2), ("q3", "c", 1)}
+
+
+def test_missing_chunks_and_aliases(spark):
+    chunks = spark.createDataFrame([("A", f"A{i:02}") for i in range(25)] + [("B", "B00")], "document_id string, chunk_id string")
+    best = spark.createDataFrame([(1, "A"), (2, "B")], "query_id long, document_id string")
+    hits = spark.createDataFrame([(1, "A00"), (1, "B00"), (2, "B00")], "query_id long, chunk_id string")
+    got = [(r.query_id, r.chunk_id) for r in search.missing_chunks(best, hits, chunks).collect()]
+    assert sorted(got) == [(1, f"A{i:02}") for i in range(1, 21)]
+    records = spark.createDataFrame([("A", ["Pass ", "PASS", " ", None]), ("B", []), ("C", None)], "document_id string, aliases array<string>")
+    assert [tuple(r) for r in search.alias_catalog(records).collect()] == [("A", "pass")]
+
+
+def test_answers_from_templates_and_evidence(spark):
+    evidence = spark.createDataFrame(
+        [(1, "EC_001", "A", "Pass", "fee", "Tên: Pass\n10 euro", 1), (1, "EC_002", "B", "Visa", "time", "2 days", 2), (1, "EC_003", "A", "Pass", "time", "Tên: Pass\n3 days", 3), (1, "EC_004", "A", "Pass", "general", "all of it", 4), (2, "EC_001", "B", "Visa", "fee", "free", 1)],
+        "query_id long, candidate_id string, document_id string, title string, field string, content string, rank int",
+    )
+    fields = spark.createDataFrame([(1, ["time", "fee"]), (2, ["fee", "time"]), (3, ["fee"])], "query_id long, fields array<string>")
+    assert {r.query_id: r.answer for r in verify.template_answers(evidence, fields).collect()} == {1: "Pass:\n3 days [EC_003]\n10 euro [EC_001]"}  # 2 has no time
+    none = verify.template_answers(evidence, spark.createDataFrame([(1, []), (2, ["fee"] * 3)], "query_id long, fields array<string>"))
+    assert none.count() == 0
+    got = {r.query_id: r.answer for r in verify.evidence_answers(evidence).collect()}
+    assert got == {1: "Visa\n2 days [EC_002]\n\nPass\nall of it [EC_004]", 2: "Visa\nfree [EC_001]"}

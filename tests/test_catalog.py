@@ -21,7 +21,7 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["record_text", "document_chunks", "exact_dedup", "claim_lists", "bm25_search", "slot_fold", "graded_answers", "request_rollup"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
