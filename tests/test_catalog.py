@@ -1,4 +1,5 @@
 import importlib
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -18,7 +19,7 @@ def duck():
 
 
 def plain(v):
-    return round(v, 5) if isinstance(v, float) else v
+    return round(float(v), 5) if isinstance(v, float | Decimal) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
