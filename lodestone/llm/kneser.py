@@ -55,8 +55,8 @@ WIDE = 0.001
 def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words of the lower-cased text, then an end), and each text's number of tokens."""
     n = len(texts)
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
-    words = split.flatten().dictionary_encode()
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    words = pc.ascii_lower(split.flatten()).dictionary_encode()  # ascii_lower misreads a slice that was cast
     known = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
     which = words.indices.to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
