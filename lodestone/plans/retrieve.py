@@ -46,7 +46,7 @@ def _expected(spark: SparkSession, sf_dir: str, index: search.Index) -> DataFram
 def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each question with the rank of an expected document, and one (case_id null) with the metrics of all."""
     chunks, asked = chunks_of(spark, sf_dir), questions(spark, sf_dir)
-    index = search.build_index(chunks)
+    index = search.build_index(chunks, queries=asked)
     hits = search.search_index(index, asked, chunks, 5).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document_id"), "rank")
     ranked = evaluate.expected_ranks(_expected(spark, sf_dir, index), hits)
     ranked = materialize(ranked.select("case_id", F.size("expected_docs").cast("long").alias("n_expected"), F.col("rank").cast("long").alias("rank")), "ranked")
