@@ -22,8 +22,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(chunks_of(spark, sf_dir))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 1).alias("tf"))
+    return search.term_totals(chunks_of(spark, sf_dir)).select("term", "df", F.round("tf", 1).alias("tf"))
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
