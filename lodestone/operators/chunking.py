@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial, reduce
+from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -37,13 +37,17 @@ def pack_paragraphs(text: str, longest: int, overlap: int) -> list[str]:
     return chunks or [text]
 
 
-def split_long(c: Column, longest: int = 1400, overlap: int = 200) -> Column:
-    """array<string> of the chunks of a text. Short texts stay in the JVM's hands as they are."""
+def split_long(c: Column, longest: int = 1400, overlap: int = 200, rows: int = 256) -> Column:
+    """array<string> of the chunks of a text. Short texts stay in the JVM as they are; of the others a worker holds so many of a
+    batch as strings at once, beside the batch and its result."""
 
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(partial(pack_paragraphs, longest=longest, overlap=overlap), na_action="ignore")
+    def pack(texts: pa.Array) -> pa.Array:
+        one = lambda t: None if t is None else pack_paragraphs(t, longest, overlap)
+        parts = (pa.array([one(t) for t in texts.slice(i, rows).to_pylist()], pa.list_(pa.string())) for i in range(0, max(len(texts), 1), rows))
+        return pa.concat_arrays(parts)
 
-    return F.pandas_udf(pack, ArrayType(StringType()))(c)
+    short = F.length(c) <= longest
+    return F.when(short, F.array(c)).otherwise(F.arrow_udf(pack, ArrayType(StringType()))(F.when(~short, c)))
 
 
 def starts_with_title(text: Column, title: Column, label: str, anywhere: bool) -> Column:
