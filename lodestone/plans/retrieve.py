@@ -33,7 +33,13 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     chunks, asked = chunks_of(spark, sf_dir), questions(spark, sf_dir)
     found = materialize(search.search(chunks, asked, k), "hits")
-    return found.join(chunks, "chunk_id").join(asked, "query_id")
+    return _picked(found, chunks.join(search.few(found.select("chunk_id").distinct()), "chunk_id", "left_semi")).join(asked, "query_id")
+
+
+def _picked(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunks, whose texts are read once and written, so that what is done to them later is
+    spread over all tasks."""
+    return found.join(materialize(texts, "hit-texts"), "chunk_id")
 
 
 def _expected(spark: SparkSession, sf_dir: str, index: search.Index) -> DataFrame:
@@ -81,7 +87,8 @@ def hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with documents of several chunks: the document is the source, the field the language."""
     h = _hits(spark, sf_dir)
-    source = titled(spark, sf_dir).select(F.col("row_index").alias("chunk_id"), "source")
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    source = source.join(search.few(h.select("chunk_id").distinct()), "chunk_id", "left_semi")
     field = F.when(F.col("category") == "en", "general").when(F.col("category") == "fr", "fee").when(F.col("category") == "de", "processing_time").otherwise("required_documents")
     return h.join(source, "chunk_id").select("query_id", "query", "chunk_id", F.col("source").alias("document_id"), "title", F.col("text").alias("content"), field.alias("field"), F.col("score").alias("doc_base_score"), F.col("score").alias("retrieval_score"), "rank")
 
@@ -173,7 +180,9 @@ def answer_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
     hits = search.search(chunks, subs.select(F.col("search_id").alias("query_id"), F.col("mention").alias("query")).distinct(), 15).withColumnRenamed("query_id", "search_id")
     field = F.when(F.col("category") == "en", "general").when(F.col("category") == "fr", "fee").otherwise("required_documents")
-    hits = hits.join(chunks.select("chunk_id", "document_id", "title", field.alias("field")), "chunk_id").join(subs.select("query_id", "sub_no", "search_id"), "search_id")
+    hits = materialize(hits, "hits")
+    named = chunks.join(search.few(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    hits = _picked(hits, named.select("chunk_id", "document_id", "title", field.alias("field"))).join(subs.select("query_id", "sub_no", "search_id"), "search_id")
     hits = materialize(hits.select("query_id", "sub_no", "chunk_id", "document_id", "title", "field", F.col("score").alias("retrieval_score"), "rank"), "sub-hits")
     done = materialize(ranking.resolve_sub_queries(subs, hits).drop("search_id"), "resolved")
     n_chunks = ranking.resolved_chunks(done, hits).groupBy("query_id").agg(F.count("*").alias("n_chunks"))
