@@ -48,7 +48,7 @@ def number_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claim_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.claims(F.col("text"))
     d = spread(table(spark, sf_dir, "documents")).withColumn("c", c)
-    return d.select("doc_id", F.size("c").cast("long").alias("n_claims"), F.md5(F.array_join("c", "\n")).alias("claims_md5"), F.size(text.answer_lines(F.col("text"), STOP)).cast("long").alias("n_lines"), F.size(text.list_items(F.col("text"), STOP)).cast("long").alias("n_items"))
+    return d.select("doc_id", F.size("c").cast("long").alias("n_claims"), F.md5(F.array_join("c", "\n")).alias("claims_md5"), F.size(text.claim_lines(F.col("c"), STOP)).cast("long").alias("n_lines"), F.size(text.list_items(F.col("text"), STOP)).cast("long").alias("n_items"))
 
 
 def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
