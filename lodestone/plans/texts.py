@@ -26,11 +26,13 @@ def text_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts are cut into tokens once, and once more without what isn't meaningful; the sets are made of the distinct ones."""
     d, t = spread(table(spark, sf_dir, "documents")), F.col("text")
     n = lambda c: F.size(c).cast("long")
+    d = d.select("doc_id", text.tokens(t).alias("w"), text.meaningful_tokens(t, STOP).alias("m")).withColumn("u", F.array_distinct("w"))
     return d.select(
-        "doc_id", n(text.tokens(t)).alias("n_tokens"), n(text.subject_tokens(t, STOP, ())).alias("n_subject"), n(text.meaningful_tokens(t, STOP)).alias("n_meaningful"), n(text.distinctive_tokens(t, STOP, ())).alias("n_distinctive"),
-        n(F.array_distinct(text.pairs_of(text.meaningful_tokens(t, STOP)))).alias("n_pairs"),
+        "doc_id", n("w").alias("n_tokens"), n(text.subject_of(F.col("u"), STOP)).alias("n_subject"), n("m").alias("n_meaningful"), n(text.distinctive_of(F.col("u"), STOP)).alias("n_distinctive"),
+        n(F.array_distinct(text.pairs_of(F.col("m")))).alias("n_pairs"),
     )
 
 
