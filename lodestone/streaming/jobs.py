@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -43,11 +45,30 @@ def _segments(hits: DataFrame, limit: int, span: int) -> DataFrame:
     return cells.withColumn("_decide", F.max("_near").over(Window.partitionBy("_key", "_segment")) > limit).select("_key", "_cell", "_segment", "_decide")
 
 
+def _decide(limit: int, span: int):
+    """Goes through hits in the order of segments and times; a segment may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            own = [("NaN" if k != k else k, n) for k, n in zip(b["_key"].to_pylist(), b["_segment"].to_pylist(), strict=True)]
+            times, allowed, begin = b["_t"].to_pylist(), [], 0
+            for segment, some in groupby(own):
+                end = begin + len(list(some))
+                passed, held = admit(times[begin:end], limit, span, held if segment == now else [])
+                allowed += passed
+                now, begin = segment, end
+            yield pa.RecordBatch.from_arrays([b["_key"], b["_tie"], pa.array(allowed, pa.bool_())], names=["_key", "_tie", "allowed"])
+
+    return run
+
+
 def admission_batch(hits: DataFrame, limit: int = 60, window: float = 60.0, key: str = "client", at: str = "ts", tie: str = "event_id") -> DataFrame:
     """hits with allowed, decided in time order for each client; tie tells a client's hits apart.
 
     A client's hits fall into segments, before each of which its window is empty. Segments that never have more than `limit`
-    hits within the window pass as they are; each of the others is decided on its own."""
+    hits within the window pass as they are; each of the others is decided on its own. A task goes through its segments in
+    order and holds `limit` times, however many hits a segment has."""
     if limit <= 0:
         return hits.withColumn("allowed", F.lit(True))
     kinds, span = dict(hits.dtypes), int(window * 1e6)
@@ -55,11 +76,8 @@ def admission_batch(hits: DataFrame, limit: int = 60, window: float = 60.0, key:
     known = _segments(timed, limit, span).filter("_decide").select(F.col("_key").alias("_k"), F.col("_cell").alias("_c"), "_segment")
     some = timed.join(known, F.col("_key").eqNullSafe(F.col("_k")) & (F.floor(F.col("_t") / span) == F.col("_c"))).select("_key", "_segment", "_tie", "_t")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "_tie"])
-        return pdf.assign(allowed=admit(pdf["_t"].tolist(), limit, span)[0])[["_key", "_tie", "allowed"]]
-
-    decided = some.groupBy("_key", "_segment").applyInPandas(decide, f"_key {kinds[key]}, _tie {kinds[tie]}, allowed boolean")
+    dealt = some.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_t", "_tie")
+    decided = dealt.mapInArrow(_decide(limit, span), f"_key {kinds[key]}, _tie {kinds[tie]}, allowed boolean")
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(tie).eqNullSafe(F.col("_tie"))
     return hits.join(decided, same, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).drop("_key", "_tie")
 
